@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def lcs_length(left: Sequence[str], right: Sequence[str]) -> int:
@@ -21,7 +22,7 @@ def lcs_length(left: Sequence[str], right: Sequence[str]) -> int:
     return len(left) - row.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     """Arrow-batched ``lcs_length`` of two array<string> columns."""
     return pd.Series([lcs_length(a, b) for a, b in zip(left, right)], dtype="int32")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from loomset.operators.joins import lookup_join
 from loomset.storage import materialise
@@ -15,13 +16,16 @@ PACK = 128
 GROUP = 16
 
 
+_BEST = StructType().add("p", ArrayType(DoubleType())).add("r", ArrayType(DoubleType()))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norm > 0, norm, 1.0)
 
 
-@F.pandas_udf("struct<p: array<double>, r: array<double>>")
+@F.pandas_udf(_BEST)
 def _best_matches(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
     """Best cosine of every prediction vector and of every reference vector of two packs."""
     best_p, best_r = [], []

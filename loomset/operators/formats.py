@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomset.functions.once import with_once
 from loomset.operators.dialogues import final_pair, is_dialogue_role, labelled, map_role
 
 # Layouts and their display names.
@@ -211,4 +212,4 @@ def to_pair(
     broken = _pair(F.lit(""), F.lit(""), sys_text, error=F.lit(True))
     pair = F.when(~is_object(raw), broken).when(ready, prebuilt).otherwise(pair)
     others = [c for c in df.columns if c != "raw"]
-    return df.select(*others, pair.alias("_pair")).select(*others, "_pair.*")
+    return with_once(df, "_pair", pair).select(*others, "_pair.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from loomset.operators.joins import lookup_join
 
@@ -15,7 +16,7 @@ def _scaled(step: Column, middle: Column, half: Column) -> Column:
     return (step - middle) / half
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _solve(degree: pd.Series, powers: pd.Series, moments: pd.Series) -> pd.Series:
     """Coefficients (lowest power first) of the normal equations, one run per row."""
     solved = []
@@ -115,7 +116,7 @@ def poly_fit(
 def step_coefficients(fits: DataFrame) -> DataFrame:
     """Add ``step_coefficients``: the same polynomials in powers of the step, highest first."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def expand(coefficients: pd.Series, middle: pd.Series, half: pd.Series) -> pd.Series:
         inner = [np.poly1d([1.0 / h, -m / h]) for m, h in zip(middle, half)]
         return pd.Series(

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loomset.functions.once import with_once
 from loomset.functions.render import CHAT_TASKS, chat_messages, render, render_chat
 from loomset.functions.text import py_strip
 from loomset.operators.dialogues import LABELS, expand_dialogues, expand_turns
@@ -72,7 +73,7 @@ def judged(examples: DataFrame, cfg: PrepareConfig) -> DataFrame:
     ``over_length``; an over-long example has no prompt and gets no text.
     """
     usable = ~F.coalesce("over_length", F.lit(False)) & ~F.coalesce("error", F.lit(False))
-    return examples.withColumn("text", F.when(usable, example_text(cfg))).withColumn(
+    return with_once(examples, "text", F.when(usable, example_text(cfg))).withColumn(
         "reject_reason",
         reject_reason(
             F.col("text"),
@@ -160,7 +161,7 @@ def record_examples(
     dialogues = placed.where((F.col("fmt") == "sharegpt") & is_object(F.col("raw")))
     expanded = None
     if fmt in (None, "sharegpt"):
-        turns = dialogues.withColumn("turns", messages(F.col("raw"), "sharegpt")).drop("raw")
+        turns = with_once(dialogues, "turns", messages(F.col("raw"), "sharegpt")).drop("raw")
         sound = turns.where(~broken_turns(F.col("turns")))
         candidate = expand_dialogues(sound, "turns", cfg.max_length, cfg.labels)
         if not candidate.limit(1).isEmpty():

@@ -59,9 +59,14 @@ def scan_files(spark: SparkSession, path: str | list[str]) -> list[str]:
     return files
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One record per non-blank line. Malformed lines stay, with a NULL ``raw``."""
-    lines = _text(spark, path, "jsonl").select(*_place(), py_strip(F.col("value")).alias("json"))
+def read_jsonl(
+    spark: SparkSession, path: str | list[str], suffix: str = "jsonl"
+) -> DataFrame:
+    """One record per non-blank line. Malformed lines stay, with a NULL ``raw``.
+
+    Spark itself names files of JSON lines ``.json``: read those with that ``suffix``.
+    """
+    lines = _text(spark, path, suffix).select(*_place(), py_strip(F.col("value")).alias("json"))
     return _records(lines.where(F.col("json") != ""))
 
 

@@ -65,11 +65,7 @@ def stream_resources(samples: DataFrame, gap: str = "30 seconds", delay: str = "
             trend(F.col("system_memory")).alias("system_memory_trend"),
             spread(F.col("system_memory")).alias("system_memory_variance"),
         )
-        .select(
-            "request_id",
-            F.col("session.start").alias("session_start"),
-            F.col("session.end").alias("session_end"),
-            "*",
-        )
+        .withColumn("session_start", F.col("session.start"))
+        .withColumn("session_end", F.col("session.end"))
         .drop("session", "first_sample_ts", "last_sample_ts")
     )
