@@ -202,8 +202,9 @@ def token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = exchanges(spark, sf_dir).select(
         F.concat_ws("-", "conv_id", "turn").alias("pair_id"),
         F.size(asked).alias("prompt_len"),
-        F.posexplode(F.concat(asked, said)).alias("pos", "word"),
+        F.concat(asked, said).alias("words"),
     )
-    return both.select(
+    rows = both.select("pair_id", "prompt_len", F.posexplode("words").alias("pos", "word"))
+    return rows.select(
         "pair_id", "pos", "prompt_len", (-F.length("word")).cast("double").alias("logprob")
     )

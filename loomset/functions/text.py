@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 # The 29 characters a Python str.strip() removes.
 WHITESPACE = (
@@ -11,8 +14,11 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Fixed value: scripts written without blanks between words.
-_CJK = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}])"
+# The same characters as a pattern; \\s with the (?U) flag knows all but four of them.
+_BLANKS = r"(?U)[\s\x1c-\x1f]+"
+
+# Blocks of scripts written without blanks between words.
+_CJK = r"([\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff])"
 
 TOKENIZERS = ("whitespace", "cjk_char")
 
@@ -27,6 +33,11 @@ def solid_length(text: Column) -> Column:
     return F.length(F.translate(text, "\n \t", ""))
 
 
+def is_solid(text: Column, at_least: int) -> Column:
+    """Whether ``solid_length`` reaches a small number; stops reading once it does."""
+    return text.rlike(r"(?:[^\n \t][\n \t]*+){%d}" % at_least)
+
+
 def words(text: Column, tokenizer: str = "whitespace") -> Column:
     """Split text to an array of words; blank text gives an empty array.
 
@@ -36,13 +47,23 @@ def words(text: Column, tokenizer: str = "whitespace") -> Column:
         raise ValueError(f"tokenizer must be one of {TOKENIZERS}, not {tokenizer!r}")
     if tokenizer == "cjk_char":
         text = F.regexp_replace(text, _CJK, " $1 ")
-    return F.filter(F.split(text, f"[{WHITESPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(text, _BLANKS), lambda w: w != "")
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _byte_ids(values: pa.Array) -> pa.Array:
+    """The bytes of binary values as integers: the Arrow buffers are only relabelled."""
+    values = values.cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    used = np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    return pa.ListArray.from_arrays(
+        pa.array((ends - ends[0]).astype(np.int32)),
+        pa.array(used.astype(np.int32)),
+        mask=values.is_null() if values.null_count else None,
+    )
 
 
 def utf8_ids(text: Column, limit: int) -> Column:
     """The first ``limit`` UTF-8 bytes of the text as integer token ids."""
-    head = F.substring(F.encode(text, "UTF-8"), 1, limit)
-    return F.transform(
-        F.regexp_extract_all(F.hex(head), F.lit("(..)")),
-        lambda pair: F.conv(pair, 16, 10).cast("int"),
-    )
+    return _byte_ids(F.substring(F.encode(text, "UTF-8"), 1, limit))

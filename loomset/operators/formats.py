@@ -22,6 +22,9 @@ FORMAT_NAMES = {
 PROMPT_KEYS = ("instruction", "input", "question", "prompt", "q", "query")
 RESPONSE_KEYS = ("output", "response", "answer", "a", "completion", "content")
 
+# Fixed value: what an empty data set counts as.
+NO_RECORD_FORMAT = "plain_text"
+
 MODES = ("first", "per_file", "per_record")
 
 _TURNS = {
@@ -65,15 +68,13 @@ def format_name(fmt: Column) -> Column:
     return name
 
 
-def first_format(records: DataFrame, *order: str) -> str:
-    """Layout of the first record by ``order``; no record at all counts as plain text.
+def first_format(records: DataFrame, *order: str) -> str | None:
+    """Layout of the first record by ``order``, None if there is no record.
 
     The order columns are narrow; records themselves are not sorted or moved.
     """
-    found = records.agg(
-        F.min_by(format_expr(F.col("raw")), F.struct(*order)).alias("fmt")
-    ).first()["fmt"]
-    return found or "plain_text"
+    first = F.min_by(format_expr(F.col("raw")), F.struct(*order))
+    return records.agg(first.alias("fmt")).first()["fmt"]
 
 
 def detect_format(
@@ -85,7 +86,8 @@ def detect_format(
     if mode == "per_record":
         return records.withColumn("fmt", format_expr(F.col("raw")))
     if mode == "first":
-        return records.withColumn("fmt", F.lit(first_format(records, *order)))
+        fmt = first_format(records, *order) or NO_RECORD_FORMAT
+        return records.withColumn("fmt", F.lit(fmt))
     place = order[1:] if order[0] == "path" and len(order) > 1 else order
     per_file = records.groupBy("path").agg(
         F.min_by(format_expr(F.col("raw")), F.struct(*place)).alias("fmt")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from loomset.storage import materialise
@@ -24,31 +26,33 @@ def source_key(path: Column, block_start: Column, rid: Column) -> Column:
     return F.concat(F.hex(F.encode(path, "UTF-8")), F.lit("/"), hex16(block_start), hex16(rid))
 
 
-def key_of_rank(df: DataFrame, key: str, rank: int) -> str:
-    """The shortest prefix ``p`` such that exactly ``rank`` rows have ``key[:len(p)] <= p``.
+def key_of_rank(df: DataFrame, key: str, rank: Callable[[int], int]) -> tuple[str, int]:
+    """Where to cut a table in order of ``key`` so that ``rank(n)`` of its n rows come first.
 
-    Works like a radix selection: each pass counts rows per next group of
-    digits below the prefix found so far and steps into the group where the
-    running count reaches ``rank``. Nothing is sorted, and a pass returns at
-    most 65,536 counts however large the table is. Keys must be unique strings;
-    give it a materialised table, it is read once per pass.
+    Returns the shortest prefix ``p`` such that exactly that many rows have
+    ``key[:len(p)] <= p``, and n. Works like a radix selection: each pass counts
+    rows per next group of digits below the prefix found so far and steps into
+    the group where the running count reaches the rank. Nothing is sorted, and
+    a pass returns at most 65,536 counts however large the table is. Keys must
+    be unique strings; give it a materialised table, it is read once per pass.
     """
-    prefix, missing = "", rank
+    prefix, missing, total = "", None, 0
     while True:
-        start = len(prefix)
         below = df.where(F.col(key).startswith(prefix)) if prefix else df
-        digits = F.substring(F.col(key), start + 1, _DIGITS)
-        groups = below.groupBy(digits.alias("digits")).agg(F.count("*").alias("n"))
-        passed = 0
-        for digit, n in sorted((row["digits"], row["n"]) for row in groups.collect()):
-            if passed + n >= missing:
+        digits = F.substring(F.col(key), len(prefix) + 1, _DIGITS)
+        groups = below.groupBy(digits.alias("digits")).agg(F.count("*").alias("n")).collect()
+        if missing is None:
+            total = sum(row["n"] for row in groups)
+            missing = rank(total)
+            if not 0 < missing <= total:
+                return "", total
+        for digit, n in sorted((row["digits"], row["n"]) for row in groups):
+            if missing <= n:
                 break
-            passed += n
-        else:
-            raise ValueError(f"rank {rank} lies outside the table")
-        prefix, missing = prefix + digit, missing - passed
+            missing -= n
+        prefix += digit
         if n == missing:
-            return prefix
+            return prefix, total
         if len(digit) < _DIGITS:
             raise ValueError(f"{key!r} is not unique")
 
@@ -62,10 +66,7 @@ def split_exact(df: DataFrame, key: str, frac: float = 0.05) -> DataFrame:
     """
     tie = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
     fixed = materialise(df.withColumn("_cut_key", F.concat(F.col(key), tie)), "split")
-    total = fixed.count()
-    if total == 0:
-        return fixed.withColumn("split", F.lit("val")).drop("_cut_key")
-    cut = key_of_rank(fixed, "_cut_key", max(1, int(total * frac)))
+    cut, _ = key_of_rank(fixed, "_cut_key", lambda n: max(1, int(n * frac)))
     in_val = F.substring("_cut_key", 1, len(cut)) <= cut
     return fixed.withColumn("split", F.when(in_val, "val").otherwise("train")).drop("_cut_key")
 
@@ -75,16 +76,12 @@ def test_set(df: DataFrame, key: str, frac: float = 0.1) -> DataFrame:
 
     ``df`` carries ``split``; keys are unique.
     """
-    counts = dict(df.groupBy("split").count().collect())
-    if counts.get("val"):
-        return df.where(F.col("split") == "val")
-    total = counts.get("train", 0)
-    kept = min(total, max(1, int(total * frac)))
+    val = df.where(F.col("split") == "val")
+    if not val.limit(1).isEmpty():
+        return val
     train = df.where(F.col("split") == "train")
-    if kept == total:
-        return train
-    cut = key_of_rank(train, key, total - kept)
-    return train.where(F.substring(key, 1, len(cut)) > cut)
+    cut, total = key_of_rank(train, key, lambda n: n - max(1, int(n * frac)))
+    return train.where(F.substring(key, 1, len(cut)) > cut) if cut else train
 
 
 def ranked(df: DataFrame, key: str) -> DataFrame:

@@ -13,6 +13,7 @@ from loomset.operators.dialogues import LABELS, expand_dialogues, expand_turns
 from loomset.operators.formats import (
     FORMAT_NAMES,
     MODES,
+    NO_RECORD_FORMAT,
     broken_turns,
     detect_format,
     first_format,
@@ -22,7 +23,7 @@ from loomset.operators.formats import (
 )
 from loomset.operators.ordering import order_key, source_key, split_exact
 from loomset.operators.quality import dedup_prefix, reject_reason
-from loomset.sources.records import leading_records, read_records
+from loomset.sources.records import read_records, scan_files
 
 # Fixed value: the default system prompt.
 SYSTEM_PROMPT = "你是一个有用的AI助手，请根据用户的问题给出准确、有帮助的回答。"
@@ -149,7 +150,7 @@ def record_examples(
     layout gives any, they are taken as single pairs.
     """
     if fmt is None and cfg.format_mode == "first":
-        fmt = first_format(records, "path", "block_start", "rid")
+        fmt = first_format(records, "path", "block_start", "rid") or NO_RECORD_FORMAT
     if fmt is not None:
         typed = records.withColumn("fmt", F.lit(fmt))
     else:
@@ -220,17 +221,34 @@ def prepare_documents(docs: DataFrame, cfg: PrepareConfig = PrepareConfig()) ->
     return finish(document_examples(docs, cfg), cfg)
 
 
+def leading_format(spark: SparkSession, path: str | list[str]) -> str:
+    """Layout of the first record in path order, reading little else.
+
+    The first file is read up to its first record. If there is none in its
+    first block, the leading files are read: two, then four more, and so on.
+    """
+    files = scan_files(spark, path)
+    head = read_records(spark, files[:1]).where(F.col("block_start") == 0).limit(1)
+    found = first_format(head, "rid")
+    start, step = 0, 2
+    while found is None and start < len(files):
+        chunk = read_records(spark, files[start : start + step])
+        found = first_format(chunk, "path", "block_start", "rid")
+        start, step = start + step, step * 2
+    return found or NO_RECORD_FORMAT
+
+
 def prepare(
     spark: SparkSession, path: str | list[str], cfg: PrepareConfig = PrepareConfig()
 ) -> tuple[DataFrame, str | None]:
     """A folder of record files to split examples, and the layout found.
 
     In the default mode the layout is that of the first record in path order,
-    for which only the leading file is read.
+    for which the leading file is read up to that record.
     """
     fmt = None
     if cfg.format_mode == "first":
-        fmt = first_format(leading_records(spark, path), "path", "block_start", "rid")
+        fmt = leading_format(spark, path)
     examples, fmt = record_examples(read_records(spark, path), cfg, fmt)
     return finish(examples, cfg), fmt
 

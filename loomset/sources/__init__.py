@@ -1,6 +1,5 @@
 from loomset.sources.metrics import read_metrics
 from loomset.sources.records import (
-    leading_records,
     read_csv,
     read_json,
     read_jsonl,

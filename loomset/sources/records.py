@@ -105,11 +105,14 @@ def read_txt(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .option("pathGlobFilter", _any_case("txt"))
         .option("lineSep", "\n\n")
         .text(path)
-        .select(*_place(), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
+        .select(*_place(), "value")
     )
+    line_feeds = F.when(
+        F.contains("value", F.lit("\r")), F.regexp_replace("value", "\r\n?", "\n")
+    ).otherwise(F.col("value"))
     paragraphs = (
         chunks.select(
-            "path", "block_start", F.explode(F.split("value", "\n\n")).alias("text")
+            "path", "block_start", F.explode(F.split(line_feeds, "\n\n")).alias("text")
         )
         .withColumn("text", py_strip(F.col("text")))
         .where(F.col("text") != "")
@@ -203,20 +206,6 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def leading_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The records of the first file, by path, that has any; needed to see the first record.
-
-    Reads one file, then the next two, four, … until a record turns up.
-    """
-    files = scan_files(spark, path)
-    start, step = 0, 1
-    while True:
-        records = read_records(spark, files[start : start + step])
-        start, step = start + step, step * 2
-        if start >= len(files) or not records.limit(1).isEmpty():
-            return records
-
-
 def _text(spark: SparkSession, path: str | list[str], suffix: str, wholetext: bool = False) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True).option(
         "pathGlobFilter", _any_case(suffix)
