@@ -31,8 +31,7 @@ def preview_groups(df: DataFrame, group: str, order: Column, raw: Column, json:
 def preview(spark: SparkSession, path: str, n_files: int = 3) -> DataFrame:
     """Preview of the first files by path; other files are not read."""
     records = read_records(spark, scan_files(spark, path)[:n_files])
-    # Block starts lie far apart, row numbers below 2**63: one decimal orders both.
-    place = F.col("block_start").cast("decimal(19,0)") * F.lit(2**63).cast("decimal(19,0)") + F.col(
-        "rid"
-    ).cast("decimal(19,0)")
+    # Row numbers stay below 2**63: one decimal orders block starts, then rows.
+    rows_per_block = F.lit(str(2**63)).cast("decimal(19,0)")
+    place = F.col("block_start").cast("decimal(19,0)") * rows_per_block + F.col("rid")
     return preview_groups(records, "path", place, F.col("raw"), F.col("json"))
