@@ -279,6 +279,9 @@ SELECT user_id AS request_id, session, min(epoch_us(ts)) AS start_us, max(epoch_
        count(*) AS n_samples, round(avg(value), 6) AS cpu_avg, max(value) AS cpu_max, min(value) AS cpu_min,
        CASE WHEN count(*) > 1 THEN CASE WHEN arg_max({_K} / 10, ts) > arg_min({_K} / 10, ts) THEN 'increasing' ELSE 'stable' END END AS system_memory_trend,
        round(CASE WHEN count(*) > 1 THEN max({_K} / 10) - min({_K} / 10) END, 6) AS system_memory_variance,
+       round(avg(value) FILTER (event_type = 'click'), 6) AS gpu_temp_avg, max({_K} / 10) AS system_memory_peak,
+       round(CASE WHEN count(*) FILTER (event_type <> 'error') > 0
+             THEN avg(CASE WHEN event_type <> 'error' THEN {_K} / 8 ELSE 0 END) END, 6) AS gpu_memory_avg,
        min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT ts) AS n_times, CAST(max({_K}) AS BIGINT) AS input_tokens,
        date_trunc('day', min(ts))::TIMESTAMP AS start_ts
 FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
@@ -573,7 +576,8 @@ _ORACLE = {
         FROM ({_REQUEST_SPEEDS}) s JOIN ({_SUMMARY}) r USING (request_id) JOIN ({_MEMORY}) m USING (request_id)""",
     "ratings": f"SELECT event_id, {_rating('value')} AS rating, {_grade('(value / 10)')} AS grade FROM events",
     "sessions": f"""
-        SELECT request_id, start_us, end_us, n_samples, cpu_avg, cpu_max, cpu_min FROM ({_SESSIONS})""",
+        SELECT request_id, start_us, end_us, n_samples, cpu_avg, cpu_max, cpu_min, gpu_temp_avg, gpu_memory_avg,
+               system_memory_peak, system_memory_trend, system_memory_variance FROM ({_SESSIONS})""",
     "stream_snapshots": f"""
         SELECT request_id, window_us, us, cpu, system_memory FROM (
           SELECT user_id AS request_id, epoch_us(date_trunc('hour', ts)::TIMESTAMP) AS window_us, epoch_us(ts) AS us,
@@ -582,7 +586,8 @@ _ORACLE = {
           FROM events)
         WHERE place = 1 AND window_us + 3600000000 <= {_WATERMARK}""",
     "stream_resources": f"""
-        SELECT request_id, start_us, end_us, n_samples, cpu_avg, cpu_max, cpu_min, system_memory_trend, system_memory_variance
+        SELECT request_id, start_us, end_us, n_samples, cpu_avg, cpu_max, cpu_min, gpu_temp_avg, gpu_memory_avg,
+               system_memory_peak, system_memory_trend, system_memory_variance
         FROM ({_SESSIONS}) WHERE end_us <= {_WATERMARK}""",
     "stream_requests": f"""
         SELECT request_id, {_round(8, _SPEED_NAMES)}, input_tokens, output_tokens, total_tokens,

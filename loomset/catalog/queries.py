@@ -584,7 +584,12 @@ def _session_input(df: DataFrame) -> DataFrame:
 @query
 def sessions(spark, sf):
     rows = telemetry.session_summary(_session_input(inputs.events(spark, sf)), _GAP)
-    return _rounded(rows, 6, "cpu_avg").select(
+    return _session_columns(rows)
+
+
+def _session_columns(rows: DataFrame) -> DataFrame:
+    rounded = ("cpu_avg", "gpu_temp_avg", "gpu_memory_avg", "system_memory_variance")
+    return _rounded(rows, 6, *rounded).select(
         "request_id",
         F.unix_micros("session_start").alias("start_us"),
         F.unix_micros("session_end").alias("end_us"),
@@ -592,6 +597,11 @@ def sessions(spark, sf):
         "cpu_avg",
         "cpu_max",
         "cpu_min",
+        "gpu_temp_avg",
+        "gpu_memory_avg",
+        "system_memory_peak",
+        "system_memory_trend",
+        "system_memory_variance",
     )
 
 
@@ -617,17 +627,7 @@ def stream_resources(spark, sf):
     stream = telemetry_streams.stream_resources(
         _session_input(inputs.event_stream(spark, sf)), f"{_GAP} seconds", "10 seconds"
     )
-    return _rounded(drain(stream, "resources"), 6, "cpu_avg", "system_memory_variance").select(
-        "request_id",
-        F.unix_micros("session_start").alias("start_us"),
-        F.unix_micros("session_end").alias("end_us"),
-        "n_samples",
-        "cpu_avg",
-        "cpu_max",
-        "cpu_min",
-        "system_memory_trend",
-        "system_memory_variance",
-    )
+    return _session_columns(drain(stream, "resources"))
 
 
 @query

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from loomset.operators.running import running_before
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 # Metric names.
 TRAIN_LOSS = "train/loss"
@@ -12,7 +10,7 @@ TRAIN_LOSS_FALLBACK = "loss"
 EVAL_LOSS = "eval/loss"
 LEARNING_RATE = "train/learning_rate"
 
-# Steps per block of a running aggregate; steps are unique per run and tag.
+# Steps per block of a series; steps are unique per run and tag.
 STEP_BLOCK = 4096
 
 
@@ -95,37 +93,55 @@ def early_stop(metrics: DataFrame, patience: int = 3) -> DataFrame:
     stops at the first evaluation that is the ``patience``-th in a row without
     improvement. ``stop_step`` is NULL if that never happens, and the best
     evaluation is then the best of the whole series; else the best up to the stop.
+
+    The last improvement before an evaluation is the least (value, step) before
+    it. It is looked for within blocks of steps, one row per block is ordered
+    per run, and the two are joined: a long run is spread over its blocks.
     """
-    block = F.floor(F.col("step") / STEP_BLOCK)
-    one = F.lit(1).cast("bigint")
-    seen = running_before(
-        eval_series(metrics), ["run_id"], block, "step",
-        best=("min", F.col("value")), earlier=("sum", one),
+    evals = eval_series(metrics).withColumn("block", F.floor(F.col("step") / STEP_BLOCK))
+    inside = Window.partitionBy("run_id", "block").orderBy("step")
+    mark = F.struct("value", "step", "place")
+    rows = evals.withColumn("place", F.row_number().over(inside).cast("bigint")).withColumn(
+        "near", F.min(mark).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     )
-    placed = seen.select(
-        "run_id",
-        "step",
-        "value",
-        (F.col("earlier") + 1).alias("place"),
-        (F.col("best").isNull() | (F.col("value") < F.col("best"))).alias("improved"),
+    earlier = (
+        Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    blocks = (
+        rows.groupBy("run_id", "block")
+        .agg(F.count("*").alias("n"), F.min(mark).alias("least"))
+        .withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("bigint")))
+        .select(
+            "run_id",
+            "block",
+            "offset",
+            F.min(_moved("least", "offset")).over(earlier).alias("far"),
+        )
     )
-    # Each row knows the last improvement before it, so the row of the stop
-    # already carries the best evaluation up to there.
-    mark = F.struct("place", "step", "value")
-    history = running_before(
-        placed, ["run_id"], block, "step", last=("max", F.when(F.col("improved"), mark))
+    best = F.least("far", _moved("near", "offset"))
+    seen = rows.join(blocks, ["run_id", "block"]).select(
+        "run_id", "step", "value", (F.col("offset") + F.col("place")).alias("place"), best.alias("best")
     )
-    waited = F.when(~F.col("improved"), F.col("place") - F.col("last.place"))
-    stop = F.min(F.when(waited >= patience, F.struct("step", "last")))
-    best = F.max(F.when(F.col("improved"), mark))
-    runs = history.groupBy("run_id").agg(
-        stop.alias("stop"), best.alias("best"), F.count("*").alias("n_evals")
+    improved = F.col("best").isNull() | (F.col("value") < F.col("best.value"))
+    waited = F.when(~improved, F.col("place") - F.col("best.place"))
+    runs = seen.groupBy("run_id").agg(
+        F.min(F.when(waited >= patience, F.struct("step", "best"))).alias("stop"),
+        F.min(F.struct("value", "step")).alias("least"),
+        F.count("*").alias("n_evals"),
     )
-    chosen = F.when(F.col("stop").isNotNull(), F.col("stop.last")).otherwise(F.col("best"))
     return runs.select(
         "run_id",
         F.col("stop.step").alias("stop_step"),
-        chosen["step"].alias("best_step"),
-        chosen["value"].alias("best_value"),
+        F.coalesce("stop.best.step", "least.step").alias("best_step"),
+        F.coalesce("stop.best.value", "least.value").alias("best_value"),
         "n_evals",
     )
+
+
+def _moved(mark: str, offset: str) -> Column:
+    """A mark whose place counts from the first block instead of its own; NULL stays NULL."""
+    m = F.col(mark)
+    moved = F.struct(
+        m["value"].alias("value"), m["step"].alias("step"), (m["place"] + F.col(offset)).alias("place")
+    )
+    return F.when(m.isNotNull(), moved)

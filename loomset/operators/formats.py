@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomset.functions.once import with_once
 from loomset.operators.dialogues import final_pair, is_dialogue_role, labelled, map_role
+from loomset.operators.joins import lookup_join
 
 # Layouts and their display names.
 FORMAT_NAMES = {
@@ -73,14 +74,21 @@ def first_format(records: DataFrame, *order: str) -> str | None:
 
     The order columns are narrow; records themselves are not sorted or moved.
     """
-    first = F.min_by(format_expr(F.col("raw")), F.struct(*order))
-    return records.agg(first.alias("fmt")).first()["fmt"]
+    layouts = records.select(*order, format_expr(F.col("raw")).alias("fmt"))
+    return layouts.agg(F.min_by("fmt", F.struct(*order)).alias("fmt")).first()["fmt"]
 
 
 def detect_format(
-    records: DataFrame, mode: str = "first", order: tuple[str, ...] = ("path", "block_start", "rid")
+    records: DataFrame,
+    mode: str = "first",
+    order: tuple[str, ...] = ("path", "block_start", "rid"),
+    n_files: int | None = None,
 ) -> DataFrame:
-    """Add ``fmt``: of the data set's first record, of each file's first, or of each record."""
+    """Add ``fmt``: of the data set's first record, of each file's first, or of each record.
+
+    ``order`` starts with the file. ``n_files``, if known, bounds the number of
+    files and so the table of their layouts (see ``lookup_join``).
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     if mode == "per_record":
@@ -88,11 +96,10 @@ def detect_format(
     if mode == "first":
         fmt = first_format(records, *order) or NO_RECORD_FORMAT
         return records.withColumn("fmt", F.lit(fmt))
-    place = order[1:] if order[0] == "path" and len(order) > 1 else order
-    per_file = records.groupBy("path").agg(
-        F.min_by(format_expr(F.col("raw")), F.struct(*place)).alias("fmt")
-    )
-    return records.join(per_file, "path")
+    # The layout is taken before grouping: records themselves are not sorted.
+    layouts = records.select(*order, format_expr(F.col("raw")).alias("fmt"))
+    per_file = layouts.groupBy(order[0]).agg(F.min_by("fmt", F.struct(*order[1:])).alias("fmt"))
+    return lookup_join(records, per_file, order[0], "inner", n_files)
 
 
 def messages(raw: Column, fmt: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import VariantType
 
 BROADCAST_ROWS = 100_000
 SALTS = 64
@@ -27,7 +28,8 @@ def lookup_join(
         raise ValueError("lookup_join knows inner and left")
     if table_rows is not None and table_rows <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), on, how)
-    others = [c for c in rows.columns if c != on]
+    # A variant cannot be hashed; any other columns spread the rows.
+    others = [f.name for f in rows.schema if f.name != on and not isinstance(f.dataType, VariantType)]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)))
     repeated = table.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))

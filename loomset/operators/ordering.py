@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
@@ -33,8 +34,9 @@ def key_of_rank(df: DataFrame, key: str, rank: Callable[[int], int]) -> tuple[st
     ``key[:len(p)] <= p``, and n. Works like a radix selection: each pass counts
     rows per next group of digits below the prefix found so far and steps into
     the group where the running count reaches the rank. Nothing is sorted, and
-    a pass returns at most 65,536 counts however large the table is. Keys must
-    be unique strings; give it a materialised table, it is read once per pass.
+    a pass returns at most 65,536 counts however large the table is. Digits
+    that all remaining keys share are skipped at once. Keys must be unique
+    strings; give it a materialised table, its key column is read once per pass.
     """
     prefix, missing, total = "", None, 0
     while True:
@@ -53,6 +55,9 @@ def key_of_rank(df: DataFrame, key: str, rank: Callable[[int], int]) -> tuple[st
         prefix += digit
         if n == missing:
             return prefix, total
+        if len(groups) == 1:
+            ends = below.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+            prefix = max(prefix, commonprefix([ends["lo"], ends["hi"]]), key=len)
         if len(digit) < _DIGITS:
             raise ValueError(f"{key!r} is not unique")
 

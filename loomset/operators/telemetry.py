@@ -7,11 +7,14 @@ Tables: ``requests(request_id, start_ts, end_ts, input_tokens, output_tokens)``,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from loomset.functions.ratings import memory_grade, speed_rating, suggestions, utilisation_pct
 from loomset.operators.running import running_before
 
+# Session slots per block.
+SLOT_BLOCK = 4096
+
 # Microseconds per block of token times: at most 10**7 distinct times each.
 GAP_BLOCK = 10_000_000
 
@@ -96,6 +99,23 @@ def speeds(requests: DataFrame, tokens: DataFrame) -> DataFrame:
     return with_speeds(requests.join(token_stats(tokens), "request_id", "left"))
 
 
+# Resource readings and the statistics kept of them.
+READINGS = {
+    "cpu": ("avg", "max", "min"),
+    "gpu_usage": ("avg", "max", "min"),
+    "gpu_temp": ("avg", "max"),
+    "gpu_power": ("avg", "max"),
+}
+# Peaks: name → reading.
+PEAKS = {
+    "system_memory_peak": "system_memory",
+    "pytorch_memory_peak": "pytorch_allocated",
+    "gpu_memory_peak": "gpu_memory_used",
+}
+
+_STATISTICS = {"avg": F.avg, "max": F.max, "min": F.min}
+
+
 def peak(value: str) -> Column:
     """A running maximum that starts at 0."""
     return F.greatest(F.max(value), F.lit(0.0))
@@ -103,24 +123,14 @@ def peak(value: str) -> Column:
 
 def summary_aggregates() -> list[Column]:
     """Resource aggregates of one request's samples; all merge map-side."""
-
-    def stats(name: str, *kinds: str) -> list[Column]:
-        known = {"avg": F.avg, "max": F.max, "min": F.min}
-        return [known[k](name).alias(f"{name}_{k}") for k in kinds]
-
     gpu_seen = F.count("gpu_memory_allocated") > 0
     return [
         F.count("*").alias("n_samples"),
         F.min("ts").alias("first_sample_ts"),
         F.max("ts").alias("last_sample_ts"),
-        *stats("cpu", "avg", "max", "min"),
-        *stats("gpu_usage", "avg", "max", "min"),
-        *stats("gpu_temp", "avg", "max"),
-        *stats("gpu_power", "avg", "max"),
+        *[_STATISTICS[k](r).alias(f"{r}_{k}") for r, kinds in READINGS.items() for k in kinds],
         F.when(gpu_seen, F.avg(F.coalesce("gpu_memory_allocated", F.lit(0.0)))).alias("gpu_memory_avg"),
-        peak("system_memory").alias("system_memory_peak"),
-        peak("pytorch_allocated").alias("pytorch_memory_peak"),
-        peak("gpu_memory_used").alias("gpu_memory_peak"),
+        *[peak(reading).alias(name) for name, reading in PEAKS.items()],
     ]
 
 
@@ -248,38 +258,94 @@ def request_suggestions(
 
 
 def session_summary(samples: DataFrame, gap_seconds: int) -> DataFrame:
-    """Sessions per request, the batch twin of the streaming sessions.
+    """Resource summary and memory trend per session, the batch twin of ``stream_resources``.
 
     A session ends after ``gap_seconds`` without a sample. Samples are reduced
     to one row per ``gap_seconds`` of a request first: two samples in one such
-    slot always share a session. Only slots are ordered, and blocked at that,
-    so neither a long request nor a dense one burdens a single task.
+    slot always share a session. Only slots are ordered, within blocks of
+    slots, and one row per block is ordered per request: neither a long request
+    nor a dense one burdens a single task.
     """
     gap = gap_seconds * 1_000_000
-    us = F.unix_micros("ts")
-    slots = samples.groupBy("request_id", F.floor(us / gap).alias("slot")).agg(
+    slots = samples.groupBy("request_id", F.floor(F.unix_micros("ts") / gap).alias("slot")).agg(
         F.count("*").alias("n"),
         F.min("ts").alias("from_ts"),
         F.max("ts").alias("to_ts"),
-        F.sum("cpu").alias("cpu_sum"),
-        F.count("cpu").alias("cpu_n"),
-        F.max("cpu").alias("cpu_max"),
-        F.min("cpu").alias("cpu_min"),
+        *_partials(),
     )
-    block = F.floor(F.col("slot") / 4096)
-    linked = running_before(
-        slots, ["request_id"], block, "slot", prev=("max", F.unix_micros("to_ts"))
-    ).withColumn(
-        "opens", F.coalesce(F.unix_micros("from_ts") - F.col("prev") > gap, F.lit(True)).cast("bigint")
+    inside = Window.partitionBy("request_id", "block").orderBy("slot")
+    opens = F.unix_micros("from_ts") - F.lag(F.unix_micros("to_ts")).over(inside) > gap
+    # Whether the first slot of a block opens a session is not known inside the block.
+    rows = slots.withColumn("block", F.floor(F.col("slot") / SLOT_BLOCK)).withColumn(
+        "opens", F.coalesce(opens, F.lit(False)).cast("bigint")
+    )
+    earlier = Window.partitionBy("request_id").orderBy("block")
+    first_opens = F.unix_micros("from_ts") - F.lag(F.unix_micros("to_ts")).over(earlier) > gap
+    blocks = (
+        rows.groupBy("request_id", "block")
+        .agg(
+            F.min("from_ts").alias("from_ts"),
+            F.max("to_ts").alias("to_ts"),
+            F.sum("opens").alias("opens"),
+        )
+        .withColumn("first", F.coalesce(first_opens, F.lit(True)).cast("bigint"))
+        .withColumn("upto", F.sum(F.col("opens") + F.col("first")).over(earlier))
+        .select("request_id", "block", (F.col("upto") - F.col("opens")).alias("offset"))
     )
-    numbered = running_before(
-        linked, ["request_id"], block, "slot", earlier=("sum", F.col("opens"))
-    ).withColumn("session", F.col("earlier") + F.col("opens"))
-    return numbered.groupBy("request_id", "session").agg(
+    numbered = (
+        rows.withColumn("number", F.sum("opens").over(inside))
+        .join(blocks, ["request_id", "block"])
+        .withColumn("session", F.col("offset") + F.col("number"))
+    )
+    sessions = numbered.groupBy("request_id", "session").agg(
+        F.sum("n").alias("n_samples"),
+        *_combined(),
         F.min("from_ts").alias("session_start"),
         F.timestamp_micros(F.max(F.unix_micros("to_ts")) + gap).alias("session_end"),
-        F.sum("n").alias("n_samples"),
-        (F.sum("cpu_sum") / F.sum("cpu_n")).alias("cpu_avg"),
-        F.max("cpu_max").alias("cpu_max"),
-        F.min("cpu_min").alias("cpu_min"),
-    ).drop("session")
+    )
+    return sessions.drop("session")
+
+
+def _partials() -> list[Column]:
+    """What a slot keeps of its samples so that ``_combined`` can finish the summary."""
+    kept = [
+        keep(reading).alias(f"{reading}_{name}")
+        for reading, kinds in READINGS.items()
+        for name, keep in (("sum", F.sum), ("count", F.count), ("max", F.max), ("min", F.min))
+        if name in ("sum", "count", *kinds)
+    ]
+    memory = F.col("system_memory")
+    return [
+        *kept,
+        F.sum("gpu_memory_allocated").alias("gpu_memory_sum"),
+        F.max("pytorch_allocated").alias("pytorch_allocated_max"),
+        F.max("gpu_memory_used").alias("gpu_memory_used_max"),
+        F.max(memory).alias("system_memory_max"),
+        F.min(memory).alias("system_memory_min"),
+        F.min_by(memory, "ts").alias("system_memory_first"),
+        F.max_by(memory, "ts").alias("system_memory_last"),
+    ]
+
+
+def _combined() -> list[Column]:
+    """The columns of ``summary_aggregates`` and the trend, from slots."""
+
+    def finish(reading: str, kind: str) -> Column:
+        if kind == "avg":
+            return F.try_divide(F.sum(f"{reading}_sum"), F.sum(f"{reading}_count"))
+        return _STATISTICS[kind](f"{reading}_{kind}")
+
+    several = F.sum("n") > 1
+    first, last = F.min_by("system_memory_first", "from_ts"), F.max_by("system_memory_last", "to_ts")
+    return [
+        *[finish(r, k).alias(f"{r}_{k}") for r, kinds in READINGS.items() for k in kinds],
+        # A missing reading counts as 0 here, so the mean is over all samples.
+        (F.sum("gpu_memory_sum") / F.sum("n")).alias("gpu_memory_avg"),
+        *[peak(f"{reading}_max").alias(name) for name, reading in PEAKS.items()],
+        F.when(several, F.when(last > first, "increasing").otherwise("stable")).alias(
+            "system_memory_trend"
+        ),
+        F.when(several, F.max("system_memory_max") - F.min("system_memory_min")).alias(
+            "system_memory_variance"
+        ),
+    ]

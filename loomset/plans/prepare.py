@@ -154,63 +154,61 @@ def record_examples(
     if fmt is not None:
         typed = records.withColumn("fmt", F.lit(fmt))
     else:
-        typed = detect_format(records, cfg.format_mode)
+        typed = detect_format(records, cfg.format_mode, n_files=len(records.inputFiles()))
     place = source_key(F.col("path"), F.col("block_start"), F.col("rid"))
     identity = F.coalesce("json", F.lit(""))
     placed = _with_order(typed, cfg, identity, place).select("path", "fmt", "order_key", "raw")
 
-    dialogues = placed.where((F.col("fmt") == "sharegpt") & is_object(F.col("raw")))
     expanded = None
     if fmt in (None, "sharegpt"):
-        turns = with_once(dialogues, "turns", messages(F.col("raw"), "sharegpt")).drop("raw")
-        sound = turns.where(~broken_turns(F.col("turns")))
-        candidate = expand_dialogues(sound, "turns", cfg.max_length, cfg.labels)
-        if not candidate.limit(1).isEmpty():
-            expanded = candidate.select(
-                "path",
-                "fmt",
-                _turn_key(cfg, F.col("order_key"), F.col("turn_pos")).alias("order_key"),
-                "prompt",
-                "response",
-                F.lit(cfg.system_prompt).alias("system"),
-                F.lit("").alias("cot"),
-                F.lit(False).alias("error"),
-                "over_length",
-            )
-            broken = turns.where(broken_turns(F.col("turns"))).select(
-                "path", "fmt", "order_key", *_empty_pair(cfg)
-            )
-            expanded = expanded.unionByName(broken)
-
-    if expanded is None:
-        singles = placed
-    elif fmt == "sharegpt":
+        expanded = _expanded_records(placed.where(F.col("fmt") == "sharegpt"), cfg)
+        if expanded.where(~F.col("error")).limit(1).isEmpty():
+            expanded = None
+    if expanded is not None and fmt == "sharegpt":
         return expanded, fmt
-    else:
-        singles = placed.where(F.col("fmt") != "sharegpt")
+    singles = placed if expanded is None else placed.where(F.col("fmt") != "sharegpt")
     pairs = to_pair(singles, fmt, cfg.system_prompt, cfg.strict_pair).withColumn(
         "over_length", F.lit(False)
     )
     return (pairs if expanded is None else pairs.unionByName(expanded)), fmt
 
 
+def _expanded_records(dialogues: DataFrame, cfg: PrepareConfig) -> DataFrame:
+    """Examples of dialogue records; a record with a broken turn gives one with ``error``."""
+    turns = messages(F.col("raw"), "sharegpt")
+    # Stands for a broken record: expands to one example without a response.
+    broken = F.array(
+        F.struct(F.lit("user").alias("role"), F.lit("").alias("content")),
+        F.struct(F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("content")),
+    )
+    parsed = dialogues.withColumn("broken", ~is_object(F.col("raw")))
+    said = with_once(parsed, "turns", turns).select(
+        "path",
+        "fmt",
+        "order_key",
+        F.when(F.col("broken") | broken_turns(F.col("turns")), broken)
+        .otherwise(F.col("turns"))
+        .alias("turns"),
+    )
+    return expand_dialogues(said, "turns", cfg.max_length, cfg.labels).select(
+        "path",
+        "fmt",
+        _turn_key(cfg, F.col("order_key"), F.col("turn_pos")).alias("order_key"),
+        "prompt",
+        "response",
+        F.lit(cfg.system_prompt).alias("system"),
+        F.lit("").alias("cot"),
+        F.col("response").isNull().alias("error"),
+        "over_length",
+    )
+
+
 def _turn_key(cfg: PrepareConfig, key: Column, pos: Column) -> Column:
     if cfg.shuffle:
         return F.md5(F.concat_ws("-", key, pos))
     return F.concat(key, F.lpad(F.hex(pos), 16, "0"))
 
 
-def _empty_pair(cfg: PrepareConfig) -> list[Column]:
-    return [
-        F.lit("").alias("prompt"),
-        F.lit("").alias("response"),
-        F.lit(cfg.system_prompt).alias("system"),
-        F.lit("").alias("cot"),
-        F.lit(True).alias("error"),
-        F.lit(False).alias("over_length"),
-    ]
-
-
 def prepare_turns(turns: DataFrame, cfg: PrepareConfig = PrepareConfig()) -> DataFrame:
     """A turn table to ``conv_id, turn, prompt, response, system, cot, text, split``."""
     return finish(turn_examples(turns, cfg), cfg)

@@ -14,6 +14,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomset.functions.text import py_strip
+from loomset.operators.joins import lookup_join
 
 # File name endings that are read.
 SUFFIXES = ("json", "jsonl", "txt", "csv", "tsv")
@@ -127,7 +128,7 @@ def read_txt(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
     pieces = F.when(F.col("alone"), F.split("text", "\n")).otherwise(F.array("text"))
     texts = (
-        paragraphs.join(alone, "path", "left")
+        lookup_join(paragraphs, alone, "path", "left", len(chunks.inputFiles()))
         .select("path", "block_start", "rid", F.posexplode(pieces).alias("pos", "text"))
         .withColumn("text", py_strip(F.col("text")))
         .where(F.col("text") != "")
@@ -198,6 +199,11 @@ _READERS = {
 }
 
 
+def file_counts(records: DataFrame) -> DataFrame:
+    """Records per file."""
+    return records.groupBy("path").agg(F.count("*").alias("n"))
+
+
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All records below a folder: one scan per kind of file, put together."""
     found = {f.rsplit(".", 1)[-1].lower() for f in scan_files(spark, path)}

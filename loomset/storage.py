@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
+# Folders made for local sessions that name none, by application.
+_local_dirs: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
@@ -21,9 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="loomset-")
-    spark.conf.set(_SETTING, own)
-    return own
+    app = spark.conf.get("spark.app.id", "local")
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="loomset-")
+    return _local_dirs[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -51,6 +51,9 @@ def test_key_of_rank(spark):
     for rank in (1, 2, len(keys) // 2, len(keys)):
         cut, total = key_of_rank(df, "k", lambda n: rank)
         assert total == len(keys) and sum(k[: len(cut)] <= cut for k in keys) == rank
+    long = df.withColumn("k", F.concat(F.lit("shared/" * 40), F.col("k"), F.lit("/tail" * 9)))
+    cut, _ = key_of_rank(long, "k", lambda n: 7)
+    assert long.where(F.substring("k", 1, len(cut)) <= cut).count() == 7
     with pytest.raises(ValueError):
         key_of_rank(df.union(df), "k", lambda n: 1)
 

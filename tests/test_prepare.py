@@ -63,6 +63,7 @@ def test_sharegpt_expansion(spark, write):
             {"conversations": []},
             {"text": "not a dialogue"},
             {"conversations": [{"from": "human", "value": "x"}, {"from": "gpt"}]},
+            "no object",
         ],
     )
     got, fmt = prepared(spark, folder)
@@ -72,7 +73,7 @@ def test_sharegpt_expansion(spark, write):
     }
     examples, _ = record_examples(read_records(spark, folder), CFG)
     report = {r.reject_reason: r.n for r in quality_report(judged(examples, CFG)).collect()}
-    assert report == {"kept": 3, "error": 1}
+    assert report == {"kept": 3, "error": 2}
 
 
 def test_sharegpt_without_any_expansion(spark, write):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomset.sources import (
+    file_counts,
     read_csv,
     read_json,
     read_jsonl,
@@ -75,6 +76,7 @@ def test_folder_scan(spark, write, tmp_path):
     folder = write("d.txt", "para")
     assert [f.rsplit("/", 1)[1] for f in scan_files(spark, folder)] == ["b b.json", "d.txt", "A.JSONL"]
     assert sorted(texts(read_records(spark, folder))) == ["blank in the name", "para", "upper"]
+    assert [r.n for r in file_counts(read_records(spark, folder)).collect()] == [1, 1, 1]
     (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError):
         scan_files(spark, str(tmp_path / "empty"))

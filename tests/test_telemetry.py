@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomset.functions.ratings import memory_grade, speed_rating, suggestions, utilisation_pct
+from loomset.operators import telemetry
 from loomset.operators.telemetry import (
     memory_analysis,
     request_performance,
@@ -183,7 +184,9 @@ def expected_sessions(rows, gap):
     return {(r, at(s[0][0]), at(s[-1][0] + gap), len(s), round(sum(v for _, v in s) / len(s), 6)) for r, s in out}
 
 
-def test_sessions_in_batch(spark):
+@pytest.mark.parametrize("block", [3, 4096])
+def test_sessions_in_batch(spark, monkeypatch, block):
+    monkeypatch.setattr(telemetry, "SLOT_BLOCK", block)
     rows, df = random_samples(spark)
     got = {(r.request_id, r.session_start, r.session_end, r.n_samples, round(r.cpu_avg, 6)) for r in session_summary(df, 30).collect()}
     assert got == expected_sessions(rows, 30)
@@ -203,6 +206,27 @@ def test_stream_sessions_match_batch(spark, tmp_path):
     assert got == {s for s in expected_sessions(rows, 30) if s[2] <= last}
 
 
+def test_stream_and_batch_sessions_have_the_same_columns(spark, tmp_path):
+    rng = random.Random(13)
+    names = ("pytorch_allocated", "gpu_memory_allocated", "gpu_usage", "gpu_temp", "gpu_power", "gpu_memory_used")
+    rows = [
+        (r, t / 4, g(rng.randint(0, 99), rng.randint(1, 9), **{n: rng.randint(1, 9) for n in names if rng.random() < 0.3}))
+        for r in "ab"
+        for t in rng.sample(range(20000), 250)
+    ]
+    df = sample(spark, rows)
+    stream = drain(stream_resources(streamed(spark, df, tmp_path), "30 seconds", "10 seconds"), "t")
+    batch = session_summary(df, 30)
+    assert sorted(stream.columns) == sorted(batch.columns)
+    last = max(at(t) for _, t, _ in rows) - dt.timedelta(seconds=10)
+
+    def table(df):
+        kept = df.where(F.col("session_end") <= F.lit(last)).select(*sorted(stream.columns))
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in kept.collect()), key=repr)
+
+    assert repr(table(stream)) == repr(table(batch)) and stream.count() > 50
+
+
 def test_stream_over_several_batches(spark, tmp_path):
     """With a delay that covers the disorder, batch borders leave no trace."""
     rows, df = random_samples(spark)
