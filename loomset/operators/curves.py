@@ -14,34 +14,31 @@ LEARNING_RATE = "train/learning_rate"
 STEP_BLOCK = 4096
 
 
-def train_series(metrics: DataFrame) -> DataFrame:
-    """The training-loss points: tag ``train/loss``, for runs without it ``loss``."""
-    named = metrics.where(F.col("tag") == TRAIN_LOSS)
-    runs = named.select("run_id").distinct()
-    fallback = metrics.where(F.col("tag") == TRAIN_LOSS_FALLBACK).join(runs, "run_id", "left_anti")
-    return named.unionByName(fallback).select("run_id", "step", "value")
+# Metric name → curve of a report.
+CURVES = {TRAIN_LOSS: "train_loss", EVAL_LOSS: "eval_loss", LEARNING_RATE: "learning_rate"}
 
 
-def eval_series(metrics: DataFrame) -> DataFrame:
-    return metrics.where(F.col("tag") == EVAL_LOSS).select("run_id", "step", "value")
-
+def curves(metrics: DataFrame) -> DataFrame:
+    """The three curves of a report as one table ``run_id, curve, step, value``.
 
-def lr_series(metrics: DataFrame) -> DataFrame:
-    return metrics.where(F.col("tag") == LEARNING_RATE).select("run_id", "step", "value")
+    Runs without ``train/loss`` show ``loss`` as their training loss.
+    """
+    name = F.col("tag")
+    for tag, curve in CURVES.items():
+        name = F.when(F.col("tag") == tag, curve).otherwise(name)
+    direct = metrics.where(F.col("tag").isin(*CURVES))
+    named_runs = metrics.where(F.col("tag") == TRAIN_LOSS).select("run_id").distinct()
+    fallback = metrics.where(F.col("tag") == TRAIN_LOSS_FALLBACK).join(
+        named_runs, "run_id", "left_anti"
+    )
+    return direct.select("run_id", name.alias("curve"), "step", "value").unionByName(
+        fallback.select("run_id", F.lit(CURVES[TRAIN_LOSS]).alias("curve"), "step", "value")
+    )
 
 
-def curves(metrics: DataFrame) -> DataFrame:
-    """The three curves of a report as one table ``run_id, curve, step, value``."""
-    parts = {
-        "train_loss": train_series(metrics),
-        "eval_loss": eval_series(metrics),
-        "learning_rate": lr_series(metrics),
-    }
-    named = [
-        df.select("run_id", F.lit(name).alias("curve"), "step", "value")
-        for name, df in parts.items()
-    ]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+def series(metrics: DataFrame, curve: str) -> DataFrame:
+    """One curve, ready for ``poly_fit``: ``run_id, step, value``."""
+    return curves(metrics).where(F.col("curve") == curve).drop("curve")
 
 
 def loss_summary(metrics: DataFrame) -> DataFrame:
@@ -98,7 +95,7 @@ def early_stop(metrics: DataFrame, patience: int = 3) -> DataFrame:
     it. It is looked for within blocks of steps, one row per block is ordered
     per run, and the two are joined: a long run is spread over its blocks.
     """
-    evals = eval_series(metrics).withColumn("block", F.floor(F.col("step") / STEP_BLOCK))
+    evals = metrics.where(F.col("tag") == EVAL_LOSS).withColumn("block", F.floor(F.col("step") / STEP_BLOCK))
     inside = Window.partitionBy("run_id", "block").orderBy("step")
     mark = F.struct("value", "step", "place")
     rows = evals.withColumn("place", F.row_number().over(inside).cast("bigint")).withColumn(

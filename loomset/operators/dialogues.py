@@ -113,7 +113,7 @@ def expand_turns(
         F.col(conv).alias("conv"),
         F.col(turn).cast("bigint").alias("turn"),
         F.col(role).alias("role"),
-        F.col(text).alias("text"),
+        F.coalesce(text, F.lit("")).alias("text"),
     )
     head_size = max_chars // (min(map(len, labels)) + 1) + 2
     limits, n_limits = _head_limits(spoken.select("conv", "turn"), head_size)

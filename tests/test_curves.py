@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomset.operators import joins
-from loomset.operators.curves import curves, early_stop, loss_summary
+from loomset.operators.curves import curves, early_stop, loss_summary, series
 from loomset.operators.polyfit import poly_fit, step_coefficients
 
 SCHEMA = "run_id string, tag string, step long, value double"
@@ -23,9 +23,9 @@ def test_summary_and_fallback(spark):
     assert a.reduction_pct == 25 and a.best_eval_loss == 0.6
     assert got["b"].reduction_pct == -25 and got["b"].best_eval_loss is None
     assert got["d"].reduction_pct is None
-    series = {(r.run_id, r.curve) for r in curves(df).collect()}
-    assert series == {("a", "train_loss"), ("a", "eval_loss"), ("b", "train_loss"), ("c", "eval_loss"), ("d", "train_loss")}
-    assert curves(df).where("run_id = 'a' and curve = 'train_loss'").count() == 4
+    found = {(r.run_id, r.curve) for r in curves(df).collect()}
+    assert found == {("a", "train_loss"), ("a", "eval_loss"), ("b", "train_loss"), ("c", "eval_loss"), ("d", "train_loss")}
+    assert series(df, "train_loss").where("run_id = 'a'").count() == 4
 
 
 def replay(values, patience):
