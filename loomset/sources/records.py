@@ -108,13 +108,12 @@ def read_txt(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .text(path)
         .select(*_place(), "value")
     )
-    line_feeds = F.when(
-        F.contains("value", F.lit("\r")), F.regexp_replace("value", "\r\n?", "\n")
-    ).otherwise(F.col("value"))
+    # Most chunks are one paragraph already; a byte search tells which are not.
+    uncut = F.contains("value", F.lit("\n\n")) | F.contains("value", F.lit("\r"))
+    cut = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n\n")
+    pieces = F.when(uncut, cut).otherwise(F.array("value"))
     paragraphs = (
-        chunks.select(
-            "path", "block_start", F.explode(F.split(line_feeds, "\n\n")).alias("text")
-        )
+        chunks.select("path", "block_start", F.explode(pieces).alias("text"))
         .withColumn("text", py_strip(F.col("text")))
         .where(F.col("text") != "")
         .withColumn("rid", F.monotonically_increasing_id())
@@ -126,21 +125,21 @@ def read_txt(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .where(F.col("n") == 1)
         .select("path", F.lit(True).alias("alone"))
     )
-    pieces = F.when(F.col("alone"), F.split("text", "\n")).otherwise(F.array("text"))
+    lines = F.when(F.col("alone"), F.split("text", "\n")).otherwise(F.array("text"))
     texts = (
         lookup_join(paragraphs, alone, "path", "left", len(chunks.inputFiles()))
-        .select("path", "block_start", "rid", F.posexplode(pieces).alias("pos", "text"))
+        .select("path", "block_start", "rid", F.posexplode(lines).alias("pos", "text"))
         .withColumn("text", py_strip(F.col("text")))
         .where(F.col("text") != "")
     )
     # Lines of a one-paragraph file share its number: add their position.
-    body = F.to_json(F.struct("text"))
+    record = F.struct("text")
     return texts.select(
         "path",
         "block_start",
         (F.col("rid") + F.col("pos")).alias("rid"),
-        body.alias("json"),
-        F.try_parse_json(body).alias("raw"),
+        F.to_json(record).alias("json"),
+        F.to_variant_object(record).alias("raw"),
     )
 
 
@@ -182,8 +181,9 @@ def _read_csv_group(spark: SparkSession, paths: list[str], sep: str) -> DataFram
         .option("ignoreTrailingWhiteSpace", False)
         .csv(paths)
     )
-    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns]
-    return _records(rows.select(*_place(), F.to_json(F.struct(*cells)).alias("json")))
+    record = F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
+    cells = rows.select(*_place(), record.alias("record"), F.to_json(record).alias("json"))
+    return _records(cells, F.to_variant_object("record"))
 
 
 def read_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
