@@ -78,10 +78,8 @@ _CLEAN_DOCUMENTS = _first_of_prefix(
     f"SELECT doc_id, text, {_key('doc_id')} AS order_key FROM ({_STRIPPED}) WHERE ({_reason('text')}) IS NULL"
 )
 
-_EXPANDED = f"""
-SELECT conv_id, turn, CASE WHEN length(p) <= 8192 THEN p END AS prompt, text AS response,
-       length(p) > 8192 AS over_length
-FROM (
+_CONTEXTS = f"""
+SELECT conv_id, turn, text, p FROM (
   SELECT conv_id, turn, role, text,
          string_agg(line, {_NL}) OVER (
            PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
@@ -90,6 +88,21 @@ FROM (
 ) WHERE role = 'assistant' AND p IS NOT NULL
 """
 
+_EXPANDED = f"""
+SELECT conv_id, turn, CASE WHEN length(p) <= 8192 THEN p END AS prompt, text AS response,
+       length(p) > 8192 AS over_length
+FROM ({_CONTEXTS})
+"""
+
+_NESTED = f"""
+SELECT doc_id, i - 1 AS turn_pos, CASE WHEN length(p) <= 8192 THEN p END AS prompt, l[i] AS response,
+       length(p) > 8192 AS over_length
+FROM (SELECT doc_id, l, i, array_to_string(list_transform(l[1:i - 1], lambda x, j:
+        CASE WHEN j % 2 = 1 THEN '{USER_LABEL}' ELSE '{ASSISTANT_LABEL}' END || x), {_NL}) AS p
+      FROM (SELECT doc_id, l, unnest(range(2, len(l) + 1, 2)) AS i
+            FROM (SELECT doc_id, string_split(text, {_NL}) AS l FROM documents)))
+"""
+
 _TURN_TEXT = f"""
 SELECT *, {_strip(_chat('prompt', 'response'))} AS text,
        {_key("(conv_id || '-' || turn)")} AS order_key
@@ -400,13 +413,7 @@ _ORACLE = {
           '{SYSTEM_PROMPT}' AS system, CASE source WHEN 'src3' THEN text ELSE '' END AS cot, false AS error
         FROM documents""",
     "dialogue_expand": _EXPANDED,
-    "dialogue_expand_nested": f"""
-        SELECT doc_id, i - 1 AS turn_pos, CASE WHEN length(p) <= 8192 THEN p END AS prompt, l[i] AS response,
-               length(p) > 8192 AS over_length
-        FROM (SELECT doc_id, l, i, array_to_string(list_transform(l[1:i - 1], lambda x, j:
-                CASE WHEN j % 2 = 1 THEN '{USER_LABEL}' ELSE '{ASSISTANT_LABEL}' END || x), {_NL}) AS p
-              FROM (SELECT doc_id, l, unnest(range(2, len(l) + 1, 2)) AS i
-                    FROM (SELECT doc_id, string_split(text, {_NL}) AS l FROM documents)))""",
+    "dialogue_expand_nested": _NESTED,
     "chatml_pair": """
         SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'user' AND text <> ''), '') AS prompt,
                coalesce(arg_max(text, turn) FILTER (role = 'assistant' AND text <> ''), '') AS response
@@ -456,6 +463,23 @@ _ORACLE = {
             SELECT {_strip(_chat('prompt', 'response'))} AS text FROM ({_ALPACA_PAIRS}))
             WHERE ({_reason('text')}) IS NULL))
         GROUP BY split""",
+    "prepared_dialogue_files": f"""
+        SELECT split, count(*) AS n FROM (
+          SELECT CASE WHEN row_number() OVER () <= greatest(1, trunc(count(*) OVER () * 0.05::DOUBLE))
+                 THEN 'val' ELSE 'train' END AS split
+          FROM (SELECT DISTINCT left(prompt || {_NL} || response, 200) FROM (
+            SELECT prompt, response, {_strip(_chat('prompt', 'response'))} AS text FROM ({_NESTED}) WHERE prompt IS NOT NULL)
+            WHERE ({_reason('text')}) IS NULL))
+        GROUP BY split""",
+    "rejected_dialogue_examples": f"""
+        SELECT CASE WHEN length({_strip(_chat('p', 'text'))}) BETWEEN 10 AND 1000 THEN 'kept' ELSE 'length' END AS reject_reason,
+               count(*) AS n
+        FROM ({_CONTEXTS}) GROUP BY 1""",
+    "prepared_chat_template": f"""
+        SELECT conv_id, turn, text FROM (
+          SELECT conv_id, turn, {_strip(_chat('prompt', 'response') + f" || {_NL} || '<|im_start|>assistant'")} AS text
+          FROM ({_EXPANDED}) WHERE prompt IS NOT NULL)
+        WHERE length(text) BETWEEN 10 AND 8192""",
     "written_examples": _split(_CLEAN_DOCUMENTS, "doc_id"),
     "run_manifest": f"""
         SELECT 'instruction' AS task_type, 'plain_text' AS dataset_format,
@@ -514,6 +538,11 @@ _ORACLE = {
         FROM documents""",
     "bertscore": f"""
         SELECT pair_id, {_round(5, ('bertscore_precision', 'bertscore_recall', 'bertscore_f1'))} FROM ({_BERTSCORE})""",
+    "written_predictions": f"""
+        SELECT conv_id || '-' || turn AS pair_id, prompt, prompt AS reference, response AS prediction FROM ({_EXCHANGES})""",
+    "written_samples": f"""
+        SELECT request_id, output_tokens, pytorch_memory_peak AS gpu_memory_peak
+        FROM ({_REQUEST_SPEEDS}) JOIN ({_SUMMARY}) USING (request_id)""",
     "eval_loss": _EVAL_LOSS,
     "score_report": f"""
         SELECT (SELECT count(*) FROM ({_EXCHANGES})) AS num_samples,
@@ -528,6 +557,10 @@ _ORACLE = {
         SELECT doc_id, array_to_string({_IDS.format('text')}[1:2048], ' ') AS input_ids,
                octet_length(encode(text)) AS n_tokens, octet_length(encode(text)) > 2048 AS truncated
         FROM documents""",
+    "model_token_columns": """
+        SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c))[1:256], ' ') AS input_ids,
+               length(text) AS n_tokens, length(text) > 256 AS truncated
+        FROM conversations""",
     "masked_labels": f"""
         SELECT conv_id, turn, array_to_string(list_transform({_IDS.format('prompt || response')}[1:2048],
                  lambda x, i: CASE WHEN i <= octet_length(encode(prompt)) THEN -100 ELSE x END), ' ') AS labels

@@ -317,6 +317,40 @@ def prepared_files(spark, sf):
     return plans.split_counts(examples)
 
 
+@query
+def prepared_dialogue_files(spark, sf):
+    """Dialogue records (lines of a document, spoken in turn) from files to the split sizes."""
+    path = scratch_path(spark, "dialogues")
+    message = F.transform(
+        "messages",
+        lambda m: F.struct(
+            F.when(m["role"] == "user", "human").otherwise("gpt").alias("from"),
+            m["content"].alias("value"),
+        ),
+    )
+    rows = inputs.dialogue_records(spark, sf).select(message.alias("conversations"))
+    rows.write.json(path)
+    records = files.read_jsonl(spark, path, suffix="json")
+    cfg = plans.PrepareConfig(dedup_on="pair")
+    examples, _ = plans.record_examples(records, cfg)
+    return plans.split_counts(plans.finish(examples, cfg))
+
+
+@query
+def rejected_dialogue_examples(spark, sf):
+    """Reasons for which expanded examples are left out, with those never rendered."""
+    cfg = plans.PrepareConfig(max_length=1000)
+    examples = plans.turn_examples(inputs.turns(spark, sf), cfg)
+    return quality.quality_report(plans.judged(examples, cfg))
+
+
+@query
+def prepared_chat_template(spark, sf):
+    cfg = plans.PrepareConfig(chat_template=True, dedup=False)
+    clean = plans.clean(plans.turn_examples(inputs.turns(spark, sf), cfg), cfg)
+    return clean.select("conv_id", "turn", "text")
+
+
 @query
 def written_examples(spark, sf):
     """Prepared documents written by split and read back."""
@@ -441,6 +475,27 @@ def bertscore(spark, sf):
     return _rounded(matching.bertscore(inputs.token_vectors(spark, sf)), 5, *names)
 
 
+@query
+def written_predictions(spark, sf):
+    path = scratch_path(spark, "predictions")
+    sinks.write_predictions(inputs.pairs(spark, sf), path)
+    schema = "pair_id STRING, prompt STRING, reference STRING, prediction STRING"
+    return spark.read.schema(schema).json(path)
+
+
+@query
+def written_samples(spark, sf):
+    """Requests written with their performance nested, and read back flat."""
+    path = scratch_path(spark, "samples")
+    requests = inputs.requests(spark, sf)
+    performance = telemetry.request_performance(
+        requests, inputs.tokens(spark, sf), inputs.samples(spark, sf)
+    )
+    sinks.write_samples(requests.select("request_id"), performance, path)
+    schema = "request_id STRING, performance STRUCT<output_tokens: BIGINT, gpu_memory_peak: DOUBLE>"
+    return spark.read.schema(schema).json(path).select("request_id", "performance.*")
+
+
 @query
 def eval_loss(spark, sf):
     return textscore.eval_loss(inputs.token_logprobs(spark, sf))
@@ -473,6 +528,25 @@ def token_columns(spark, sf):
     )
 
 
+def _code_points(texts: list[str]) -> list[list[int]]:
+    return [[ord(c) for c in text] for text in texts]
+
+
+@query
+def model_token_columns(spark, sf):
+    """Token columns of an encoder handed in by the user; here characters."""
+    rows = token_ops.token_columns(
+        inputs.turns(spark, sf), 256, token_ops.model_tokenizer(_code_points)
+    )
+    return rows.select(
+        "conv_id",
+        "turn",
+        _joined("input_ids").alias("input_ids"),
+        F.col("n_tokens").cast("bigint").alias("n_tokens"),
+        "truncated",
+    )
+
+
 @query
 def masked_labels(spark, sf):
     """Labels of question and answer in one text; the question carries no loss."""
