@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from loomset.operators.bertscore import bertscore
-from loomset.operators.textscore import corpus_mean, eval_loss, rouge
+from loomset.operators.textscore import corpus_mean, eval_loss, rouge, scoreable
 
 
 def evaluate(
@@ -17,7 +17,12 @@ def evaluate(
     tokenizer: str = "whitespace",
     distinct_ngrams: bool = True,
 ) -> DataFrame:
-    """One row: sample count, ROUGE, and matching score and loss if their inputs are given."""
+    """One row: sample count, ROUGE, and matching score and loss if their inputs are given.
+
+    Pairs that carry a prompt count only if prompt and reference are not empty.
+    """
+    if "prompt" in pairs.columns:
+        pairs = scoreable(pairs)
     parts = [
         pairs.agg(F.count("*").alias("num_samples")),
         corpus_mean(

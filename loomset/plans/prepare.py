@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -50,6 +51,16 @@ class PrepareConfig:
     chat_template: bool = False  # render a message array instead of the fixed template
     add_generation_prompt: bool = True
 
+    @classmethod
+    def from_mapping(cls, config: Mapping) -> PrepareConfig:
+        """Settings from nested sections ``data`` and ``direction``, as in a YAML run file.
+
+        A file that does not mention ``dedup`` gets none.
+        """
+        known = {f.name for f in fields(cls)}
+        merged = {"dedup": False, **config.get("direction", {}), **config.get("data", {})}
+        return cls(**{k: v for k, v in merged.items() if k in known})
+
     def __post_init__(self) -> None:
         if self.format_mode not in MODES:
             raise ValueError(f"format_mode must be one of {MODES}")
@@ -248,7 +259,10 @@ def prepare(
     if cfg.format_mode == "first":
         fmt = leading_format(spark, path)
     examples, fmt = record_examples(read_records(spark, path), cfg, fmt)
-    return finish(examples, cfg), fmt
+    prepared = finish(examples, cfg)
+    if prepared.isEmpty():
+        raise ValueError(f"no valid example below {path}")
+    return prepared, fmt
 
 
 def split_counts(examples: DataFrame) -> DataFrame:

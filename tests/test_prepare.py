@@ -142,6 +142,19 @@ def test_config_is_checked():
         PrepareConfig(dedup_on="x")
 
 
+def test_config_from_sections():
+    cfg = PrepareConfig.from_mapping(
+        {"data": {"dataset_dir": "x", "val_split": 0.1, "min_length": 3}, "direction": {"task_type": "cot"}, "model": {}}
+    )
+    assert (cfg.val_split, cfg.min_length, cfg.task_type, cfg.dedup, cfg.seed) == (0.1, 3, "cot", False, 42)
+
+
+def test_nothing_valid_is_an_error(spark, write):
+    folder = write("a.jsonl", [{"text": "short"}])
+    with pytest.raises(ValueError):
+        prepare(spark, folder)
+
+
 def test_preview(spark, write):
     write("a.jsonl", [{"text": "first " * 200, "k": 1}, {"text": "second"}])
     write("b.csv", "instruction,output\ni,o\n")
