@@ -19,7 +19,8 @@ from loomset.operators.joins import lookup_join
 # File name endings that are read.
 SUFFIXES = ("json", "jsonl", "txt", "csv", "tsv")
 
-COLUMNS = ("path", "block_start", "rid", "json", "raw")
+# A little below the largest VARIANT, 128 MiB.
+_VARIANT_BYTES = 128 * 2**20 - 2**16
 
 
 def _any_case(suffix: str) -> str:
@@ -33,6 +34,12 @@ def _place() -> list[Column]:
     ]
 
 
+def _variant(record: Column, *texts: Column) -> Column:
+    """A struct of texts as VARIANT, NULL if it is larger than a VARIANT can be."""
+    size = sum((F.octet_length(t).cast("bigint") for t in texts), F.lit(0).cast("bigint"))
+    return F.when(size < _VARIANT_BYTES, F.to_variant_object(record))
+
+
 def _records(df: DataFrame, parsed: Column | None = None) -> DataFrame:
     """Number the rows of ``path, block_start, json`` and parse the text."""
     raw = F.try_parse_json("json") if parsed is None else parsed
@@ -139,7 +146,7 @@ def read_txt(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "block_start",
         (F.col("rid") + F.col("pos")).alias("rid"),
         F.to_json(record).alias("json"),
-        F.to_variant_object(record).alias("raw"),
+        _variant(record, F.col("text")).alias("raw"),
     )
 
 
@@ -151,23 +158,22 @@ def read_csv(
     Spark gives the columns of several files the names of one file's header,
     so files are read together only if their header lines are equal.
     """
-    lines = _text(spark, path, suffix).select(
-        *_place(), F.monotonically_increasing_id().alias("rid"), "value"
-    )
-    headers = (
-        lines.where(F.col("block_start") == 0)
-        .groupBy("path")
-        .agg(F.min_by("value", "rid").alias("header"))
-        .groupBy("header")
-        .agg(F.collect_list("path").alias("paths"))
-        .collect()
-    )
-    if not headers:
-        raise ValueError(f"no .{suffix} file with a header below {path}")
-    return reduce(
-        DataFrame.unionByName,
-        [_read_csv_group(spark, sorted(map(unquote, h["paths"])), sep) for h in headers],
-    )
+    text = _text(spark, path, suffix)
+    found = [unquote(f) for f in text.inputFiles()]
+    if not found:
+        raise ValueError(f"no .{suffix} file below {path}")
+    groups = [found]
+    if len(found) > 1:
+        lines = text.select(*_place(), F.monotonically_increasing_id().alias("rid"), "value")
+        headers = (
+            lines.where(F.col("block_start") == 0)
+            .groupBy("path")
+            .agg(F.min_by("value", "rid").alias("header"))
+            .groupBy("header")
+            .agg(F.collect_list("path").alias("paths"))
+        )
+        groups = [sorted(map(unquote, row["paths"])) for row in headers.collect()]
+    return reduce(DataFrame.unionByName, [_read_csv_group(spark, g, sep) for g in groups])
 
 
 def _read_csv_group(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
@@ -181,9 +187,14 @@ def _read_csv_group(spark: SparkSession, paths: list[str], sep: str) -> DataFram
         .option("ignoreTrailingWhiteSpace", False)
         .csv(paths)
     )
-    record = F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
-    cells = rows.select(*_place(), record.alias("record"), F.to_json(record).alias("json"))
-    return _records(cells, F.to_variant_object("record"))
+    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in rows.columns]
+    record = F.struct(*[cell.alias(c) for cell, c in zip(cells, rows.columns)])
+    return _records(
+        rows.select(
+            *_place(), F.to_json(record).alias("json"), _variant(record, *cells).alias("_raw")
+        ),
+        F.col("_raw"),
+    )
 
 
 def read_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
