@@ -44,6 +44,14 @@ def field(raw: Column, key: str) -> Column:
     return F.coalesce(F.try_variant_get(raw, f"$.{key}", "string"), F.lit(""))
 
 
+def is_truthy(raw: Column, key: str) -> Column:
+    """Whether the key's value counts as given: not missing, null, '', 0, false, [] or {}."""
+    text = field(raw, key)
+    kind = F.schema_of_variant(F.variant_get(raw, f"$.{key}", "variant"))
+    zero = text.isin("0", "0.0", "false", "[]", "{}")
+    return F.when(zero, kind == "STRING").otherwise(text != "")
+
+
 def is_object(raw: Column) -> Column:
     return F.coalesce(F.schema_of_variant(raw).startswith("OBJECT"), F.lit(False))
 
@@ -174,7 +182,8 @@ def pair_expr(raw: Column, fmt: str, system: Column, strict_pair: bool = False)
     """Struct ``prompt, response, system, cot, error`` of a record of the given layout."""
     if fmt == "alpaca":
         instruction, extra = field(raw, "instruction"), field(raw, "input")
-        prompt = F.when(extra != "", F.concat_ws("\n", instruction, extra)).otherwise(instruction)
+        both = F.concat_ws("\n", instruction, extra)
+        prompt = F.when(is_truthy(raw, "input"), both).otherwise(instruction)
         return _pair(prompt, field(raw, "output"), system)
     if fmt == "sharegpt":
         return _sharegpt_pair(raw, system)

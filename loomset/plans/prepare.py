@@ -172,7 +172,10 @@ def record_examples(
 
     expanded = None
     if fmt in (None, "sharegpt"):
-        expanded = _expanded_records(placed.where(F.col("fmt") == "sharegpt"), cfg)
+        dialogues = expanded_pairs(placed.where(F.col("fmt") == "sharegpt"), cfg)
+        expanded = dialogues.withColumn(
+            "order_key", _turn_key(cfg, F.col("order_key"), F.col("turn_pos"))
+        ).drop("turn_pos")
         if expanded.where(~F.col("error")).limit(1).isEmpty():
             expanded = None
     if expanded is not None and fmt == "sharegpt":
@@ -184,27 +187,29 @@ def record_examples(
     return (pairs if expanded is None else pairs.unionByName(expanded)), fmt
 
 
-def _expanded_records(dialogues: DataFrame, cfg: PrepareConfig) -> DataFrame:
-    """Examples of dialogue records; a record with a broken turn gives one with ``error``."""
+def expanded_pairs(dialogues: DataFrame, cfg: PrepareConfig) -> DataFrame:
+    """Replace ``raw``, a dialogue record, by one row per assistant turn with ``turn_pos``.
+
+    The rows have the columns of ``to_pair`` and ``over_length``. A record with
+    a broken turn, or that is no object, gives one row with ``error``.
+    """
+    others = [c for c in dialogues.columns if c != "raw"]
     turns = messages(F.col("raw"), "sharegpt")
     # Stands for a broken record: expands to one example without a response.
     broken = F.array(
         F.struct(F.lit("user").alias("role"), F.lit("").alias("content")),
         F.struct(F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("content")),
     )
-    parsed = dialogues.withColumn("broken", ~is_object(F.col("raw")))
-    said = with_once(parsed, "turns", turns).select(
-        "path",
-        "fmt",
-        "order_key",
-        F.when(F.col("broken") | broken_turns(F.col("turns")), broken)
-        .otherwise(F.col("turns"))
-        .alias("turns"),
+    parsed = dialogues.withColumn("_broken", ~is_object(F.col("raw")))
+    said = with_once(parsed, "_turns", turns).select(
+        *others,
+        F.when(F.col("_broken") | broken_turns(F.col("_turns")), broken)
+        .otherwise(F.col("_turns"))
+        .alias("_turns"),
     )
-    return expand_dialogues(said, "turns", cfg.max_length, cfg.labels).select(
-        "path",
-        "fmt",
-        _turn_key(cfg, F.col("order_key"), F.col("turn_pos")).alias("order_key"),
+    return expand_dialogues(said, "_turns", cfg.max_length, cfg.labels).select(
+        *others,
+        "turn_pos",
         "prompt",
         "response",
         F.lit(cfg.system_prompt).alias("system"),

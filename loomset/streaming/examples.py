@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomset.operators.formats import format_expr, to_pair
-from loomset.plans.prepare import PrepareConfig, judged
+from loomset.plans.prepare import PrepareConfig, expanded_pairs, judged
 
 
 def stream_examples(
@@ -14,13 +14,20 @@ def stream_examples(
     """Pairs, text and quality rules for a stream with a VARIANT column ``raw``.
 
     A stream has no first record to look at, so the layout is given or taken
-    from each record. Dialogue records are taken as single pairs.
+    from each record. Dialogue records give one example per assistant turn,
+    numbered by ``turn_pos``, which is NULL for other records.
     """
     typed = records.withColumn("fmt", format_expr(F.col("raw")) if fmt is None else F.lit(fmt))
-    pairs = to_pair(typed, fmt, cfg.system_prompt, cfg.strict_pair)
-    kept = judged(pairs.withColumn("over_length", F.lit(False)), cfg).where(
-        F.col("reject_reason").isNull()
+    single = F.col("fmt") != "sharegpt"
+    examples = (
+        to_pair(typed.where(single), fmt, cfg.system_prompt, cfg.strict_pair)
+        .withColumn("over_length", F.lit(False))
+        .withColumn("turn_pos", F.lit(None).cast("int"))
     )
+    if fmt in (None, "sharegpt"):
+        expanded = expanded_pairs(typed.where(~single), cfg)
+        examples = expanded if fmt else examples.unionByName(expanded)
+    kept = judged(examples, cfg).where(F.col("reject_reason").isNull())
     return kept.drop("reject_reason", "error", "over_length")
 
 

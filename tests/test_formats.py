@@ -65,6 +65,12 @@ def test_alpaca(spark):
     ) == [("i", "o", ""), ("i", "5", ""), ("i\nn", "", ""), "error"]
 
 
+def test_values_that_count_as_no_input(spark):
+    inputs = ["", None, 0, False, [], {}, "0", "false", " ", 3, ["x"]]
+    got = pairs(spark, "alpaca", [{"instruction": "i", "input": v, "output": "o"} for v in inputs])
+    assert [p for p, *_ in got] == ["i"] * 6 + ["i\n0", "i\nfalse", "i\n ", "i\n3", 'i\n["x"]']
+
+
 def turns(*said):
     return {"conversations": [{"from": f, "value": v} for f, v in said]}
 

@@ -272,3 +272,14 @@ def test_stream_examples_and_dedup(spark, tmp_path):
     out = drain(stream_dedup(examples, delay="1 hour", key=F.col("text")), "t").collect()
     assert len(out) == 6 and {r.fmt for r in out} == {"alpaca"}
     assert sorted(r.response for r in out) == sorted([f"answer {i}" for i in range(0, 10, 2)] + ["same answer"])
+
+
+def test_stream_of_mixed_records(spark, tmp_path):
+    said = '{"conversations":[{"from":"human","value":"ask a"},{"from":"gpt","value":"say b"},{"from":"gpt","value":"say c"}]}'
+    rows = [(1, said), (2, '{"text":"some plain text"}'), (3, '{"conversations":[{"from":"gpt"}]}')]
+    df = spark.createDataFrame(rows, "id long, json string")
+    for fmt, want in ((None, {(1, 1), (1, 2), (2, None)}), ("sharegpt", {(1, 1), (1, 2)})):
+        records = streamed(spark, df, tmp_path / str(fmt)).select("id", F.try_parse_json("json").alias("raw"))
+        out = drain(stream_examples(records, fmt=fmt), "t").collect()
+        assert {(r.id, r.turn_pos) for r in out} == want
+        assert all("say" in r.text or "plain" in r.text for r in out)
