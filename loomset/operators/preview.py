@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomset.operators.formats import format_expr
+from loomset.operators.joins import lookup_join
 from loomset.sources.records import read_records, scan_files
+from loomset.storage import materialise
 
 HEAD_CHARS = 500
 
@@ -14,12 +16,15 @@ def preview_groups(df: DataFrame, group: str, order: Column, raw: Column, json:
     """Per group: row count, and layout, keys and the beginning of its first record.
 
     ``order`` is one number, unique per group. Counting and finding the first
-    place is a hash aggregation of narrow columns; record texts are touched
-    for the first records only.
+    place is a hash aggregation of narrow columns. Its result is counted, so
+    that it can be broadcast if small: the records themselves do not move.
     """
     rows = df.withColumn("_order", order)
-    firsts = rows.groupBy(group).agg(F.count("*").alias("n"), F.min("_order").alias("_order"))
-    return rows.join(firsts, [group, "_order"]).select(
+    firsts = materialise(
+        rows.groupBy(group).agg(F.count("*").alias("n"), F.min("_order").alias("_first")), "firsts"
+    )
+    found = lookup_join(rows, firsts, group, "inner", firsts.count())
+    return found.where(F.col("_order") == F.col("_first")).select(
         group,
         "n",
         format_expr(raw).alias("fmt"),
