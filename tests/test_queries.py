@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from loomset.catalog import oracle
+from loomset.catalog.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents conversations events labels embeddings pages benchmark".split()
@@ -30,10 +32,10 @@ def canonical(columns, rows):
     return sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    got = registry.queries()[name](spark, SF)
-    result = duck.execute(registry.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    result = duck.execute(oracle.oracle_sql()[name])
     columns = [c[0] for c in result.description]
     assert sorted(got.columns) == sorted(columns)
     want = canonical(columns, result.fetchall())
@@ -50,9 +52,9 @@ def test_entry(spark):
 BOUNDED = {"seeded_rank", "padded_batches"}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in registry.queries() if not n.startswith("stream")))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream")))
 def test_no_single_partition_window_or_product(spark, name):
-    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
     lines = plan.splitlines()
@@ -62,8 +64,8 @@ def test_no_single_partition_window_or_product(spark, name):
 
 
 def test_scans_are_pruned(spark):
-    query = registry.queries()["loss_summary"](spark, SF)
+    query = QUERIES["loss_summary"](spark, SF)
     plan = query._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan and "ts" not in plan.split("ReadSchema")[1].split("\n")[0].replace("events", "").split("value")[0].split(",")
-    plan = registry.queries()["chatml_pair"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["chatml_pair"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string,text:string>" in plan
