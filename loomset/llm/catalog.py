@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.llm import mixture, quality_rules
+from loomset.llm import mixture, quality_rules, simhash
 from loomset.llm.words import count_words
 from loomset.storage import materialise
 
@@ -47,3 +47,9 @@ def op5_quality_rules(spark, sf):
         "base_failed",
         "kept",
     )
+
+
+@query
+def op8_simhash(spark, sf):
+    """The near-duplicate class of every document."""
+    return simhash.near_duplicates(table(spark, sf, "documents"))
