@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.llm import mixture, quality_rules, simhash
+from loomset.llm import mixture, quality_rules, simhash, suffix_dedup
 from loomset.llm.words import count_words
 from loomset.storage import materialise
 
@@ -53,3 +53,10 @@ def op5_quality_rules(spark, sf):
 def op8_simhash(spark, sf):
     """The near-duplicate class of every document."""
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op7_suffix_dedup(spark, sf):
+    """What is left of every document without byte strings of 400 that repeat."""
+    found = suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
