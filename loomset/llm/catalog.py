@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.llm import mixture, quality_rules, simhash, suffix_dedup
+from loomset.llm import mixture, pieces, quality_rules, simhash, suffix_dedup
 from loomset.llm.words import count_words
 from loomset.storage import materialise
 
@@ -60,3 +60,12 @@ def op7_suffix_dedup(spark, sf):
     """What is left of every document without byte strings of 400 that repeat."""
     found = suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op4_pieces(spark, sf):
+    """Piece ids of every document, and whether decoding gives back its text."""
+    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"))
+    decoded = pieces.decode(encoded)
+    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return decoded.select("doc_id", "n_pieces", "ids", exact.alias("exact"))
