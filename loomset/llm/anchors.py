@@ -15,7 +15,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE_BITS = 22
-PIECE = 1 << 20  # bytes looked at together; a longer text is cut into overlapping pieces
+PIECE = 1 << 19  # bytes looked at together; a longer text is cut into overlapping pieces
 
 _powers: dict[int, np.ndarray] = {}
 

@@ -201,6 +201,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         .where("n >= 2")
         .select("anchor", (F.col("least") == F.col("most")).alias("uniform"))
     )
+    # Written, so that the join shuffles both sides itself and may split the tasks of an anchor that many texts hold.
+    buckets = materialise(buckets, "buckets")
     hits = materialise(_runs(long, length, gram).join(buckets, "anchor"), "hits")
     runs = hits.where(~F.col("uniform")).groupBy("anchor", "seg").agg(
         F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "place")).alias("at")
