@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.llm import mixture, pieces, quality_rules, simhash, suffix_dedup
+from loomset.llm import mixture, pieces, quality_rules, simhash, suffix_dedup, toxicity
 from loomset.llm.words import count_words
 from loomset.storage import materialise
 
@@ -69,3 +69,12 @@ def op4_pieces(spark, sf):
     decoded = pieces.decode(encoded)
     exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return decoded.select("doc_id", "n_pieces", "ids", exact.alias("exact"))
+
+
+@query
+def op6_toxicity(spark, sf):
+    """How toxic every document is, learned from the labelled ones outside the held-out fold."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
