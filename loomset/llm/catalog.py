@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.llm import mixture, pieces, quality_rules, simhash, suffix_dedup, toxicity
+from loomset.llm import attention_lm, mixture, pieces, quality_rules, simhash, suffix_dedup, toxicity
 from loomset.llm.words import count_words
 from loomset.storage import materialise
 
@@ -78,3 +78,9 @@ def op6_toxicity(spark, sf):
     model = toxicity.train(docs, table(spark, sf, "labels"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_attention_lm(spark, sf):
+    """Log chances of every document, by a model learned from those outside the held-out fold."""
+    return attention_lm.log_chances(table(spark, sf, "documents"))
