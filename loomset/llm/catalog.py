@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.llm import attention_lm, mixture, pieces, quality_rules, simhash, suffix_dedup, toxicity
+from loomset.llm import attention_lm, code_index, mixture, pieces, quality_rules, simhash, suffix_dedup, toxicity
 from loomset.llm.words import count_words
 from loomset.storage import materialise
 
@@ -84,3 +84,9 @@ def op6_toxicity(spark, sf):
 def op10_attention_lm(spark, sf):
     """Log chances of every document, by a model learned from those outside the held-out fold."""
     return attention_lm.log_chances(table(spark, sf, "documents"))
+
+
+@query
+def op9_code_index(spark, sf):
+    """The 20 nearest vectors of every twentieth one."""
+    return code_index.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
