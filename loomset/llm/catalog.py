@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.llm import attention_lm, code_index, mixture, pieces, quality_rules, simhash, suffix_dedup, toxicity
+from loomset.llm import attention_lm, code_index, mixture, perspectives, pieces, quality_rules, simhash, suffix_dedup, toxicity
 from loomset.llm.words import count_words
 from loomset.storage import materialise
 
@@ -90,3 +90,9 @@ def op10_attention_lm(spark, sf):
 def op9_code_index(spark, sf):
     """The 20 nearest vectors of every twentieth one."""
     return code_index.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op3_perspectives(spark, sf):
+    """Every dialogue from the view of each participant."""
+    return perspectives.rotate(table(spark, sf, "conversations"))

@@ -72,3 +72,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND (n_words < 40 OR n_stop_words >= 0.01 * n_words) AS kept
 FROM judged
 """
+
+SQL["op3_perspectives"] = """
+WITH turns AS (
+  SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS who,
+    replace(coalesce(text, ''), '<|', '< |') AS body
+  FROM conversations
+), people AS (
+  SELECT DISTINCT conv_id, who AS participant FROM turns WHERE who <> 'system'
+), views AS (
+  SELECT t.*, participant,
+    CASE WHEN who = 'system' THEN 'system' WHEN who = participant THEN 'assistant' ELSE 'user' END AS chat_role
+  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), heads AS (
+  SELECT *, CASE WHEN chat_role = 'user' THEN who END AS name,
+    '<|im_start|>' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || who ELSE '' END || chr(10) AS head
+  FROM views
+), shown AS (
+  SELECT *, head || body || '<|im_end|>' || chr(10) AS rendered FROM heads
+), placed AS (
+  SELECT *, coalesce(sum(length(rendered)) OVER (
+    PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, who, body
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM shown
+)
+SELECT conv_id, participant, turn, chat_role, name, rendered, start,
+  CASE WHEN chat_role = 'assistant' THEN start + length(head) END AS mask_start,
+  CASE WHEN chat_role = 'assistant' THEN start + length(rendered) - 1 END AS mask_end
+FROM placed
+"""
