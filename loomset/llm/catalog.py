@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.llm import attention_lm, code_index, mixture, perspectives, pieces, quality_rules, simhash, suffix_dedup, toxicity
+from loomset.llm import attention_lm, code_index, mixture, perspectives, pieces, quality_rules, simhash, suffix_dedup, toxicity, wrappers
 from loomset.llm.words import count_words
 from loomset.storage import materialise
 
@@ -96,3 +96,9 @@ def op9_code_index(spark, sf):
 def op3_perspectives(spark, sf):
     """Every dialogue from the view of each participant."""
     return perspectives.rotate(table(spark, sf, "conversations"))
+
+
+@query
+def op2_wrappers(spark, sf):
+    """The main text of every page."""
+    return wrappers.extract(table(spark, sf, "pages"))
