@@ -196,6 +196,27 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def report_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pairs to be scored: a quarter has no prompt, a fifth no prediction."""
+    number = F.col("doc_id")
+    return documents(spark, sf_dir).select(
+        number.alias("pair_id"),
+        F.when(number % 4 == 3, "").otherwise(F.col("source")).alias("instruction"),
+        F.concat_ws(" ", "lang", "source").alias("output"),
+        F.when(number % 5 != 0, F.concat_ws(" ", "source", "lang")).alias("prediction"),
+    )
+
+
+def report_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents, the first being the prompt, with minus the word's length as log probability."""
+    rows = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("pair_id"), F.posexplode(words(F.col("text"))).alias("pos", "word")
+    )
+    return rows.select(
+        "pair_id", "pos", F.lit(1).alias("prompt_len"), (-F.length("word")).cast("double").alias("logprob")
+    )
+
+
 def token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of question and answer with a stand-in log probability: minus the word's length."""
     asked, said = words(F.col("prompt")), words(F.col("response"))

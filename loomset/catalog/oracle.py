@@ -89,14 +89,12 @@ SELECT conv_id, turn, text, p FROM (
 """
 
 _EXPANDED = f"""
-SELECT conv_id, turn, CASE WHEN length(p) <= 8192 THEN p END AS prompt, text AS response,
-       length(p) > 8192 AS over_length
+SELECT conv_id, turn, p AS prompt, text AS response, false AS over_length
 FROM ({_CONTEXTS})
 """
 
 _NESTED = f"""
-SELECT doc_id, i - 1 AS turn_pos, CASE WHEN length(p) <= 8192 THEN p END AS prompt, l[i] AS response,
-       length(p) > 8192 AS over_length
+SELECT doc_id, i - 1 AS turn_pos, p AS prompt, l[i] AS response, false AS over_length
 FROM (SELECT doc_id, l, i, array_to_string(list_transform(l[1:i - 1], lambda x, j:
         CASE WHEN j % 2 = 1 THEN '{USER_LABEL}' ELSE '{ASSISTANT_LABEL}' END || x), {_NL}) AS p
       FROM (SELECT doc_id, l, unnest(range(2, len(l) + 1, 2)) AS i
@@ -111,6 +109,13 @@ FROM ({_EXPANDED}) WHERE prompt IS NOT NULL
 
 _CLEAN_TURNS = _first_of_prefix(f"SELECT * FROM ({_TURN_TEXT}) WHERE ({_reason('text')}) IS NULL")
 
+
+def _prepared_turns(text: str, kept: str) -> str:
+    rows = f"SELECT *, {_strip(text)} AS text, {_key("(conv_id || '-' || turn)")} AS order_key FROM ({_EXPANDED})"
+    clean = _first_of_prefix(f"SELECT * FROM ({rows}) WHERE {kept}")
+    return _split(clean, "conv_id, turn, prompt, text")
+
+
 _FORMAT_OF_SOURCE = """
 CASE source WHEN 'src0' THEN 'alpaca' WHEN 'src1' THEN 'sharegpt' WHEN 'src2' THEN 'chatml'
  WHEN 'src3' THEN 'cot' WHEN 'src4' THEN 'plain_text' ELSE 'general_json' END
@@ -304,7 +309,6 @@ GROUP BY user_id, session
 """
 
 # The watermark after the only batch: latest time in milliseconds less the delay of 10 seconds.
-_WATERMARK = "(SELECT max(epoch_us(ts)) // 1000 * 1000 - 10000000 FROM events)"
 
 _PAIRS = f"""
 SELECT conv_id || '-' || turn AS pair_id, {_words('response')} AS p, {_words('prompt')} AS r
@@ -455,6 +459,15 @@ _ORACLE = {
     "head_rows": f"SELECT doc_id, {_key('doc_id')} AS order_key FROM documents ORDER BY order_key LIMIT 20",
     "prepared_documents": _split(_CLEAN_DOCUMENTS, "doc_id, text"),
     "prepared_turns": _split(_CLEAN_TURNS, "conv_id, turn, prompt, response, text"),
+    "prepared_turns_cot": _prepared_turns("response", f"({_reason('text')}) IS NULL"),
+    "prepared_turns_completion": _prepared_turns(
+        f"(prompt || {_NL} || response)", f"({_reason('text')}) IS NULL"
+    ),
+    "prepared_turns_unchecked": _prepared_turns(_chat("prompt", "response"), "text <> ''"),
+    "prepared_broken_files": f"""
+        SELECT false AS error, prompt, response FROM ({_ALPACA_PAIRS})
+        UNION ALL SELECT true, NULL, '' FROM documents UNION ALL SELECT true, NULL, '' FROM documents""",
+    "test_set_repeated": "SELECT greatest(1, trunc(count(*) * 0.1::DOUBLE))::BIGINT AS n FROM documents",
     "prepared_files": f"""
         SELECT split, count(*) AS n FROM (
           SELECT CASE WHEN row_number() OVER () <= greatest(1, trunc(count(*) OVER () * 0.05::DOUBLE))
@@ -545,14 +558,20 @@ _ORACLE = {
         FROM ({_REQUEST_SPEEDS}) JOIN ({_SUMMARY}) USING (request_id)""",
     "eval_loss": _EVAL_LOSS,
     "score_report": f"""
-        SELECT (SELECT count(*) FROM ({_EXCHANGES})) AS num_samples,
-               (SELECT round(avg(rouge_1), 4) FROM ({_ROUGE_N})) AS rouge_1,
-               (SELECT round(avg(rouge_2), 4) FROM ({_ROUGE_N})) AS rouge_2,
-               (SELECT round(avg(rouge_l), 4) FROM ({_ROUGE_L})) AS rouge_l,
-               (SELECT round(avg(bertscore_precision), 4) FROM ({_BERTSCORE})) AS bertscore_precision,
-               (SELECT round(avg(bertscore_recall), 4) FROM ({_BERTSCORE})) AS bertscore_recall,
-               (SELECT round(avg(bertscore_f1), 4) FROM ({_BERTSCORE})) AS bertscore_f1,
-               (SELECT eval_loss FROM ({_EVAL_LOSS})) AS eval_loss""",
+        -- two words each, in the other order: all words and half a common subsequence, no common pair
+        WITH kept AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END AS hit, text FROM documents
+                      WHERE doc_id % 4 <> 3 AND source <> ''),
+        matched AS (SELECT * FROM ({_BERTSCORE}) WHERE pair_id IN (SELECT doc_id FROM kept)),
+        losses AS (SELECT doc_id, avg(length(w)) AS loss FROM (
+                     SELECT doc_id, unnest({_words('text')}[2:]) AS w FROM kept) GROUP BY doc_id)
+        SELECT (SELECT count(*) FROM kept) AS num_samples,
+               (SELECT round(avg(hit), 4) FROM kept) AS rouge_1,
+               0.0::DOUBLE AS rouge_2,
+               (SELECT round(avg(hit * 0.5::DOUBLE), 4) FROM kept) AS rouge_l,
+               (SELECT round(avg(bertscore_precision), 4) FROM matched) AS bertscore_precision,
+               (SELECT round(avg(bertscore_recall), 4) FROM matched) AS bertscore_recall,
+               (SELECT round(avg(bertscore_f1), 4) FROM matched) AS bertscore_f1,
+               (SELECT round(avg(loss), 4) FROM losses) AS eval_loss""",
     "token_columns": f"""
         SELECT doc_id, array_to_string({_IDS.format('text')}[1:2048], ' ') AS input_ids,
                octet_length(encode(text)) AS n_tokens, octet_length(encode(text)) > 2048 AS truncated
@@ -613,19 +632,19 @@ _ORACLE = {
                system_memory_peak, system_memory_trend, system_memory_variance FROM ({_SESSIONS})""",
     "stream_snapshots": f"""
         SELECT request_id, window_us, us, cpu, system_memory FROM (
-          SELECT user_id AS request_id, epoch_us(date_trunc('hour', ts)::TIMESTAMP) AS window_us, epoch_us(ts) AS us,
+          SELECT user_id AS request_id, epoch_us(date_trunc('second', ts)::TIMESTAMP) AS window_us, epoch_us(ts) AS us,
                  value AS cpu, {_K} / 10 AS system_memory,
-                 row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts) AS place
+                 row_number() OVER (PARTITION BY user_id, date_trunc('second', ts) ORDER BY ts) AS place
           FROM events)
-        WHERE place = 1 AND window_us + 3600000000 <= {_WATERMARK}""",
+        WHERE place = 1""",
     "stream_resources": f"""
         SELECT request_id, start_us, end_us, n_samples, cpu_avg, cpu_max, cpu_min, gpu_temp_avg, gpu_memory_avg,
                system_memory_peak, system_memory_trend, system_memory_variance
-        FROM ({_SESSIONS}) WHERE end_us <= {_WATERMARK}""",
+        FROM ({_SESSIONS})""",
     "stream_requests": f"""
         SELECT request_id, {_round(8, _SPEED_NAMES)}, input_tokens, output_tokens, total_tokens,
                {_rating('pure_generation_speed')} AS rating
-        FROM ({_speeds(f"SELECT request_id, start_ts, last_ts AS end_ts, first_ts, last_ts, n_times, n_samples AS output_tokens, input_tokens FROM ({_SESSIONS}) WHERE end_us <= {_WATERMARK}")})""",
+        FROM ({_speeds(f"SELECT request_id, start_ts, last_ts AS end_ts, first_ts, last_ts, n_times, n_samples AS output_tokens, input_tokens FROM ({_SESSIONS})")})""",
     "stream_examples": f"SELECT doc_id, text FROM ({_STRIPPED}) WHERE ({_reason('text')}) IS NULL",
     "stream_dedup": "SELECT DISTINCT event_type || ' ' || props AS text FROM events",
 }

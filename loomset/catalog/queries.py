@@ -29,7 +29,7 @@ from loomset.sources import records as files
 from loomset.sources.metrics import read_metrics
 from loomset.storage import scratch_path
 from loomset.streaming import examples as example_streams, telemetry as telemetry_streams
-from loomset.streaming.run import drain
+from loomset.streaming.run import drain, drain_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -278,6 +278,16 @@ def test_set_tail(spark, sf):
     return ordering.test_set(rows, "order_key").select("doc_id")
 
 
+@query
+def test_set_repeated(spark, sf):
+    """Keys that many rows share: the held-out tail still has its exact size."""
+    rows = inputs.documents(spark, sf).select(
+        "doc_id", ordering.order_key(F.col("lang")).alias("order_key")
+    )
+    whole = ordering.split_exact(rows, "order_key").withColumn("split", F.lit("train"))
+    return ordering.test_set(whole, "order_key").agg(F.count("*").alias("n"))
+
+
 @query
 def seeded_rank(spark, sf):
     keyed = inputs.documents(spark, sf).select(
@@ -307,6 +317,40 @@ def prepared_turns(spark, sf):
     )
 
 
+def _prepared_turns(spark, sf, **settings) -> DataFrame:
+    rows = plans.prepare_turns(inputs.turns(spark, sf), plans.PrepareConfig(**settings))
+    return rows.select("conv_id", "turn", "prompt", "text", "split")
+
+
+@query
+def prepared_turns_cot(spark, sf):
+    """Without reasoning the text is the response, however long its prompt."""
+    return _prepared_turns(spark, sf, task_type="cot")
+
+
+@query
+def prepared_turns_completion(spark, sf):
+    return _prepared_turns(spark, sf, task_type="text_completion")
+
+
+@query
+def prepared_turns_unchecked(spark, sf):
+    """No length rules: examples of any length stay."""
+    return _prepared_turns(spark, sf, quality_check=False)
+
+
+@query
+def prepared_broken_files(spark, sf):
+    """Files whose first lines are malformed have the layout of their first valid record."""
+    path = scratch_path(spark, "broken")
+    rows = _alpaca(spark, sf).drop("doc_id")
+    rows.select(F.concat(F.lit("{broken\n\n[1,\n"), F.to_json(F.struct("*")))).write.text(path)
+    records = files.read_jsonl(spark, path, suffix="txt")
+    found = formats.detect_format(records, "first").where("fmt = 'alpaca'")
+    pairs = formats.to_pair(found, "alpaca", SYSTEM)
+    return pairs.select("error", F.when(~F.col("error"), F.col("prompt")).alias("prompt"), "response")
+
+
 @query
 def prepared_files(spark, sf):
     """From record files through layout detection, rules and dedup to the split sizes."""
@@ -504,9 +548,9 @@ def eval_loss(spark, sf):
 @query
 def score_report(spark, sf):
     return evaluation.evaluate(
-        inputs.pairs(spark, sf),
+        inputs.report_pairs(spark, sf),
         inputs.token_vectors(spark, sf),
-        inputs.token_logprobs(spark, sf),
+        inputs.report_logprobs(spark, sf),
     )
 
 
@@ -684,10 +728,8 @@ def _session_columns(rows: DataFrame) -> DataFrame:
 
 @query
 def stream_snapshots(spark, sf):
-    stream = telemetry_streams.stream_snapshots(
-        _session_input(inputs.event_stream(spark, sf)), "1 hour", "10 seconds"
-    )
-    return drain(stream, "snapshots").select(
+    samples = _session_input(inputs.event_stream(spark, sf))
+    return drain_all(samples, telemetry_streams.stream_snapshots, "snapshots").select(
         "request_id",
         F.unix_micros("window_start").alias("window_us"),
         F.unix_micros("ts").alias("us"),
@@ -698,10 +740,11 @@ def stream_snapshots(spark, sf):
 
 @query
 def stream_resources(spark, sf):
-    stream = telemetry_streams.stream_resources(
-        _session_input(inputs.event_stream(spark, sf)), f"{_GAP} seconds", "10 seconds"
-    )
-    return _session_columns(drain(stream, "resources"))
+    def build(samples: DataFrame) -> DataFrame:
+        return telemetry_streams.stream_resources(samples, f"{_GAP} seconds", "10 seconds")
+
+    samples = _session_input(inputs.event_stream(spark, sf))
+    return _session_columns(drain_all(samples, build, "resources"))
 
 
 @query
@@ -712,8 +755,11 @@ def stream_requests(spark, sf):
         F.date_trunc("day", "ts").alias("start_ts"),
         inputs._k().cast("bigint").alias("input_tokens"),
     )
-    stream = telemetry_streams.stream_requests(tokens, f"{_GAP} seconds", "10 seconds")
-    return _rounded(drain(stream, "requests"), 8, *_SPEEDS)
+
+    def build(tokens: DataFrame) -> DataFrame:
+        return telemetry_streams.stream_requests(tokens, f"{_GAP} seconds", "10 seconds")
+
+    return _rounded(drain_all(tokens, build, "requests"), 8, *_SPEEDS)
 
 
 @query

@@ -15,6 +15,9 @@ LABELS = (USER_LABEL, ASSISTANT_LABEL)
 # Speaker names of dialogue records and the roles they stand for.
 ROLE_MAP = {"human": "user", "gpt": "assistant", "system": "system"}
 
+# Turn numbers whose lines are put together before a long dialogue's prompts are built.
+_BLOCK = 64
+
 # Turn ranges counted per long dialogue and pass when its head is looked for.
 _RANGES = 4096
 
@@ -40,7 +43,7 @@ def labelled(role: Column, content: Column, labels: tuple[str, str] = LABELS) ->
 def expand_dialogues(
     df: DataFrame,
     messages: str,
-    max_chars: int = 8192,
+    max_chars: int | None = None,
     labels: tuple[str, str] = LABELS,
 ) -> DataFrame:
     """One row per assistant message of an ``array<struct<role, content>>`` column.
@@ -50,12 +53,28 @@ def expand_dialogues(
     ``over_length``. An assistant message without earlier ones gives no row.
 
     A prompt repeats its dialogue, so all prompts of a long dialogue together
-    grow with the square of its length. Prompts longer than ``max_chars`` fail
-    the length rule anyway: such rows are kept for the report, flagged
-    ``over_length`` with a NULL prompt, and their text is never built.
+    grow with the square of its length. A caller that drops prompts longer than
+    ``max_chars`` anyway may say so: such rows are then flagged ``over_length``
+    and have a NULL prompt, whose text is never built. Without it all prompts
+    are whole.
     """
     spoken = F.filter(messages, lambda m: is_dialogue_role(m["role"]))
     lines = F.transform(spoken, lambda m: labelled(m["role"], m["content"], labels))
+    others = [c for c in df.columns if c != messages]
+    if max_chars is None:
+        exploded = (
+            df.withColumn("_spoken", spoken)
+            .withColumn("_lines", lines)
+            .select(*others, "_lines", F.posexplode("_spoken").alias("turn_pos", "_said"))
+            .where((F.col("_said.role") == "assistant") & (F.col("turn_pos") > 0))
+        )
+        return exploded.select(
+            *others,
+            "turn_pos",
+            F.array_join(F.slice("_lines", F.lit(1), F.col("turn_pos")), "\n").alias("prompt"),
+            F.col("_said.content").alias("response"),
+            F.lit(False).alias("over_length"),
+        )
     # How many leading lines fit: stops adding once the budget is used up.
     fitting = F.aggregate(
         F.col("_lines"),
@@ -75,7 +94,6 @@ def expand_dialogues(
         .withColumn("_head", F.slice("_lines", 1, "_fitting"))
         .drop("_lines")
     )
-    others = [c for c in df.columns if c != messages]
     exploded = rows.select(
         *others, "_fitting", "_head", F.posexplode("_spoken").alias("turn_pos", "_said")
     ).where((F.col("_said.role") == "assistant") & (F.col("turn_pos") > 0))
@@ -92,7 +110,7 @@ def expand_dialogues(
 
 def expand_turns(
     turns: DataFrame,
-    max_chars: int = 8192,
+    max_chars: int | None = None,
     conv: str = "conv_id",
     turn: str = "turn",
     role: str = "role",
@@ -102,8 +120,10 @@ def expand_turns(
     """``expand_dialogues`` for a flat table with one row per turn.
 
     Returns ``conv, turn, prompt, response, over_length``; (conv, turn) is
-    unique and ``turn`` an integer. A line costs its label and a line break at
-    least, so only the first ``max_chars // cost + 2`` spoken turns of a
+    unique and ``turn`` an integer. Without ``max_chars`` every prompt is whole.
+
+    With it, longer prompts are NULL and flagged, and never built. A line costs
+    its label and a line break at least, so only the first ``max_chars // cost + 2`` spoken turns of a
     dialogue can have a prompt that fits. Dialogues are counted first; those
     with more turns are cut to that head before anything is grouped by
     dialogue, however long they are. Their later assistant turns are returned
@@ -115,6 +135,9 @@ def expand_turns(
         F.col(role).alias("role"),
         F.coalesce(text, F.lit("")).alias("text"),
     )
+    if max_chars is None:
+        whole = _expand_whole(spoken, labels)
+        return whole.withColumnRenamed("conv", conv).withColumnRenamed("turn", turn)
     head_size = max_chars // (min(map(len, labels)) + 1) + 2
     limits, n_limits = _head_limits(spoken.select("conv", "turn"), head_size)
     heads = spoken
@@ -159,6 +182,51 @@ def expand_turns(
     return examples.withColumnRenamed("conv", conv).withColumnRenamed("turn", turn)
 
 
+def _expand_whole(spoken: DataFrame, labels: tuple[str, str]) -> DataFrame:
+    """Whole prompts of ``conv, turn, role, text``.
+
+    Lines are put together per block of ``_BLOCK`` turn numbers, and per block
+    the text of all blocks before it, so the prompts of a long dialogue are
+    built by as many tasks as it has blocks; a task holds a prompt at a time.
+    """
+    lines = spoken.withColumn("block", F.floor(F.col("turn") / _BLOCK)).withColumn(
+        "line", labelled(F.col("role"), F.col("text"), labels)
+    )
+    in_order = F.sort_array(F.collect_list(F.struct("turn", "line")))
+    blocks = lines.groupBy("conv", "block").agg(
+        F.array_join(F.transform(in_order, lambda x: x["line"]), "\n").alias("body"),
+        F.max(F.col("role") == "assistant").alias("answers"),
+    )
+    blocks = materialise(blocks, "blocks")
+    later = blocks.where("answers").select("conv", F.col("block").alias("of"))
+    earlier = F.sort_array(F.collect_list(F.struct("block", "body")))
+    heads = (
+        later.join(blocks.select("conv", "block", "body"), "conv")
+        .where("block < of")
+        .groupBy("conv", "of")
+        .agg(F.array_join(F.transform(earlier, lambda x: x["body"]), "\n").alias("head"))
+        .withColumnRenamed("of", "block")
+    )
+    before = (
+        Window.partitionBy("conv", "block")
+        .orderBy("turn")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    answers = lines.withColumn("near", F.collect_list("line").over(before)).where("role = 'assistant'")
+    near = F.when(F.size("near") > 0, F.array_join("near", "\n"))
+    return (
+        answers.join(heads, ["conv", "block"], "left")
+        .where(F.col("head").isNotNull() | (F.size("near") > 0))
+        .select(
+            "conv",
+            "turn",
+            F.concat_ws("\n", "head", near).alias("prompt"),
+            F.col("text").alias("response"),
+            F.lit(False).alias("over_length"),
+        )
+    )
+
+
 def _head_limits(spoken: DataFrame, head_size: int) -> tuple[DataFrame, int]:
     """Per dialogue longer than ``head_size`` turns: a turn number ``hi`` closing its head.
 

@@ -78,11 +78,14 @@ def format_name(fmt: Column) -> Column:
 
 
 def first_format(records: DataFrame, *order: str) -> str | None:
-    """Layout of the first record by ``order``, None if there is no record.
+    """Layout of the first record by ``order``, None if there is no valid record.
+
+    Malformed records (``raw`` NULL) have no layout and do not count.
 
     The order columns are narrow; records themselves are not sorted or moved.
     """
-    layouts = records.select(*order, format_expr(F.col("raw")).alias("fmt"))
+    valid = records.where(F.col("raw").isNotNull())
+    layouts = valid.select(*order, format_expr(F.col("raw")).alias("fmt"))
     return layouts.agg(F.min_by("fmt", F.struct(*order)).alias("fmt")).first()["fmt"]
 
 
@@ -94,6 +97,9 @@ def detect_format(
 ) -> DataFrame:
     """Add ``fmt``: of the data set's first record, of each file's first, or of each record.
 
+    First means first valid: malformed records take the layout of the others. A
+    file without any valid record has that of an empty data set.
+
     ``order`` starts with the file. ``n_files``, if known, bounds the number of
     files and so the table of their layouts (see ``lookup_join``).
     """
@@ -105,9 +111,11 @@ def detect_format(
         fmt = first_format(records, *order) or NO_RECORD_FORMAT
         return records.withColumn("fmt", F.lit(fmt))
     # The layout is taken before grouping: records themselves are not sorted.
-    layouts = records.select(*order, format_expr(F.col("raw")).alias("fmt"))
+    valid = records.where(F.col("raw").isNotNull())
+    layouts = valid.select(*order, format_expr(F.col("raw")).alias("fmt"))
     per_file = layouts.groupBy(order[0]).agg(F.min_by("fmt", F.struct(*order[1:])).alias("fmt"))
-    return lookup_join(records, per_file, order[0], "inner", n_files)
+    found = lookup_join(records, per_file, order[0], "left", n_files)
+    return found.withColumn("fmt", F.coalesce("fmt", F.lit(NO_RECORD_FORMAT)))
 
 
 def messages(raw: Column, fmt: str) -> Column:

@@ -68,12 +68,14 @@ def split_exact(df: DataFrame, key: str, frac: float = 0.05) -> DataFrame:
     ``key`` holds strings of one fixed width. The rows are written once, with a
     tie-breaker behind equal keys, so that the counting passes and the final
     read see the same rows; the split itself is then one comparison per row.
+    The tie-breaker stays part of ``key``, which is unique from then on.
     """
     tie = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
     fixed = materialise(df.withColumn("_cut_key", F.concat(F.col(key), tie)), "split")
     cut, _ = key_of_rank(fixed, "_cut_key", lambda n: max(1, int(n * frac)))
     in_val = F.substring("_cut_key", 1, len(cut)) <= cut
-    return fixed.withColumn("split", F.when(in_val, "val").otherwise("train")).drop("_cut_key")
+    split = fixed.withColumn("split", F.when(in_val, "val").otherwise("train"))
+    return split.withColumn(key, F.col("_cut_key")).drop("_cut_key")
 
 
 def test_set(df: DataFrame, key: str, frac: float = 0.1) -> DataFrame:

@@ -13,7 +13,7 @@ HEAD_CHARS = 500
 
 
 def preview_groups(df: DataFrame, group: str, order: Column, raw: Column, json: Column) -> DataFrame:
-    """Per group: row count, and layout, keys and the beginning of its first record.
+    """Per group: row count, and layout, keys and the beginning of its first valid record.
 
     ``order`` is one number, unique per group. Counting and finding the first
     place is a hash aggregation of narrow columns. Its result is counted, so
@@ -21,7 +21,11 @@ def preview_groups(df: DataFrame, group: str, order: Column, raw: Column, json:
     """
     rows = df.withColumn("_order", order)
     firsts = materialise(
-        rows.groupBy(group).agg(F.count("*").alias("n"), F.min("_order").alias("_first")), "firsts"
+        rows.groupBy(group).agg(
+            F.count("*").alias("n"),
+            F.coalesce(F.min(F.when(raw.isNotNull(), F.col("_order"))), F.min("_order")).alias("_first"),
+        ),
+        "firsts",
     )
     found = lookup_join(rows, firsts, group, "inner", firsts.count())
     return found.where(F.col("_order") == F.col("_first")).select(

@@ -22,14 +22,14 @@ def reject_reason(
 
     ``text`` is stripped already; NULL text without another reason is an error.
     ``over_length`` marks examples known to be too long without being rendered.
-    Without ``check`` only errors, empty texts and those above ``max_length`` go.
+    Without ``check`` only errors and empty texts go.
     """
     size = F.length(text)
     failed = text.isNull() if error is None else F.coalesce(error, F.lit(False)) | text.isNull()
     too_long = F.lit(False) if over_length is None else F.coalesce(over_length, F.lit(False))
     reason = F.when(too_long, "length").when(failed, "error").when(text == "", "empty")
     if not check:
-        return reason.when(size > max_length, "length")
+        return reason
     return reason.when(~size.between(min_length, max_length), "length").when(
         ~is_solid(text, MIN_SOLID), "blank"
     )

@@ -20,15 +20,13 @@ def pair_up(predictions: DataFrame, references: DataFrame, key: str = "pair_id")
 def scoreable(rows: DataFrame) -> DataFrame:
     """Rows that can be evaluated: non-empty prompt and reference.
 
-    The prompt is ``prompt`` or, if the table has no such column, ``instruction``;
-    the reference ``response`` or else ``output``, unless there is ``reference``.
+    A record's prompt is its ``prompt`` or, if it has none (NULL, or no such
+    column), its ``instruction``; its reference is ``reference``, ``response``
+    or ``output``, the first it has.
     """
 
     def first_present(*names: str) -> Column:
-        for name in names:
-            if name in rows.columns:
-                return F.coalesce(name, F.lit(""))
-        return F.lit("")
+        return F.coalesce(*[F.col(n) for n in names if n in rows.columns], F.lit(""))
 
     out = rows.withColumn("prompt", first_present("prompt", "instruction")).withColumn(
         "reference", first_present("reference", "response", "output")
@@ -37,8 +35,9 @@ def scoreable(rows: DataFrame) -> DataFrame:
 
 
 def not_blank(text: Column) -> Column:
-    """A blank text is scored as a full stop."""
-    return F.when(py_strip(text) == "", ".").otherwise(text)
+    """A blank or missing text is scored as a full stop."""
+    given = F.coalesce(text, F.lit(""))
+    return F.when(py_strip(given) == "", ".").otherwise(given)
 
 
 # Joins the words of an n-gram; whitespace, so no word contains it.
@@ -112,17 +111,14 @@ def rouge(
 def _clipped(tokens: DataFrame, key: str) -> DataFrame:
     """ROUGE-1 and ROUGE-2 with counted n-grams."""
 
-    def exploded(side: str, n: int) -> DataFrame:
-        return tokens.select(
-            key,
-            F.lit(n).alias("n"),
-            F.explode(_grams(F.col(side), n)).alias("gram"),
-            F.lit(1 if side == "p" else 0).alias("in_p"),
+    def marked(side: str, n: int) -> Column:
+        return F.transform(
+            _grams(F.col(side), n),
+            lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram"), F.lit(int(side == "p")).alias("in_p")),
         )
 
-    rows = exploded("p", 1)
-    for side, n in (("r", 1), ("p", 2), ("r", 2)):
-        rows = rows.unionByName(exploded(side, n))
+    every = F.concat(*[marked(side, n) for n in (1, 2) for side in ("p", "r")])
+    rows = tokens.select(key, F.explode(every).alias("g")).select(key, "g.*")
     counts = rows.groupBy(key, "n", "gram").agg(
         F.sum("in_p").alias("cp"), F.sum(1 - F.col("in_p")).alias("cr")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from loomset.functions.text import utf8_ids
 from loomset.operators.ordering import ranked
+from loomset.storage import materialise
 
 # Fixed value: the label of a position that carries no loss.
 IGNORED = -100
@@ -67,22 +68,25 @@ def pad_batches(df: DataFrame, size: int, pad_id: int, key: str = "order_key") -
     """Batches of ``size`` consecutive rows in order of ``key``, padded to their longest row.
 
     Adds ``batch`` and ``attention_mask``; pads ``input_ids`` with ``pad_id``
-    and ``labels`` with ``IGNORED``. Ranks are found on the narrow
-    (key, length) table; the arrays move once, to their batch.
+    and ``labels`` with ``IGNORED``. Keys may repeat: rows are written once,
+    with a number that breaks ties, so texts are tokenised once. Ranks are
+    found on the narrow (key, length) table; the arrays move to their batch.
     """
-    narrow = df.select(key, F.size("input_ids").alias("_len"))
-    batches = ranked(narrow, key).select(
-        key, F.floor(F.col("rank") / size).alias("batch"), "_len"
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    unique = F.concat(F.col(key), F.lpad(F.hex("_row"), 16, "0"))
+    narrow = rows.select("_row", unique.alias("_place"), F.size("input_ids").alias("_len"))
+    batches = ranked(narrow, "_place").select(
+        "_row", F.floor(F.col("rank") / size).alias("batch"), "_len"
     )
     longest = F.max("_len").over(Window.partitionBy("batch"))
-    sized = batches.select(key, "batch", longest.alias("_to"))
+    sized = batches.select("_row", "batch", longest.alias("_to"))
     missing = F.col("_to") - F.size("input_ids")
 
     def padded(name: str, filler: int) -> Column:
         return F.concat(name, F.array_repeat(F.lit(filler), missing))
 
     others = [c for c in df.columns if c not in ("input_ids", "labels")]
-    return df.join(sized, key).select(
+    return rows.join(sized, "_row").select(
         *others,
         "batch",
         padded("input_ids", pad_id).alias("input_ids"),

@@ -20,9 +20,12 @@ def evaluate(
     """One row: sample count, ROUGE, and matching score and loss if their inputs are given.
 
     Pairs that carry a prompt count only if prompt and reference are not empty.
+    All parts are averaged over the same pairs: vectors and log-probabilities
+    of other pairs are left out.
     """
-    if "prompt" in pairs.columns:
+    if "prompt" in pairs.columns or "instruction" in pairs.columns:
         pairs = scoreable(pairs)
+    counted = pairs.select("pair_id")
     parts = [
         pairs.agg(F.count("*").alias("num_samples")),
         corpus_mean(
@@ -32,14 +35,15 @@ def evaluate(
     if token_vectors is not None:
         parts.append(
             corpus_mean(
-                bertscore(token_vectors),
+                bertscore(token_vectors.join(counted, "pair_id", "left_semi")),
                 "bertscore_precision",
                 "bertscore_recall",
                 "bertscore_f1",
             )
         )
     if token_logprobs is not None:
-        parts.append(eval_loss(token_logprobs).select("eval_loss"))
+        scored = token_logprobs.join(counted, "pair_id", "left_semi")
+        parts.append(eval_loss(scored).select("eval_loss"))
     # Each part is one row with columns of its own: stacked, the maximum finds the value.
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

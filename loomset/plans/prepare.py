@@ -68,6 +68,18 @@ class PrepareConfig:
             raise ValueError("dedup_on must be 'text' or 'pair'")
 
 
+def prompt_limit(cfg: PrepareConfig) -> int | None:
+    """The longest prompt an example may have, where that follows from the rules alone.
+
+    Only if texts are checked, and hold their prompt between other parts, is an
+    example of a longer prompt rejected whatever else is in it.
+    """
+    inside = cfg.task_type in ("instruction", "classification") or (
+        cfg.chat_template and cfg.task_type in CHAT_TASKS
+    )
+    return cfg.max_length if cfg.quality_check and inside else None
+
+
 def example_text(cfg: PrepareConfig) -> Column:
     """Stripped training text of columns ``prompt, response, system, cot``."""
     parts = [F.col(c) for c in ("prompt", "response", "system", "cot")]
@@ -127,7 +139,7 @@ def _with_order(df: DataFrame, cfg: PrepareConfig, identity: Column, place: Colu
 
 def turn_examples(turns: DataFrame, cfg: PrepareConfig) -> DataFrame:
     """Examples of a flat turn table ``conv_id, turn, role, text``."""
-    expanded = expand_turns(turns, cfg.max_length, labels=cfg.labels).select(
+    expanded = expand_turns(turns, prompt_limit(cfg), labels=cfg.labels).select(
         "*",
         F.lit(cfg.system_prompt).alias("system"),
         F.lit("").alias("cot"),
@@ -207,7 +219,7 @@ def expanded_pairs(dialogues: DataFrame, cfg: PrepareConfig) -> DataFrame:
         .otherwise(F.col("_turns"))
         .alias("_turns"),
     )
-    return expand_dialogues(said, "_turns", cfg.max_length, cfg.labels).select(
+    return expand_dialogues(said, "_turns", prompt_limit(cfg), cfg.labels).select(
         *others,
         "turn_pos",
         "prompt",
@@ -238,11 +250,15 @@ def prepare_documents(docs: DataFrame, cfg: PrepareConfig = PrepareConfig()) ->
 def leading_format(spark: SparkSession, path: str | list[str]) -> str:
     """Layout of the first record in path order, reading little else.
 
-    The first file is read up to its first record. If there is none in its
+    The first file is read up to its first valid record. If there is none in its
     first block, the leading files are read: two, then four more, and so on.
     """
     files = scan_files(spark, path)
-    head = read_records(spark, files[:1]).where(F.col("block_start") == 0).limit(1)
+    head = (
+        read_records(spark, files[:1])
+        .where((F.col("block_start") == 0) & F.col("raw").isNotNull())
+        .limit(1)
+    )
     found = first_format(head, "rid")
     start, step = 0, 2
     while found is None and start < len(files):

@@ -8,11 +8,13 @@ files. Unused columns are pruned by the optimizer.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loomset.functions.once import with_once
 from loomset.functions.text import py_strip
 from loomset.operators.joins import lookup_join
 
@@ -88,68 +90,89 @@ def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
         *_place(), py_strip(F.col("value")).alias("body")
     )
     listed = F.from_json("body", "array<string>", {"mode": "FAILFAST"})
-    data = F.from_json("body", "struct<data: array<string>>")["data"]
-    parts = F.when(F.col("body").startswith("["), listed).otherwise(
-        F.coalesce(F.when(F.col("body").startswith("{"), data), F.array("body"))
+    data = F.when(
+        F.col("body").startswith("{"), F.from_json("body", "struct<data: array<string>>")["data"]
     )
-    rows = files.select("path", "block_start", "body", F.explode(parts).alias("json"))
-    # A single value was not parsed yet: parse it strictly, so that a malformed file fails.
-    strict = F.when(F.col("json") == F.col("body"), F.parse_json("json"))
-    return _records(
-        rows.select("path", "block_start", "json", "body"),
-        F.coalesce(strict, F.try_parse_json("json")),
+    found = F.when(F.col("body").startswith("["), listed).otherwise(data)
+    # The document does not go through the explode, which would copy it beside every record.
+    rows = (
+        with_once(files, "_found", found)
+        .withColumn("_single", F.col("_found").isNull())
+        .select(
+            "path",
+            "block_start",
+            "_single",
+            F.explode(F.coalesce("_found", F.array("body"))).alias("json"),
+        )
     )
+    # A single value was not parsed yet: parse it strictly, so that a malformed file fails.
+    raw = F.when(F.col("_single"), F.parse_json("json")).otherwise(F.try_parse_json("json"))
+    return _records(rows, raw)
 
 
 def read_txt(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One ``{"text": …}`` record per paragraph; a file that is one paragraph gives its lines.
 
-    Paragraphs end at an empty line. Files are cut at two line feeds while
-    reading, so that a large file is shared by many tasks; what Windows line
-    ends hide from that cut is cut afterwards.
+    Paragraphs end at an empty line. A first pass over the lines tells which
+    files have an empty line between texts; these are cut at two line feeds
+    while reading, and what Windows line ends hide from that cut is cut
+    afterwards. The others are read line by line. Either way a large file is
+    shared by many tasks. The driver gets one row per file.
     """
-    chunks = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", _any_case("txt"))
-        .option("lineSep", "\n\n")
-        .text(path)
-        .select(*_place(), "value")
+    lines = _text(spark, path, "txt").select(
+        *_place(),
+        (py_strip(F.col("value")) == "").alias("blank"),
+        F.monotonically_increasing_id().alias("rid"),
+        "value",
     )
-    # Most chunks are one paragraph already; a byte search tells which are not.
-    uncut = F.contains("value", F.lit("\n\n")) | F.contains("value", F.lit("\r"))
-    cut = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n\n")
-    pieces = F.when(uncut, cut).otherwise(F.array("value"))
-    paragraphs = (
-        chunks.select("path", "block_start", F.explode(pieces).alias("text"))
-        .withColumn("text", py_strip(F.col("text")))
-        .where(F.col("text") != "")
-        .withColumn("rid", F.monotonically_increasing_id())
+    place = F.struct("block_start", "rid")
+    texts = lines.where(~F.col("blank")).groupBy("path").agg(
+        F.min(place).alias("first"), F.max(place).alias("last")
     )
-    # Only a file of one paragraph is cut into lines; of such a file there is one row.
-    alone = (
-        paragraphs.groupBy("path")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") == 1)
-        .select("path", F.lit(True).alias("alone"))
+    gaps = (
+        lookup_join(lines.where("value = ''").select("path", place.alias("at")), texts, "path", "inner", len(lines.inputFiles()))
+        .groupBy("path")
+        .agg(F.max((F.col("at") > F.col("first")) & (F.col("at") < F.col("last"))).alias("cut"))
     )
-    lines = F.when(F.col("alone"), F.split("text", "\n")).otherwise(F.array("text"))
-    texts = (
-        lookup_join(paragraphs, alone, "path", "left", len(chunks.inputFiles()))
-        .select("path", "block_start", "rid", F.posexplode(lines).alias("pos", "text"))
-        .withColumn("text", py_strip(F.col("text")))
-        .where(F.col("text") != "")
-    )
-    # Lines of a one-paragraph file share its number: add their position.
+    cut = {_one_slash(unquote(row["path"])) for row in gaps.where("cut").select("path").collect()}
+    every = sorted(unquote(f) for f in lines.inputFiles())
+    cut_files = [f for f in every if _one_slash(f) in cut]
+    whole = [f for f in every if _one_slash(f) not in cut]
+    parts = []
+    if cut_files:
+        parts.append(_paragraphs(spark, cut_files))
+    if whole or not cut_files:
+        rest = _text(spark, whole, "txt").select(*_place(), "value") if cut_files else lines
+        parts.append(rest.select("path", "block_start", py_strip(F.col("value")).alias("text")).where("text <> ''"))
     record = F.struct("text")
-    return texts.select(
+    return reduce(DataFrame.unionByName, parts).select(
         "path",
         "block_start",
-        (F.col("rid") + F.col("pos")).alias("rid"),
+        F.monotonically_increasing_id().alias("rid"),
         F.to_json(record).alias("json"),
         _variant(record, F.col("text")).alias("raw"),
     )
 
 
+def _one_slash(file: str) -> str:
+    """A file's address with one slash behind the scheme: listings and scans write it differently."""
+    return re.sub(r"^(\w+):/+", r"\1:/", file)
+
+
+def _paragraphs(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``path, block_start, text`` of the paragraphs of text files."""
+    chunks = spark.read.option("lineSep", "\n\n").text(files).select(*_place(), "value")
+    # Most chunks are one paragraph already; a byte search tells which are not.
+    uncut = F.contains("value", F.lit("\n\n")) | F.contains("value", F.lit("\r"))
+    cut = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n\n")
+    pieces = F.when(uncut, cut).otherwise(F.array("value"))
+    return (
+        chunks.select("path", "block_start", F.explode(pieces).alias("text"))
+        .withColumn("text", py_strip(F.col("text")))
+        .where(F.col("text") != "")
+    )
+
+
 def read_csv(
     spark: SparkSession, path: str | list[str], suffix: str = "csv", sep: str = ","
 ) -> DataFrame:

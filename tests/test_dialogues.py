@@ -54,6 +54,22 @@ def test_flat_expansion(spark, monkeypatch, broadcast_rows):
     assert got == {c: b for c, t in data.items() if (b := brute(t, 200))}
 
 
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_whole_prompts(spark, monkeypatch, block):
+    monkeypatch.setattr(dialogues, "_BLOCK", block)
+    rng = random.Random(8)
+    data = {c: random_dialogue(rng, n) for c, n in enumerate([1, 2, 5, 40, 200])}
+    data[7] = [(0, "user", "y" * 20000), (1, "assistant", "a"), (-3, "system", "s"), (900, "assistant", "b")]
+    want = {c: b for c, t in data.items() if (b := brute(t, 10**9))}
+    assert collect_turns(expand_turns(make(spark, data))) == want
+    rows = [(c, [(r, x) for _, r, x in sorted(t)]) for c, t in data.items()]
+    df = spark.createDataFrame(rows, "conv_id long, m array<struct<role:string,content:string>>")
+    got = {}
+    for r in expand_dialogues(df, "m").orderBy("conv_id", "turn_pos").collect():
+        got.setdefault(r.conv_id, []).append((r.prompt, r.response))
+    assert got == {c: [x[1:] for x in b] for c, b in want.items()}
+
+
 def test_nested_expansion(spark):
     rng = random.Random(6)
     data = {c: random_dialogue(rng, n) for c, n in enumerate([1, 2, 5, 40, 400])}

@@ -16,6 +16,7 @@ from loomset.plans.prepare import (
     turn_examples,
 )
 from loomset.operators.quality import quality_report
+from loomset.operators.tokens import pad_batches, token_columns
 from loomset.sources import read_records
 
 CFG = PrepareConfig(system_prompt="S", min_length=1, val_split=0.2)
@@ -194,3 +195,30 @@ def test_sinks(spark, tmp_path, write):
     want = sorted(map(tuple, metrics.collect()))
     for layout in ("rows", "maps"):
         assert sorted(map(tuple, read_metrics(spark, str(tmp_path / layout), layout).collect())) == want
+
+
+def test_long_prompt_is_kept_where_it_is_not_rendered(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "q" * 9000), (1, 1, "assistant", "a short but valid answer")],
+        "conv_id long, turn long, role string, text string",
+    )
+    kept = {
+        task: prepare_turns(turns, PrepareConfig(task_type=task, dedup=False)).count()
+        for task in ("instruction", "cot", "text_completion")
+    }
+    assert kept == {"instruction": 0, "cot": 1, "text_completion": 0}
+    assert prepare_turns(turns, PrepareConfig(quality_check=False)).count() == 1
+
+
+def test_malformed_first_line_decides_no_layout(spark, write):
+    good = '{"instruction": "say something long", "input": "more", "output": "an answer of some length"}'
+    folder = write("a.jsonl", "{broken\n\n" + good + "\n")
+    rows, fmt = prepare(spark, folder, PrepareConfig(dedup=False))
+    assert fmt == "alpaca" and "more" in rows.first()["prompt"]
+
+
+def test_repeated_keys_keep_all_rows(spark):
+    rows = spark.createDataFrame([(i, "same text") for i in range(10)], "id int, text string")
+    keyed = rows.withColumn("order_key", F.md5("text"))
+    padded = pad_batches(token_columns(keyed), 4, 0)
+    assert sorted(r["batch"] for r in padded.collect()) == [0] * 4 + [1] * 4 + [2] * 2

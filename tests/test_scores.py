@@ -116,7 +116,7 @@ def test_eval_loss_and_report(spark):
     report = evaluate(pairs)
     assert report.columns == ["num_samples", "rouge_1", "rouge_2", "rouge_l"]
     assert tuple(report.first()) == (1, 1.0, 1.0, 1.0)
-    assert evaluate(pairs, token_logprobs=logprobs).first().eval_loss == 1.0
+    assert evaluate(pairs, token_logprobs=logprobs).first().eval_loss == 1.5  # pair 2 is not scored
 
 
 def test_token_columns(spark):
@@ -143,3 +143,22 @@ def test_pad_batches(spark):
         assert list(r.input_ids) == [120] * len(text) + [0] * pad
         assert list(r.labels) == [120] * len(text) + [-100] * pad
         assert list(r.attention_mask) == [1] * len(text) + [0] * pad
+
+
+def test_missing_texts_and_keys_are_taken_record_by_record(spark):
+    rows = [(1, None, "do", "a b", None, None), (2, "say", None, None, "c d", "c d"), (3, None, None, "x", "x", "x")]
+    pairs = spark.createDataFrame(
+        rows, "pair_id long, prompt string, instruction string, output string, reference string, prediction string"
+    )
+    scored = {r["pair_id"]: r["reference"] for r in scoreable(pairs).collect()}
+    assert scored == {1: "a b", 2: "c d"}
+    for distinct in (True, False):
+        got = {r["pair_id"]: (r["rouge_1"], r["rouge_l"]) for r in rouge(scoreable(pairs), distinct_ngrams=distinct).collect()}
+        assert got == {1: (0.0, 0.0), 2: (1.0, 1.0)}
+    vectors = spark.createDataFrame(
+        [(p, side, 0, [1.0, float(p)]) for p in (2, 3) for side in ("pred", "ref")],
+        "pair_id long, side string, pos int, vec array<float>",
+    )
+    losses = spark.createDataFrame([(2, 0, 0, -1.0), (3, 0, 0, -9.0)], "pair_id long, pos int, prompt_len int, logprob double")
+    report = evaluate(pairs, vectors, losses).first()
+    assert (report["num_samples"], report["rouge_1"], report["eval_loss"], report["bertscore_f1"]) == (2, 0.5, 1.0, 1.0)
