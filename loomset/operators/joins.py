@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import VariantType
 
 BROADCAST_ROWS = 100_000
-SALTS = 16
+LEAST_SALTS = 16
 
 
 def lookup_join(
@@ -21,7 +21,8 @@ def lookup_join(
     With ``table_rows``, a count taken by the caller, of at most
     ``BROADCAST_ROWS`` the table is broadcast and ``rows`` do not move.
     Otherwise both sides are shuffled on the key and a salt, so that no task
-    receives all rows of one key; the table is repeated once per salt. As the
+    receives all rows of one key; the table is repeated once per salt, of which
+    there are more on sessions with more shuffle partitions. As the
     result is not partitioned by the key, nothing behind the join can rely on
     that, which leaves adaptive execution free to split parts still too large.
     """
@@ -31,8 +32,10 @@ def lookup_join(
         return rows.join(F.broadcast(table), on, how)
     # A variant cannot be hashed; any other columns spread the rows.
     others = [f.name for f in rows.schema if f.name != on and not isinstance(f.dataType, VariantType)]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(LEAST_SALTS, partitions // 8)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)))
     repeated = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )
     return salted.join(repeated, [on, "_salt"], how).drop("_salt")

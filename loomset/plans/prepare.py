@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from loomset.functions.once import with_once
 from loomset.functions.render import CHAT_TASKS, chat_messages, render, render_chat
@@ -137,6 +138,13 @@ def _with_order(df: DataFrame, cfg: PrepareConfig, identity: Column, place: Colu
     return df.withColumn("order_key", order_key(identity, cfg.seed) if cfg.shuffle else place)
 
 
+def place_key(df: DataFrame, column: str) -> Column:
+    """A sort key of hex digits in order of an id column, numbers by value and texts by their bytes."""
+    if isinstance(df.schema[column].dataType, StringType):
+        return F.concat(F.hex(F.encode(column, "UTF-8")), F.lit("/"))
+    return F.lpad(F.hex(column), 16, "0")
+
+
 def turn_examples(turns: DataFrame, cfg: PrepareConfig) -> DataFrame:
     """Examples of a flat turn table ``conv_id, turn, role, text``."""
     expanded = expand_turns(turns, prompt_limit(cfg), labels=cfg.labels).select(
@@ -146,7 +154,7 @@ def turn_examples(turns: DataFrame, cfg: PrepareConfig) -> DataFrame:
         F.lit(False).alias("error"),
     )
     identity = F.concat_ws("-", "conv_id", "turn")
-    place = F.concat(F.lpad(F.hex("conv_id"), 16, "0"), F.lpad(F.hex("turn"), 16, "0"))
+    place = F.concat(place_key(expanded, "conv_id"), place_key(expanded, "turn"))
     return _with_order(expanded, cfg, identity, place)
 
 
@@ -161,7 +169,7 @@ def document_examples(docs: DataFrame, cfg: PrepareConfig) -> DataFrame:
         F.lit(False).alias("error"),
         F.lit(False).alias("over_length"),
     )
-    return _with_order(plain, cfg, F.col("doc_id"), F.lpad(F.hex("doc_id"), 16, "0"))
+    return _with_order(plain, cfg, F.col("doc_id"), place_key(plain, "doc_id"))
 
 
 def record_examples(

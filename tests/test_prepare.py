@@ -11,6 +11,7 @@ from loomset.plans.prepare import (
     judged,
     leading_format,
     prepare,
+    prepare_documents,
     prepare_turns,
     record_examples,
     turn_examples,
@@ -222,3 +223,10 @@ def test_repeated_keys_keep_all_rows(spark):
     keyed = rows.withColumn("order_key", F.md5("text"))
     padded = pad_batches(token_columns(keyed), 4, 0)
     assert sorted(r["batch"] for r in padded.collect()) == [0] * 4 + [1] * 4 + [2] * 2
+
+
+def test_text_ids_keep_their_order(spark):
+    ids = ["aaaaaaaaaa-2", "aaaaaaaaaa-10", "aaaaaaaaaa", "b", "aaaaaaaaaa-1", ""]
+    docs = spark.createDataFrame([(i, f"text number {i} of some length") for i in ids], "doc_id string, text string")
+    rows = prepare_documents(docs, PrepareConfig(shuffle=False, val_split=0.5)).collect()
+    assert {r["doc_id"] for r in rows if r["split"] == "val"} == set(sorted(ids)[:3])
