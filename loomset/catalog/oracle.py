@@ -572,6 +572,11 @@ _ORACLE = {
                (SELECT round(avg(bertscore_recall), 4) FROM matched) AS bertscore_recall,
                (SELECT round(avg(bertscore_f1), 4) FROM matched) AS bertscore_f1,
                (SELECT round(avg(loss), 4) FROM losses) AS eval_loss""",
+    "held_out_report": f"""
+        SELECT count(*) AS num_samples, round(avg(hit), 4) AS rouge_1, round(avg(hit), 4) AS rouge_l FROM (
+          SELECT CASE WHEN turn % 4 < 2 THEN 1 ELSE 0 END AS hit
+          FROM ({_split(_CLEAN_TURNS, 'conv_id, turn, prompt, response')})
+          WHERE split = 'val' AND prompt <> '' AND response <> '')""",
     "token_columns": f"""
         SELECT doc_id, array_to_string({_IDS.format('text')}[1:2048], ' ') AS input_ids,
                octet_length(encode(text)) AS n_tokens, octet_length(encode(text)) > 2048 AS truncated

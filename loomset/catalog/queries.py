@@ -554,6 +554,19 @@ def score_report(spark, sf):
     )
 
 
+@query
+def held_out_report(spark, sf):
+    """From turns to the report of the held-out examples; every other answer is predicted, the rest not said."""
+    pair_id = F.concat_ws("-", "conv_id", "turn").alias("pair_id")
+    examples = plans.prepare_turns(inputs.turns(spark, sf)).select(
+        pair_id, "prompt", "response", "order_key", "split"
+    )
+    said = inputs.turns(spark, sf).select(
+        pair_id, F.when(F.col("turn") % 4 < 2, F.col("text")).alias("prediction")
+    )
+    return evaluation.evaluate_held_out(examples, said).select("num_samples", "rouge_1", "rouge_l")
+
+
 # --- token columns ---------------------------------------------------------------
 
 

@@ -7,7 +7,23 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from loomset.operators.bertscore import bertscore
-from loomset.operators.textscore import corpus_mean, eval_loss, rouge, scoreable
+from loomset.operators.ordering import test_set
+from loomset.operators.textscore import corpus_mean, eval_loss, pair_up, rouge, scoreable
+
+
+def evaluate_held_out(
+    examples: DataFrame, predictions: DataFrame, key: str = "order_key", **parts
+) -> DataFrame:
+    """The report of the held-out examples that can be scored.
+
+    ``examples`` are split rows with ``pair_id``, ``prompt``, ``response`` and a
+    unique ``key``; ``predictions`` has ``pair_id, prediction``. Held out are
+    the validation rows or, without any, the last tenth (``test_set``). A row
+    without a prediction is not scored. ``parts`` are those of ``evaluate``.
+    """
+    held = scoreable(test_set(examples, key).select("pair_id", "prompt", "response"))
+    pairs = pair_up(predictions, held.select("pair_id", "prompt", "reference"))
+    return evaluate(pairs, **parts)
 
 
 def evaluate(
