@@ -19,10 +19,9 @@ only, so every id is scored once, after at least ``WINDOW - STRIDE`` others.
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +37,15 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 ACTIVE = 1024
 CLASSES = 64
-HEADS = 2
-WIDTH = 24
+HEADS = 1
+WIDTH = 16
 WINDOW = 32
-STRIDE = 24
+STRIDE = 28
 FOLDS = 10
 SEED = 42
 # Training: one window of every training text and of every so many ids of it. A trainer takes about
 # ``TRAINER_WINDOWS`` of them; in a round it makes ``STEPS`` steps or up to ``MOST_PASSES`` passes, then all are averaged.
-WINDOW_EVERY = 2048
+WINDOW_EVERY = 4096
 TRAINER_WINDOWS = 20_000
 STEPS = 300
 MOST_PASSES = 4
@@ -57,8 +56,8 @@ RATE = 0.02
 # Words whose counts go to every task: the commonest, of bounded number and length. Others are joined.
 COMMON_WORDS = 100_000
 COMMON_BYTES = 40
-_CACHE_WORDS = 150_000
-_TABLE_ROWS = 150_000
+_MOST_WORDS = 300_000  # words a task numbers before it starts anew
+_MOST_PAIRS = 600_000
 _GROUP_BYTES = 1 << 21
 _ALPHA = 0.1
 
@@ -72,37 +71,68 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 class Words:
-    """Words of texts, and their ids; those of up to ``_CACHE_WORDS`` words are kept."""
+    """Words of texts by number, and their ids. Number 0 is the empty word, the end sign."""
 
     def __init__(self, vocabulary: bytes):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        (self.line_feed,) = self.encoding.encode_ordinary("\n")
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {b"": 0}
+        self.words: list[bytes] = [b""]
+        self.parts = [np.array([END], np.int64)]
+        self.flat = self.parts[0]
+        self.ends = np.array([1], np.int64)
+
+    def full(self) -> bool:
+        return len(self.words) > _MOST_WORDS
 
     @staticmethod
     def split(text: str | None) -> list[bytes]:
         """Words between ASCII blanks, A-Z lower-cased."""
         return (text or "").encode("utf-8", "replace").lower().split()
 
-    def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Per text its ids between two end signs."""
-        new = {w for words in texts for w in words if w not in self.known}
-        found = {w: tuple(self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace"))) for w in new}
-        every = self.known | found if found else self.known
-        if len(every) <= _CACHE_WORDS:
-            self.known = every
-        return [
-            np.fromiter(chain((END,), chain.from_iterable(map(every.__getitem__, words)), (END,)), np.int64)
-            for words in texts
-        ]
+    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The numbers of all words of all texts in a row; words not seen before get the next ones."""
+        flat = list(chain.from_iterable(texts))
+        out = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(flat[i] for i in missing))
+            self.number.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+            self.words += new
+            # One call for all new words: a line feed is an id of its own and in no word.
+            lines = "".join(f" {w.decode('utf-8', 'replace')}\n" for w in new)
+            ids = np.array(self.encoding.encode_ordinary(lines), np.int64)
+            breaks = ids == self.line_feed
+            closes = np.flatnonzero(breaks) - np.arange(len(new))
+            self.ends = np.append(self.ends, self.flat.size + closes)
+            self.flat = np.append(self.flat, ids[~breaks])
+            out[missing] = [self.number[flat[i]] for i in missing]
+        return out
+
+    def ids(self, numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per text of ``sizes`` words its ids between two end signs: all in a row, and how many each has."""
+        ends = np.cumsum(sizes)
+        with_signs = np.zeros(numbers.size + 2 * sizes.size, np.int64)
+        with_signs[np.arange(numbers.size) + np.repeat(2 * np.arange(sizes.size) + 1, sizes)] = numbers
+        stop = self.ends[with_signs]
+        lengths = stop - np.append(0, self.ends[:-1])[with_signs]
+        total = np.cumsum(lengths)
+        places = np.arange(total[-1] if total.size else 0) + np.repeat(stop - total, lengths)
+        counts = np.diff(np.append(0, total[ends + 2 * np.arange(1, sizes.size + 1) - 1]))
+        return self.flat[places], counts
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
     """(first row, words of texts) of about ``_GROUP_BYTES`` each."""
     begin, group, size = 0, [], 0
     for row, text in enumerate(texts):
-        group.append(Words.split(text.as_py()))
-        size += sum(map(len, group[-1]))
+        value = text.as_py()
+        group.append(Words.split(value))
+        size += len(value or "")
         if size >= _GROUP_BYTES:
             yield begin, group
             begin, group, size = row + 1, [], 0
@@ -148,6 +178,7 @@ class Counted:
 
 
 _ROOT = np.sqrt(WIDTH // HEADS)
+_LARGEST = np.float32(60)  # attention scores stop here, so that their exponentials stay finite
 
 
 def _heads(x: np.ndarray) -> np.ndarray:
@@ -181,7 +212,7 @@ class Attention:
         self.theta = np.asarray(theta, np.float32)
         for name, part in self.split(self.theta).items():
             setattr(self, name, part)
-        self.mask = np.where(np.tri(WINDOW, dtype=bool), np.float32(0), np.float32(-1e9))
+        self.seen = np.tri(WINDOW, dtype=np.float32)
         # what an id brings to a query, a key and a value, and what a place in the window adds
         self.tables = [(self.embed @ w, self.at @ w) for w in (self.query / np.float32(_ROOT), self.key, self.value)]
 
@@ -195,17 +226,18 @@ class Attention:
         return out
 
     def class_log_chances(self, windows: np.ndarray, counted: Counted, first: int) -> np.ndarray:
-        """Log chances of the next class behind the places ``first`` and later of each window."""
+        """Log chances of the next class behind the places ``first`` and later of each window, up to one number per place.
+
+        That number is the log of the sum of their exponentials.
+        """
         q, k, v = (_heads(by_id[windows] + by_place) for by_id, by_place in self.tables)
         weight = q[:, :, first:] @ k.transpose(0, 1, 3, 2)
-        weight += self.mask[first:]
-        weight -= weight.max(axis=3, keepdims=True)
+        np.minimum(weight, _LARGEST, out=weight)
         np.exp(weight, out=weight)
-        weight /= weight.sum(axis=3, keepdims=True)
-        logits = _joined(weight @ v) @ self.out
+        weight *= self.seen[first:]
+        head = (weight @ v) / weight.sum(axis=3, keepdims=True)
+        logits = _joined(head) @ self.out
         logits += counted.of_class[windows[:, first:]]
-        logits -= logits.max(axis=2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
         return logits
 
     def gradient(self, windows: np.ndarray, targets: np.ndarray, counted: Counted) -> tuple[float, np.ndarray]:
@@ -213,8 +245,7 @@ class Attention:
         scale = np.float32(1 / _ROOT)
         x = self.embed[windows] + self.at
         q, k, v = (_heads(x @ w) for w in (self.query, self.key, self.value))
-        weight = scale * (q @ k.transpose(0, 1, 3, 2)) + self.mask
-        weight = np.exp(weight - weight.max(axis=3, keepdims=True))
+        weight = np.exp(np.minimum(scale * (q @ k.transpose(0, 1, 3, 2)), _LARGEST)) * self.seen
         weight /= weight.sum(axis=3, keepdims=True)
         head = _joined(weight @ v)
         logits = head @ self.out + counted.of_class[windows]
@@ -268,10 +299,8 @@ class Scorer:
     def __init__(self, theta: np.ndarray, counted: Counted):
         self.attention, self.counted = Attention(theta), counted
 
-    def gains(self, texts: list[np.ndarray]) -> np.ndarray:
-        """The log chance of every id of all texts in a row; 0 for the first of each text, the sign before it."""
-        sizes = np.array([t.size for t in texts])
-        ids = np.concatenate(texts)
+    def gains(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The log chance of every id of texts of ``sizes`` ids in a row; 0 for the first of each, the sign before it."""
         ends = np.cumsum(sizes)
         places = np.append(self.counted.place[ids], np.zeros(WINDOW + 1, np.int32))
         # Windows begin every STRIDE ids; inputs are all ids but a text's last.
@@ -283,15 +312,18 @@ class Scorer:
         gain = np.zeros(ids.size, np.float64)
         for first, chosen in ((0, number == 0), (WINDOW - STRIDE, number > 0)):
             which = np.flatnonzero(chosen)
-            for at in range(0, which.size, 256):
-                part = which[at : at + 256]
+            for at in range(0, which.size, 128):
+                part = which[at : at + 128]
                 here = begin[part][:, None] + np.arange(WINDOW)
-                chances = self.attention.class_log_chances(places[here], self.counted, first)
+                logits = self.attention.class_log_chances(places[here], self.counted, first)
                 here = here[:, first:]
                 real = here < ends[owner[part]][:, None] - 1
                 now, after = places[here][real], here[real] + 1
                 target = places[after]
-                gain[after] = chances[real, :][np.arange(after.size), target % CLASSES] + self.counted.within[now, target]
+                rows = logits[real]
+                picked = rows[np.arange(after.size), target % CLASSES]
+                np.exp(rows, out=rows)
+                gain[after] = picked - np.log(rows.sum(axis=1)) + self.counted.within[now, target]
         gain += np.where(self.counted.place[ids] == 0, self.counted.others[ids], 0.0)
         gain[ends - sizes] = 0.0
         return gain
@@ -310,7 +342,7 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.
     """
     names = ["kind", "word", "a", "b", "n", "doc", "ids"]
     words_in = Words(vocabulary)
-    words: Counter[bytes] = Counter()
+    counts = np.zeros(0, np.int64)
     keys, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def rows(kind: int, size: int, **given: pa.Array) -> pa.RecordBatch:
@@ -320,42 +352,43 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def pass_words() -> pa.RecordBatch:
-        out = rows(0, len(words), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
-        words.clear()
-        return out
+        used = np.flatnonzero(counts)
+        return rows(0, used.size, word=pa.array([words_in.words[k] for k in used.tolist()], pa.binary()), n=pa.array(counts[used]))
 
     def pass_pairs() -> pa.RecordBatch:
-        return rows(
-            1,
-            keys.size,
-            a=pa.array((keys // IDS).astype(np.int32)),
-            b=pa.array((keys % IDS).astype(np.int32)),
-            n=pa.array(numbers),
-        )
+        a, b = (keys // IDS).astype(np.int32), (keys % IDS).astype(np.int32)
+        return rows(1, keys.size, a=pa.array(a), b=pa.array(b), n=pa.array(numbers))
 
     for batch in batches:
         docs = batch.column("doc").to_numpy()
         for begin, group in _groups(batch.column("text")):
-            for text in group:
-                words.update(text)
-            words[b""] += len(group)  # the end sign; no word is empty
-            ids = words_in.ids(group)
-            new = np.concatenate([t[:-1] * IDS + t[1:] for t in ids])
-            found, n = np.unique(new, return_counts=True)
-            merged, where = np.unique(np.append(keys, found), return_inverse=True)
+            if words_in.full():
+                yield pass_words()
+                words_in.clear()
+                counts = np.zeros(0, np.int64)
+            sizes = np.array([len(t) for t in group], np.int64)
+            found = words_in.numbers(group)
+            new = np.bincount(found, minlength=len(words_in.words))
+            new[0] += len(group)  # the end signs
+            new[: counts.size] += counts
+            counts = new
+            ids, lengths = words_in.ids(found, sizes)
+            ends = np.cumsum(lengths)
+            inner = np.ones(ids.size - 1, bool)
+            inner[ends[:-1] - 1] = False  # no pair goes from a text to the next
+            near, n = np.unique((ids[:-1] * IDS + ids[1:])[inner], return_counts=True)
+            merged, where = np.unique(np.append(keys, near), return_inverse=True)
             numbers = np.bincount(where, np.append(numbers, n), merged.size).astype(np.int64)
             keys = merged
             windows, owners = [], []
-            for doc, text in zip(docs[begin : begin + len(group)].tolist(), ids, strict=True):
-                for k in range(1 + text.size // WINDOW_EVERY):
+            for doc, end, size in zip(docs[begin : begin + len(group)].tolist(), ends.tolist(), lengths.tolist(), strict=True):
+                for k in range(1 + size // WINDOW_EVERY):
                     draw = ((doc + k) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 20
-                    start = draw % max(text.size - WINDOW, 1)
-                    windows.append(text[start : start + WINDOW + 1].astype(np.int32))
+                    start = end - size + draw % max(size - WINDOW, 1)
+                    windows.append(ids[start : min(start + WINDOW + 1, end)].astype(np.int32))
                     owners.append(doc)
             yield rows(2, len(windows), doc=pa.array(owners, pa.int64()), ids=pa.array(windows, pa.list_(pa.int32())))
-            if len(words) > _TABLE_ROWS:
-                yield pass_words()
-            if keys.size > 4 * _TABLE_ROWS:
+            if keys.size > _MOST_PAIRS:
                 yield pass_pairs()
                 keys, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
     yield pass_words()
@@ -503,41 +536,41 @@ def score(docs: DataFrame, model: Model, vocabulary: str = VOCABULARY) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_in, scorer = Words(content), Scorer(theta, counted)
-        known = int(b"" in table)
+        values = np.zeros(0)  # of words by number; NaN where the table has none
         pair = pa.struct([("word", pa.binary()), ("n", pa.int64())])
         for batch in batches:
             for begin, group in _groups(batch.column("text")):
-                ids = words_in.ids(group)
-                firsts = np.cumsum([0] + [x.size for x in ids[:-1]])
-                logs = np.add.reduceat(scorer.gains(ids), firsts) / np.log(10)
-                sums, seen, lists = [], [], []
-                for text in group:
-                    total, n_known, left = end, known, []
-                    for word, n in Counter(text).items():
-                        value = table.get(word)
-                        if value is None:
-                            left.append((word, n))
-                        else:
-                            total += n * value
-                            n_known += n
-                    sums.append(total)
-                    seen.append(n_known)
-                    lists.append(left)
-                flat = list(chain.from_iterable(lists))
-                offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
-                values = pa.StructArray.from_arrays(
-                    [pa.array([w for w, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())],
+                if words_in.full():
+                    words_in.clear()
+                    values = np.zeros(0)
+                sizes = np.array([len(t) for t in group], np.int64)
+                ends = np.cumsum(sizes)
+                numbers = words_in.numbers(group)
+                fresh = words_in.words[values.size :]
+                values = np.append(values, [table.get(w, np.nan) for w in fresh])
+                ids, lengths = words_in.ids(numbers, sizes)
+                logs = np.add.reduceat(scorer.gains(ids, lengths), np.cumsum(lengths) - lengths) / np.log(10)
+                value = values[numbers]
+                rare = np.isnan(value)
+                sums = np.append(0.0, np.cumsum(np.where(rare, 0.0, value)))
+                known = np.append(0, np.cumsum(~rare))
+                owner = np.repeat(np.arange(sizes.size), sizes)[rare]
+                left, times = np.unique(owner * len(words_in.words) + numbers[rare], return_counts=True)
+                owner = left // len(words_in.words)
+                others = pa.StructArray.from_arrays(
+                    [pa.array([words_in.words[k] for k in (left % len(words_in.words)).tolist()], pa.binary()), pa.array(times.astype(np.int64))],
                     fields=list(pair),
                 )
+                offsets = np.searchsorted(owner, np.arange(sizes.size + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc").slice(begin, len(group)),
                         batch.column("doc_id").slice(begin, len(group)),
-                        pa.array([len(t) + 1 for t in group], pa.int64()),
-                        pa.array(seen, pa.int64()),
-                        pa.array(sums, pa.float64()),
-                        pa.array(logs, pa.float64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), values),
+                        pa.array(sizes + 1),
+                        pa.array(known[ends] - known[ends - sizes] + int(b"" in table)),
+                        pa.array(sums[ends] - sums[ends - sizes] + end),
+                        pa.array(logs),
+                        pa.ListArray.from_arrays(pa.array(offsets), others),
                     ],
                     names=["doc", "doc_id", "n_tokens", "n_known", "base", "score", "rare"],
                 )

@@ -46,6 +46,7 @@ def test_chances_sum_to_one(counted, theta):
     """Of every id behind a context."""
     windows = np.random.default_rng(3).integers(0, lm.ACTIVE, (1, lm.WINDOW))
     chances = np.exp(lm.Attention(theta).class_log_chances(windows, counted, 0)[0, -1].astype(float))
+    chances /= chances.sum()
     member = np.arange(lm.ACTIVE + 1) % lm.CLASSES
     active = chances[member] * np.exp(counted.within[windows[0, -1]].astype(float))
     others = np.exp(counted.others[counted.place == 0].astype(float))
@@ -56,7 +57,7 @@ def test_windows_score_each_id_once(counted, theta):
     rng = np.random.default_rng(4)
     texts = [np.concatenate([[lm.END], rng.integers(0, 2000, n), [lm.END]]) for n in (0, 1, 29, 30, 31, 32, 54, 55, 200)]
     scorer = lm.Scorer(theta, counted)
-    gains = scorer.gains(texts)
+    gains = scorer.gains(np.concatenate(texts), np.array([t.size for t in texts]))
     attention, at = lm.Attention(theta), 0
     for text in texts:
         places = counted.place[text]
@@ -67,7 +68,8 @@ def test_windows_score_each_id_once(counted, theta):
             window = np.zeros((1, lm.WINDOW), int)
             context = places[begin:i]
             window[0, : context.size] = context
-            chance = attention.class_log_chances(window, counted, 0)[0, context.size - 1, places[i] % lm.CLASSES]
+            logits = attention.class_log_chances(window, counted, 0)[0, context.size - 1]
+            chance = logits[places[i] % lm.CLASSES] - np.log(np.exp(logits).sum())
             want = chance + counted.within[places[i - 1], places[i]]
             if places[i] == 0:
                 want += counted.others[text[i]]
@@ -101,7 +103,8 @@ def compare(got, rows):
 @pytest.mark.parametrize("common", [100_000, 50])
 def test_base_equals_plain_counts(spark, monkeypatch, common):
     monkeypatch.setattr(lm, "COMMON_WORDS", common)
-    monkeypatch.setattr(lm, "_TABLE_ROWS", 1000)
+    monkeypatch.setattr(lm, "_MOST_WORDS", 1000)
+    monkeypatch.setattr(lm, "_GROUP_BYTES", 5000)
     monkeypatch.setattr(lm, "STEPS", 1)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows += [(None, "null id"), (None, "null id"), (7, None), (8, ""), (8, ""), (9, " \n"), (10, "x" * 30000 + " " + "the " * 5000), (11, "É Ä 😀 A")]
@@ -124,3 +127,17 @@ def test_better_than_word_counts_on_held_out_texts(spark):
     rows = [r for r in catalog.QUERIES["op10_attention_lm"](spark, "/root/testdata/sf0.1").collect() if r["held_out"]]
     assert len(rows) == 996
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_ids_of_words():
+    words = lm.Words(lm._read(lm.VOCABULARY))
+    texts = [lm.Words.split(t) for t in ("The the thonhand", "", None, "é😀 x\x00y don't 123 thonhand", "the")]
+    for _ in range(2):
+        numbers = words.numbers(texts)
+        ids, sizes = words.ids(numbers, np.array([len(t) for t in texts]))
+        at = 0
+        for text, size in zip(texts, sizes, strict=True):
+            want = [lm.END, *(i for w in text for i in words.encoding.encode_ordinary(" " + w.decode())), lm.END]
+            assert ids[at : at + size].tolist() == want
+            at += size
+        words.clear()
