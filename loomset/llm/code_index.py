@@ -105,22 +105,16 @@ class Block:
         self.numbers, self.rows = numbers[order], rows[order]
         self.ids = [ids[i] for i in order]
         self.code = codes.of(self.rows)
-        self.index = []
-        for part in range(len(codes.parts)):
-            value = codes.substring(self.code, part)
-            at = np.argsort(value, kind="stable")
-            buckets, first = np.unique(value[at], return_index=True)
-            self.index.append((buckets, np.append(first, value.size), at))
+        self.exact = self.rows.astype(np.float64)
+        # per substring its buckets, and the bucket of every row
+        self.index = [np.unique(codes.substring(self.code, part), return_inverse=True) for part in range(len(codes.parts))]
 
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
         """All rows whose code differs in at most ``radius`` bits."""
         seen = np.zeros(self.numbers.size, bool)
-        for part, (buckets, first, at) in enumerate(self.index):
+        for part, (buckets, bucket) in enumerate(self.index):
             close = np.bitwise_count(buckets ^ self.codes.substring(code, part)) <= radius // len(self.index)
-            runs = np.zeros(at.size + 1, np.int8)
-            np.add.at(runs, first[:-1][close], 1)
-            np.subtract.at(runs, first[1:][close], 1)
-            seen[at[np.cumsum(runs[:-1]) > 0]] = True
+            seen |= close[bucket]
         found = np.flatnonzero(seen)
         return found[np.bitwise_count(self.code[found] ^ code) <= radius]
 
@@ -132,7 +126,11 @@ class Block:
             if found.size >= k or radius >= self.codes.bits:
                 break
             radius = min(radius + self.codes.bits // 8 + 1, self.codes.bits)
-        value = scores(self.rows[found], query)
+        if found.size > k:  # a fast product leaves those that can be among the best, whose scores are then exact
+            rough = self.exact[found] @ query.astype(np.float64)
+            bar = np.partition(rough, -k)[-k]
+            found = found[rough >= bar - 1e-6 * (1 + abs(bar))]
+        value = scores(self.exact[found], query)
         best = np.argsort(-value, kind="stable")[:k]
         return found[best], value[best]
 
