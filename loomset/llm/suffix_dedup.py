@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomset.llm.anchors import segments
 from loomset.llm.cover import repeated_windows
+from loomset.llm.packed import squeezed, unsqueezed
 from loomset.operators.joins import lookup_join
 from loomset.storage import materialise
 
@@ -64,30 +64,13 @@ def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     return keyed.select("k1", "k2", "text").mapInArrow(cut, _RUN)
 
 
-def _squeezed(keyed: DataFrame) -> DataFrame:
-    """Texts as compressed bytes, as they are about to be shuffled; other columns are kept."""
-    others = [c for c in keyed.columns if c != "text"]
-    schema = keyed.select(*others, F.lit(b"").alias("z")).schema
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            z = [packer.compress((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in others], pa.array(z, pa.binary())], names=[*others, "z"]
-            )
-
-    return keyed.select(*others, "text").mapInArrow(squeeze, schema)
-
-
 def _extract(wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of runs: rows (z, runs) to rows (anchor, seg, wide, n, bytes)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for z, runs in zip(batch.column("z"), batch.column("runs"), strict=True):
-                data = unpacker.decompress(z.as_py()) if z.as_py() else b""
+                data = unsqueezed(z.as_py())
                 rows = runs.as_py()
                 for k in range(0, len(rows), 1000):
                     part = rows[k : k + 1000]
@@ -213,7 +196,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     tagged = lookup_join(runs, broad, "anchor", "left", table_rows=broad.count())
     run = F.struct("anchor", "seg", "place", F.coalesce("wide", F.lit(False)).alias("wide"))
     asked = tagged.groupBy("k1", "k2").agg(F.collect_list(run).alias("runs"))
-    cut = materialise(_extract(_squeezed(long).dropDuplicates(["k1", "k2"]).join(asked, ["k1", "k2"]), length), "run-bytes")
+    cut = materialise(_extract(squeezed(long).dropDuplicates(["k1", "k2"]).join(asked, ["k1", "k2"]), length), "run-bytes")
     blocks = (
         cut.where(~F.col("wide"))
         .select("anchor", "seg", "n", "bytes")
@@ -261,17 +244,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     others = [c for c in docs.columns if c != text and c not in new]
     names = {c: f"_doc_{i}" for i, c in enumerate(others)}
     keyed = _with_keys(docs.select(*[F.col(o).alias(n) for o, n in names.items()], F.col(text).alias("text")), "text")
-    found = _squeezed(keyed).join(repeated_spans(keyed, length, gram), ["k1", "k2"], "left").drop("k1", "k2")
+    found = squeezed(keyed).join(repeated_spans(keyed, length, gram), ["k1", "k2"], "left").drop("k1", "k2")
     schema = found.selectExpr(
         *names.values(), "0L n_bytes", "0L n_removed", "0L n_spans", "'' kept_sha256", "z AS kept"
     ).schema
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             sizes, gone, counts, digests, left = [], [], [], [], []
             for z, spans in zip(batch.column("z"), batch.column("spans"), strict=True):
-                data = unpacker.decompress(z.as_py()) if z.as_py() else b""
+                data = unsqueezed(z.as_py())
                 cuts = _merged(spans.as_py() or [], len(data))
                 edges = [0, *[x for cut in cuts for x in cut], len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomset.llm.packed import squeezed, unsqueezed
 from loomset.storage import materialise
 
 BITS = 18
@@ -140,7 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
         known.where("toxic <> 1").orderBy(*order).limit(SAMPLE_OTHER)
     )
     marked = known.join(F.broadcast(picked.select("doc_id", F.lit(True).alias("picked"))), "doc_id", "left")
-    rows = docs.select("doc_id", "text").join(marked, "doc_id").select("text", (F.col("toxic") == 1).alias("toxic"), F.coalesce("picked", F.lit(False)).alias("picked"))
+    texts = squeezed(docs.select("doc_id", "text"))
+    rows = texts.join(marked, "doc_id").select(
+        "z", (F.col("toxic") == 1).alias("toxic"), F.coalesce("picked", F.lit(False)).alias("picked")
+    )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "toxic", "other", "features"]
@@ -148,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
         counts = np.zeros((2, 1 << BITS), np.int64)
         texts = [0, 0]
         for batch in batches:
-            for text, toxic, kept in zip(*[batch.column(c) for c in ("text", "toxic", "picked")], strict=True):
-                found, label = features.of(text.as_py()), int(toxic.as_py())
+            for z, toxic, kept in zip(*[batch.column(c) for c in ("z", "toxic", "picked")], strict=True):
+                found, label = features.of(unsqueezed(z.as_py()).decode()), int(toxic.as_py())
                 counts[label, found] += 1
                 texts[label] += 1
                 if kept.as_py():
