@@ -37,15 +37,15 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 ACTIVE = 1024
 CLASSES = 64
-HEADS = 1
-WIDTH = 16
+HEADS = 2
+WIDTH = 24
 WINDOW = 32
-STRIDE = 28
+STRIDE = 24
 FOLDS = 10
 SEED = 42
-# Training: one window of every training text and of every so many ids of it. A trainer takes about
-# ``TRAINER_WINDOWS`` of them; in a round it makes ``STEPS`` steps or up to ``MOST_PASSES`` passes, then all are averaged.
-WINDOW_EVERY = 4096
+# Training: windows that tile all training texts, so every id is learned in every pass. A trainer takes about
+# ``TRAINER_WINDOWS`` of them; in a round it makes ``STEPS`` steps or up to ``MOST_PASSES`` passes, at least one whole
+# pass, then all are averaged.
 TRAINER_WINDOWS = 20_000
 STEPS = 300
 MOST_PASSES = 4
@@ -331,11 +331,43 @@ class Scorer:
 
 # --- counts over the corpus -----------------------------------------------------------
 
-_COUNTS = "kind int, word binary, a int, b int, n bigint, doc bigint, ids array<int>"
+_COUNTS = "kind int, word binary, a int, b int, n bigint, doc bigint, ids binary"
+_PACKED = np.dtype("<u2")  # of an id in a window
+_MOST_WINDOWS = 50_000  # in one batch
+
+
+def _tiles(ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Windows over texts of ``sizes`` ids in a row: (text, number in the text, packed ids).
+
+    A window has ``WINDOW`` ids and the one behind them, with which the next
+    begins: every id but a text's first is the target of exactly one window.
+    """
+    ends = np.cumsum(sizes)
+    counts = -(-(sizes - 1) // WINDOW)
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner = np.repeat(np.arange(sizes.size), counts)
+    start = (ends - sizes)[owner] + number * WINDOW
+    stop = np.minimum(start + WINDOW + 1, ends[owner])
+    for at in range(0, owner.size, _MOST_WINDOWS):
+        part = slice(at, at + _MOST_WINDOWS)
+        size = stop[part] - start[part]
+        offsets = np.append(0, np.cumsum(size))
+        flat = ids[np.arange(offsets[-1]) + np.repeat(start[part] - offsets[:-1], size)].astype(_PACKED)
+        buffers = [None, pa.py_buffer((offsets * _PACKED.itemsize).astype(np.int32)), pa.py_buffer(flat)]
+        yield owner[part], number[part], pa.Array.from_buffers(pa.binary(), size.size, buffers)
+
+
+def _unpacked(windows: pa.Array) -> np.ndarray:
+    """The ids of windows, one row of ``WINDOW + 1`` each; -1 fills up behind a short one."""
+    rows = windows.to_pylist()
+    sizes = np.array([len(x) for x in rows], np.int64) // _PACKED.itemsize
+    full = np.full((len(rows), WINDOW + 1), -1, np.int32)
+    full[np.arange(WINDOW + 1) < sizes[:, None]] = np.frombuffer(b"".join(rows), _PACKED)
+    return full
 
 
 def _count(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.RecordBatch]:
-    """Word counts (kind 0), counts of id pairs (kind 1) and one training window per text (kind 2).
+    """Word counts (kind 0), counts of id pairs (kind 1) and the training windows (kind 2), number ``a`` of text ``doc``.
 
     Counts are summed in tables of bounded size, which are passed on whenever
     they are full, and summed up again behind the shuffle.
@@ -346,7 +378,7 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.
     keys, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def rows(kind: int, size: int, **given: pa.Array) -> pa.RecordBatch:
-        types = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        types = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         columns = [given.get(c, pa.nulls(size, t)) for c, t in zip(names, types, strict=True)]
         columns[0] = pa.array(np.full(size, kind, np.int32))
         return pa.RecordBatch.from_arrays(columns, names=names)
@@ -380,14 +412,9 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.
             merged, where = np.unique(np.append(keys, near), return_inverse=True)
             numbers = np.bincount(where, np.append(numbers, n), merged.size).astype(np.int64)
             keys = merged
-            windows, owners = [], []
-            for doc, end, size in zip(docs[begin : begin + len(group)].tolist(), ends.tolist(), lengths.tolist(), strict=True):
-                for k in range(1 + size // WINDOW_EVERY):
-                    draw = ((doc + k) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 20
-                    start = end - size + draw % max(size - WINDOW, 1)
-                    windows.append(ids[start : min(start + WINDOW + 1, end)].astype(np.int32))
-                    owners.append(doc)
-            yield rows(2, len(windows), doc=pa.array(owners, pa.int64()), ids=pa.array(windows, pa.list_(pa.int32())))
+            here = docs[begin : begin + len(group)]
+            for owner, number, windows in _tiles(ids, lengths):
+                yield rows(2, owner.size, doc=pa.array(here[owner]), a=pa.array(number.astype(np.int32)), ids=windows)
             if keys.size > _MOST_PAIRS:
                 yield pass_pairs()
                 keys, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -406,29 +433,11 @@ class Model:
     distinct: int
 
 
-def _windows(table: DataFrame, counted: Counted, trainers: int) -> DataFrame:
-    """Training windows as rows (trainer, doc, places); -1 fills up behind a short text."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.asarray(x.as_py(), np.int64) for x in batch.column("ids")]
-            full = np.full((len(ids), WINDOW + 1), -1, np.int32)
-            for row, x in zip(full, ids, strict=True):
-                row[: x.size] = counted.place[x]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("trainer"), batch.column("doc"), pa.array(list(full), pa.list_(pa.int32()))],
-                names=["trainer", "doc", "places"],
-            )
-
-    dealt = table.select(F.pmod(F.xxhash64("doc"), F.lit(trainers)).cast("int").alias("trainer"), "doc", "ids")
-    return dealt.mapInArrow(place, "trainer int, doc bigint, places array<int>")
-
-
-def _train(windows: DataFrame, counted: Counted, trainers: int) -> np.ndarray:
+def _train(windows: DataFrame, counted: Counted) -> np.ndarray:
     """Parameters after ``ROUNDS`` rounds; in each every trainer works on its own windows and all results are averaged.
 
     A trainer holds its windows only, some 3 MB; there are as many trainers as
-    the windows need. The average is taken by Spark, one row per parameter, so
+    the windows need, and one that gets too many (of repeated rows) is several. The average is taken by Spark, one row per parameter, so
     the driver gets one set of parameters a round.
     """
     theta = Attention().theta
@@ -438,6 +447,7 @@ def _train(windows: DataFrame, counted: Counted, trainers: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], current=current, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
             def learn(trainer: int, parts: list[np.ndarray]) -> pa.RecordBatch:
                 rows = np.concatenate(parts)
+                rows = np.where(rows < 0, -1, counted.place[rows])
                 new = improve(current, rows, counted, SEED + 1000 * turn + trainer, rate)
                 return pa.RecordBatch.from_arrays(
                     [pa.array(np.array([len(rows)], np.int64)), pa.array([new], pa.list_(pa.float32()))], names=["n", "theta"]
@@ -446,14 +456,14 @@ def _train(windows: DataFrame, counted: Counted, trainers: int) -> np.ndarray:
             at, parts = None, []
             for batch in batches:
                 trainer = batch.column("trainer").to_numpy()
-                places = batch.column("places").flatten().to_numpy().reshape(-1, WINDOW + 1)
+                rows = _unpacked(batch.column("ids"))
                 cuts = np.flatnonzero(np.append(True, trainer[1:] != trainer[:-1])) if trainer.size else []
                 for lo, hi in zip(cuts, np.append(cuts[1:], trainer.size), strict=True):
-                    if parts and trainer[lo] != at:
+                    if parts and (trainer[lo] != at or sum(map(len, parts)) >= 2 * TRAINER_WINDOWS):
                         yield learn(at, parts)
                         parts = []
                     at = int(trainer[lo])
-                    parts.append(places[lo:hi].copy())
+                    parts.append(rows[lo:hi].copy())
             if parts:
                 yield learn(at, parts)
 
@@ -500,10 +510,12 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, folds: int = FOLDS) ->
     table[near.column("pa").to_numpy(), near.column("pb").to_numpy()] = near.column("n").to_numpy()
     counted = Counted.from_pairs(singles, table, active)
 
-    every = counts.where("kind = 2").select("doc", "ids")
+    every = counts.where("kind = 2").select("doc", "a", "ids")
     trainers = max(1, -(-every.count() // TRAINER_WINDOWS))
-    dealt = _windows(every, counted, trainers).repartition(trainers, "trainer").sortWithinPartitions("trainer", "doc")
-    theta = _train(materialise(dealt, "lm-windows"), counted, trainers)
+    # dealt by text and number, so that the windows of a long text go to many trainers
+    dealt = every.select(F.pmod(F.xxhash64("doc", "a"), F.lit(trainers)).cast("int").alias("trainer"), "doc", "a", "ids")
+    dealt = dealt.repartition(trainers, "trainer").sortWithinPartitions("trainer", "doc", "a")
+    theta = _train(materialise(dealt.select("trainer", "ids"), "lm-windows"), counted)
     return Model(theta, counted, words, int(total), int(distinct))
 
 

@@ -2,9 +2,10 @@
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomset.llm import attention_lm as lm, catalog
@@ -141,3 +142,26 @@ def test_ids_of_words():
             assert ids[at : at + size].tolist() == want
             at += size
         words.clear()
+
+
+def test_training_windows_tile_all_ids():
+    """Every id but the first of a text is learned once a pass, behind the ids before it."""
+    vocabulary = lm._read(lm.VOCABULARY)
+    texts = ["", "the", "a " * 31, "b " * 32, "c " * 33, " ".join(f"w{i}" for i in range(9000)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc", "text"])
+    found = defaultdict(list)
+    for out in lm._count(iter([batch]), vocabulary):
+        if out.num_rows and out.column("kind")[0].as_py() == 2:
+            for doc, a, row in zip(out.column("doc").to_pylist(), out.column("a").to_pylist(), lm._unpacked(out.column("ids")), strict=True):
+                found[doc].append((a, row[row >= 0].tolist()))
+    words = lm.Words(vocabulary)
+    for doc, text in enumerate(texts):
+        split = [lm.Words.split(text)]
+        ids, _ = words.ids(words.numbers(split), np.array([len(split[0])]))
+        windows = [row for _, row in sorted(found[doc])]
+        assert [i for row in windows for i in row[1:]] == ids[1:].tolist()
+        assert windows[0][0] == lm.END and all(a[-1] == b[0] for a, b in zip(windows, windows[1:]))
+
+
+def test_context_behind_the_first_window():
+    assert lm.WINDOW - lm.STRIDE >= 8
