@@ -16,6 +16,7 @@ are read from that region.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import json
 import re
@@ -55,7 +56,9 @@ ENDED_BY = {
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "option": frozenset(["option"]),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAME_ON = 20  # a text is the host's own if this many different pages have it, and none differs
+_SHORT = 64  # longer texts are kept by a hash of the whole
 SALTS = 32
 _BROADCAST_CHARS = 4_000_000
 
@@ -150,7 +153,8 @@ def parse(page: str | None) -> Element:
     return root
 
 
-# --- wrappers: {"t": sign, "q": "1", "?", "+" or "*", "c": [...]} and texts {"t": "#", "q": ..., "x": text or None, "m": characters}
+# --- wrappers: {"t": sign, "q": "1", "?", "+" or "*", "c": [...]} and texts
+# {"t": "#", "q": ..., "x": text or None, "m": characters, "d": pages that have the text, up to ``SAME_ON``}
 
 
 def _often(a: str, b: str, repeated: bool = False) -> str:
@@ -175,23 +179,32 @@ def _fold(items: list[dict]) -> list[dict]:
     return out
 
 
-def of_page(element: Element) -> dict:
+def _kept(value: str) -> str:
+    """The text itself if it is short, or a hash of the whole."""
+    return value if len(value) <= _SHORT else "#" + hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=16).hexdigest() + "#" * _SHORT
+
+
+def of_page(element: Element, digest: int = 0) -> dict:
     """The wrapper of one page: the page itself, its repeated neighbours folded."""
     items = []
     for item in element.items:
         if isinstance(item, str):
             if not item.isspace():
                 value = " ".join(references.unescape(item).split())
-                items.append({"t": "#", "q": "1", "x": value[:200], "m": len(value)})
+                items.append({"t": "#", "q": "1", "x": _kept(value), "m": len(value), "d": [digest & 0xFFFFFFFF]})
         elif not item.never:
-            items.append(of_page(item))
+            items.append(of_page(item, digest))
     return {"t": element.sign, "q": "1", "c": _fold(items)}
 
 
 def merge(a: dict, b: dict) -> dict:
     """Two items of one kind as one."""
     if a["t"] == "#":
-        return {"t": "#", "q": _often(a["q"], b["q"]), "x": a["x"] if a["x"] == b["x"] else None, "m": a["m"] + b["m"]}
+        same = {"t": "#", "q": _often(a["q"], b["q"]), "x": None, "m": a["m"] + b["m"], "d": []}
+        if a["x"] is not None and a["x"] == b["x"]:
+            same["x"] = a["x"]
+            same["d"] = a["d"] if len(a["d"]) >= SAME_ON else sorted({*a["d"], *b["d"]})[:SAME_ON]
+        return same
     return {"t": a["t"], "q": _often(a["q"], b["q"]), "c": align(a["c"], b["c"])}
 
 
@@ -226,6 +239,11 @@ def align(a: list[dict], b: list[dict]) -> list[dict]:
     return folded
 
 
+def _own(text: dict) -> bool:
+    """Whether so many different pages have the text, and no other in its place, that it is the host's own."""
+    return text["x"] is not None and len(text["d"]) >= SAME_ON
+
+
 class Wrapper:
     """A host's wrapper and how many different pages it was made from (counted up to ``SAME_ON``)."""
 
@@ -245,16 +263,16 @@ class Wrapper:
         return cls(given["tree"], given["seen"])
 
     def own_texts(self) -> set[tuple[str, str]]:
-        """(path, text) of blocks that are one and the same text in all of many different pages."""
+        """(path, text) of blocks that are one and the same text in each of many different pages that have them."""
         out: set[tuple[str, str]] = set()
-        if len(self.seen) < SAME_ON or self.tree is None:
+        if self.tree is None:
             return out
 
         def walk(item: dict, path: str) -> None:
             for child in item["c"]:
                 if child["t"] == "#":
                     alone = len(item["c"]) == 1 and item["q"] in "1?" and item["t"].split(".")[0] in BLOCKS
-                    if alone and child["x"] is not None:
+                    if alone and _own(child):
                         out.add((path, child["x"]))
                 else:
                     walk(child, f"{path}/{child['t']}")
@@ -267,7 +285,7 @@ class Wrapper:
 
         def mass(item: dict) -> float:
             if item["t"] == "#":
-                return 0.0 if item["x"] is not None and len(self.seen) >= SAME_ON else item["m"]
+                return 0.0 if _own(item) else item["m"]
             weight = 0.2 if item["t"].split(".")[0] in ("a", "ul", "ol", "table") else 1.0
             return weight * sum(map(mass, item["c"]))
 
@@ -301,7 +319,8 @@ def blocks(page: Element, region: str, own: set[tuple[str, str]]) -> list[str]:
 
     A page without the region is read from its article or main element, and
     from the whole page if it has none. An article that the region holds inside
-    is part of it.
+    is part of it. The host's own texts are left out, but not inside an article
+    or main element, and no headings of a region.
     """
     named: list[tuple[Element, str]] = []
     exact: list[tuple[Element, str]] = []
@@ -329,9 +348,12 @@ def blocks(page: Element, region: str, own: set[tuple[str, str]]) -> list[str]:
             out.append(value)
         now.clear()
 
-    def read(element: Element, path: str) -> None:
+    def read(element: Element, path: str, whole: bool) -> None:
         if element.never:
             return
+        whole = whole or element.tag in ("article", "main")
+        several = sum(not isinstance(item, str) or not item.isspace() for item in element.items) > 1
+        keep = not own or whole or several or (bool(exact) and element.tag in HEADINGS)
         block = element.tag in BLOCKS
         if block:
             end()
@@ -339,15 +361,15 @@ def blocks(page: Element, region: str, own: set[tuple[str, str]]) -> list[str]:
             now.append(" ")
         for item in element.items:
             if isinstance(item, str):
-                if not own or (path, " ".join(references.unescape(item).split())[:200]) not in own:
+                if keep or (path, _kept(" ".join(references.unescape(item).split()))) not in own:
                     now.append(item)
             else:
-                read(item, f"{path}/{item.sign}")
+                read(item, f"{path}/{item.sign}", whole)
         if block:
             end()
 
     for element, path in exact or named or [(page, "")]:
-        read(element, path)
+        read(element, path, False)
         end()
     return out
 
@@ -387,7 +409,7 @@ def infer(pages: DataFrame) -> DataFrame:
         def rows() -> Iterator[tuple[str, Wrapper]]:
             for batch in batches:
                 for name, digest, page in zip(*[batch.column(c) for c in ("host", "digest", "html")], strict=True):
-                    yield name.as_py(), Wrapper(of_page(parse(page.as_py())), [digest.as_py()])
+                    yield name.as_py(), Wrapper(of_page(parse(page.as_py()), digest.as_py()), [digest.as_py()])
 
         yield from joined(rows())
 

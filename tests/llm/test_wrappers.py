@@ -83,3 +83,18 @@ def test_both_ways_to_join(spark, monkeypatch, limit):
     got = catalog.QUERIES["op2_wrappers"](spark, "/root/testdata/sf0.001").collect()
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     assert sorted((r["page_id"], r["text"]) for r in got) == sorted((r["page_id"], plain(r["html"])) for r in pages)
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_text_of_one_page_is_not_the_hosts_own(spark, tag):
+    """Nor are headings that all pages have, or texts that differ behind their 200th character."""
+    long = "the same words " * 20
+    more = "<h2>Only here</h2><blockquote>A quote of one page</blockquote><ul><li>x<li>y</ul><p>A paragraph of one page</p><pre>code of one page</pre>"
+    page = "<body><{t} class=c><h1>Title {i}</h1><h2>Ingredients</h2><p>{l}{i}</p><p>Text {i}</p><h3>Method</h3>{more}</{t}><div>Own</div></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(t=tag, i=i, l=long, more=more if i == 7 else "")) for i in range(25)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"].split("\n\n") for r in wrappers.extract(pages).collect()}
+    for i, text in got.items():
+        want = [f"Title {i}", "Ingredients", f"{long}{i}", f"Text {i}", "Method"]
+        extra = ["Only here", "A quote of one page", "x", "y", "A paragraph of one page", "code of one page"]
+        assert text == (want + extra if i == 7 else want)
