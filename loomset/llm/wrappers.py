@@ -10,8 +10,8 @@ one after the other; where they differ
 * otherwise, what only one of them has becomes optional.
 
 The wrapper tells which texts vary from page to page and which are the host's
-own, and where in the pages most of the varying text stands. A page's blocks
-are read from that region.
+own, and where in the pages the varying text stands. A page's blocks are read
+from that region.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomset.operators.joins import lookup_join
 from loomset.storage import materialise
 
-# Elements whose content never is main text, and words that mark such elements in their class, id or role.
+# Elements whose content never is main text, and words that mark such elements in their class, id or role. Inside an
+# article or main element, and in ids of sections, only whole names made of these words mark one; ids of headings never do.
 NEVER = frozenset(
     "nav footer aside form script style noscript template iframe svg button select option textarea "
     "input dialog menu head title object canvas audio video map datalist".split()
@@ -39,6 +40,7 @@ MARKS = frozenset(
     "comment comments disqus reply replies related recommended share sharing social breadcrumb breadcrumbs pagination "
     "contentinfo complementary search dialog alert toolbar widget".split()
 )
+MARKS_INSIDE = MARKS - frozenset("header masthead notice alert dialog consent search".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -73,16 +75,18 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "sign", "never", "items")
+    __slots__ = ("tag", "sign", "never", "inside", "items")
 
-    def __init__(self, tag: str, sign: str, never: bool):
+    def __init__(self, tag: str, sign: str, never: bool, inside: bool = False):
         self.tag, self.sign, self.never, self.items = tag, sign, never, []
+        self.inside = inside or tag in ("article", "main")  # an article or main element
 
 
-def _start(tag: str, rest: str, inside: frozenset[str]) -> Element:
+def _start(tag: str, rest: str, inside: bool) -> Element:
     """An element with its sign: the tag and the words of its class, which pages of one template share."""
     words: list[str] = []
     marks: set[str] = set()
+    names: list[list[str]] = []
     hidden = False
     for name, a, b, c in _ATTRIBUTE.findall(rest) if rest.strip() else ():
         value = (a or b or c).lower()
@@ -91,7 +95,10 @@ def _start(tag: str, rest: str, inside: frozenset[str]) -> Element:
             hidden |= name == "hidden" or value == "true"
             continue
         parts = [w for w in _SPLIT.split(value) if w]
-        marks.update(parts)
+        if name != "id" or tag not in HEADINGS and tag != "section":
+            marks.update(parts)
+        if name != "id" or tag not in HEADINGS and not (inside and tag == "section"):
+            names += [[w for w in _SPLIT.split(x) if w] for x in value.split()]
         if name == "class":
             words += parts
     if tag in ("html", "body", "main"):
@@ -99,8 +106,10 @@ def _start(tag: str, rest: str, inside: frozenset[str]) -> Element:
     elif tag == "article":
         never = bool(marks & {"comment", "comments", "reply", "replies"})
     else:
-        never = tag in NEVER or hidden or bool(marks & MARKS) or (tag == "header" and not inside & {"article", "main"})
-    return Element(tag, ".".join([tag, *sorted(set(words))]), never)
+        known = MARKS_INSIDE if inside else MARKS
+        marked = any(parts and known.issuperset(parts) for parts in names) or not inside and bool(marks & MARKS)
+        never = tag in NEVER or hidden or marked or (tag == "header" and not inside)
+    return Element(tag, ".".join([tag, *sorted(set(words))]), never, inside)
 
 
 def parse(page: str | None) -> Element:
@@ -141,7 +150,7 @@ def parse(page: str | None) -> Element:
                     break
                 if stack[k].tag in BLOCKS:
                     break
-        element = _start(tag, found["rest"] or found["rest2"] or "", frozenset(e.tag for e in stack) if tag == "header" else frozenset())
+        element = _start(tag, found["rest"] or found["rest2"] or "", stack[-1].inside)
         stack[-1].items.append(element)
         if tag in VOID:
             continue
@@ -281,7 +290,7 @@ class Wrapper:
         return out
 
     def region(self) -> str:
-        """The path of the element that holds the main text: article, main, or where most of the varying text is."""
+        """The path of the element that holds the main text: article, main, or the smallest block that holds all varying text."""
 
         def mass(item: dict) -> float:
             if item["t"] == "#":
@@ -307,11 +316,10 @@ class Wrapper:
             return max(named)[1]
         item, path = self.tree, ""
         while True:
-            inner = [c for c in item["c"] if c["t"] != "#" and c["t"].split(".")[0] in BLOCKS and c["q"] in "1?"]
-            heaviest = max(inner, key=mass, default=None)
-            if heaviest is None or mass(heaviest) < 0.7 * mass(item):
+            holders = [c for c in item["c"] if mass(c) > 0]
+            if len(holders) != 1 or holders[0]["t"].split(".")[0] not in BLOCKS or holders[0]["q"] not in "1?":
                 return path
-            item, path = heaviest, f"{path}/{heaviest['t']}"
+            item, path = holders[0], f"{path}/{holders[0]['t']}"
 
 
 def blocks(page: Element, region: str, own: set[tuple[str, str]]) -> list[str]:

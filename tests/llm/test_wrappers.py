@@ -98,3 +98,35 @@ def test_text_of_one_page_is_not_the_hosts_own(spark, tag):
         want = [f"Title {i}", "Ingredients", f"{long}{i}", f"Text {i}", "Method"]
         extra = ["Only here", "A quote of one page", "x", "y", "A paragraph of one page", "code of one page"]
         assert text == (want + extra if i == 7 else want)
+
+
+@pytest.mark.parametrize("n", [25, 3])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class=top><p>Own</p></div><div class=wrap><div class=title><h1>T {i}</h1></div><div class=body><p>lead {i}</p><p>{l} {i}</p></div></div>",
+        "<div class=wrap><div class=title><h1>T {i}</h1><p>lead {i}</p></div><div class=one><div><p>{l} {i}</p></div></div></div>",
+        "<div class=wrap><h1>T {i}</h1><div class=a><p>lead {i}</p></div><div class=b><div class=x><p>{l} {i}</p></div></div></div>",
+    ],
+)
+def test_region_holds_all_varying_text(spark, page, n):
+    long = "many words " * 50
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", page.format(i=i, l=long)) for i in range(n)], "page_id bigint, url string, html string")
+    for r in wrappers.extract(pages).collect():
+        i, own = r["page_id"], ["Own"] if n < wrappers.SAME_ON and "Own" in page else []
+        assert r["text"].split("\n\n") == [*own, f"T {i}", f"lead {i}", f"{long}{i}"]
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_marks_inside_an_article(spark, tag):
+    page = f"""<div class=sidebar>side</div><{tag}><div class="article-header"><h1 id=search-ads>Title</h1></div><section id='related-work'>
+<h2 id='social-impact'>Impact</h2><p class="ad-lib">Text</p></section><section id=comments><p>On comments</p></section><div class="box share">Share</div>
+<div class=social-share>me</div><div id=comments>First!</div><nav>go</nav><p hidden>no</p><header><p>By me</p></header></{tag}>"""
+    pages = spark.createDataFrame([(1, "http://a.example/", page)], "page_id bigint, url string, html string")
+    assert wrappers.extract(pages).first()["text"].split("\n\n") == ["Title", "Impact", "Text", "On comments", "By me"]
+
+
+def test_ids_of_sections_without_an_article():
+    never = lambda page: wrappers.parse(page).items[0].never
+    assert not never("<section id=related-work>") and not never("<h2 id=related>")
+    assert never("<section id=comments>") and never("<div id=cookie-consent>") and never("<div class=site-header>")
