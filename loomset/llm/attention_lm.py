@@ -5,9 +5,9 @@ a public byte-level vocabulary, and one end sign closes the text. The chance of
 the next id is that of its class, times that of the id within its class after
 the id before it:
 
-* ids are counted in pairs over all training texts; the ``ACTIVE`` commonest
-  ids, dealt to ``CLASSES`` classes, have smoothed counts of their own, the
-  others share one more id and are told apart by their own counts;
+* ids are counted in pairs over all training texts, and the counts smoothed.
+  The ``ACTIVE`` commonest ids are dealt to ``CLASSES`` classes, all others are
+  in class 0, within which they are told apart by their pairs as well;
 * the class is predicted by causal self-attention over the window,
   added to the log of the counted chances, so an untrained model is exactly the
   counted one.
@@ -56,10 +56,13 @@ RATE = 0.02
 # Words whose counts go to every task: the commonest, of bounded number and length. Others are joined.
 COMMON_WORDS = 100_000
 COMMON_BYTES = 40
+# Counts of pairs with an id that is not active that go to every task, the commonest. Others are joined.
+COMMON_PAIRS = 1_000_000
 _MOST_WORDS = 300_000  # words a task numbers before it starts anew
 _MOST_PAIRS = 600_000
 _GROUP_BYTES = 1 << 21
 _ALPHA = 0.1
+_PRIOR = 20.0  # pairs of an id count that much less than the ids alone
 
 
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -165,7 +168,7 @@ class Counted:
         n = ACTIVE + 1
         common = pairs.sum(axis=0) + 0.5
         common /= common.sum()
-        rows = pairs + 20.0 * common[None, :]  # after a rare id the next is like any
+        rows = pairs + _PRIOR * common[None, :]  # after a rare id the next is like any
         rows /= rows.sum(axis=1, keepdims=True)
         member = np.arange(n) % CLASSES
         by_class = np.zeros((n, CLASSES))
@@ -177,6 +180,65 @@ class Counted:
         return cls(place, np.log(by_class).astype(np.float32), within.astype(np.float32), others.astype(np.float32))
 
 
+@dataclass
+class Loose:
+    """What the counts say of pairs in which an id is not active, by id.
+
+    ``of_class[a]``: log chances of the class after any id; ``inner[a]``: of
+    the ids without a place in class 0. The chance of b after a in its class is
+    ``n(a, b) + prior[b]`` over ``exp(bottom)``: that of ids without a place
+    among these (``lump``), that of an active id after one without a place in
+    its class (``rest``). ``keys`` and ``n`` are counts of pairs, ``complete``
+    if these are all.
+    """
+
+    of_class: np.ndarray
+    inner: np.ndarray
+    lump: np.ndarray
+    rest: np.ndarray
+    prior: np.ndarray
+    keys: np.ndarray
+    n: np.ndarray
+    complete: bool
+
+    @classmethod
+    def from_counts(
+        cls, counted: Counted, pairs: np.ndarray, by_class: np.ndarray, lump: np.ndarray, keys: np.ndarray, n: np.ndarray, complete: bool
+    ) -> Loose:
+        """``pairs``: as for ``Counted``; ``by_class``: (IDS, CLASSES) counts of what follows the ids without a place; ``lump``: how often another of them."""
+        place = counted.place
+        common = pairs.sum(axis=0) + 0.5
+        common /= common.sum()
+        of_class = by_class + _PRIOR * np.bincount(np.arange(ACTIVE + 1) % CLASSES, common, CLASSES)
+        total = of_class.sum(axis=1)
+        of_class = np.log(of_class / total[:, None]).astype(np.float32)
+        inner = np.log((lump + _PRIOR * common[0]) / total) - of_class[:, 0]
+        active = np.flatnonzero(place)
+        of_class[active] = counted.of_class[place[active]]
+        inner[active] = counted.within[place[active], 0]
+        lump = np.where(place > 0, pairs[place, 0], lump)
+        prior = _PRIOR * np.where(place > 0, common[place], np.exp(counted.others.astype(np.float64)))
+        order = np.argsort(keys)
+        return cls(of_class, inner, np.log(lump + _PRIOR), np.log(total), prior, keys[order], n[order].astype(np.float32), complete)
+
+    def within(self, ids: np.ndarray, counted: Counted) -> tuple[np.ndarray, np.ndarray]:
+        """Log chances of all ids but the first within their class after the id before, and which pairs lack the log of their count and prior."""
+        a, b = ids[:-1], ids[1:]
+        pa, pb = counted.place[a], counted.place[b]
+        out = counted.within[pa, pb].astype(np.float64)
+        which = np.flatnonzero((pa == 0) | (pb == 0))
+        a, b, target = a[which], b[which], pb[which]
+        key = a * IDS + b
+        n, known = np.zeros(key.size), np.full(key.size, self.complete)
+        if self.keys.size:
+            at = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
+            hit = self.keys[at] == key
+            n, known = np.where(hit, self.n[at], 0.0), known | hit
+        value = np.where(target == 0, self.inner[a] - self.lump[a], -self.rest[a] - self.of_class[a, target % CLASSES])
+        out[which] = value + np.where(known, np.log(n + self.prior[b]), 0.0)
+        return out, which[~known]
+
+
 _ROOT = np.sqrt(WIDTH // HEADS)
 _LARGEST = np.float32(60)  # attention scores stop here, so that their exponentials stay finite
 
@@ -225,10 +287,12 @@ class Attention:
             at += n
         return out
 
-    def class_log_chances(self, windows: np.ndarray, counted: Counted, first: int) -> np.ndarray:
+    def class_log_chances(self, windows: np.ndarray, counted: Counted, first: int, rows: np.ndarray | None = None) -> np.ndarray:
         """Log chances of the next class behind the places ``first`` and later of each window, up to one number per place.
 
-        That number is the log of the sum of their exponentials.
+        That number is the log of the sum of their exponentials. ``rows`` are
+        the counted log chances behind these places, those of the active ids if
+        not given.
         """
         q, k, v = (_heads(by_id[windows] + by_place) for by_id, by_place in self.tables)
         weight = q[:, :, first:] @ k.transpose(0, 1, 3, 2)
@@ -237,10 +301,10 @@ class Attention:
         weight *= self.seen[first:]
         head = (weight @ v) / weight.sum(axis=3, keepdims=True)
         logits = _joined(head) @ self.out
-        logits += counted.of_class[windows[:, first:]]
+        logits += counted.of_class[windows[:, first:]] if rows is None else rows
         return logits
 
-    def gradient(self, windows: np.ndarray, targets: np.ndarray, counted: Counted) -> tuple[float, np.ndarray]:
+    def gradient(self, windows: np.ndarray, targets: np.ndarray, counted: Counted, counts: np.ndarray | None = None) -> tuple[float, np.ndarray]:
         """Mean loss of the next classes over whole windows, and its gradient; targets below 0 do not count."""
         scale = np.float32(1 / _ROOT)
         x = self.embed[windows] + self.at
@@ -248,7 +312,7 @@ class Attention:
         weight = np.exp(np.minimum(scale * (q @ k.transpose(0, 1, 3, 2)), _LARGEST)) * self.seen
         weight /= weight.sum(axis=3, keepdims=True)
         head = _joined(weight @ v)
-        logits = head @ self.out + counted.of_class[windows]
+        logits = head @ self.out + (counted.of_class[windows] if counts is None else counts)
         p = np.exp(logits - logits.max(axis=2, keepdims=True))
         p /= p.sum(axis=2, keepdims=True)
         real = targets >= 0
@@ -274,11 +338,12 @@ class Attention:
         return loss, np.concatenate([grad[name].ravel() for name in self.shapes]).astype(np.float32)
 
 
-def improve(theta: np.ndarray, windows: np.ndarray, counted: Counted, seed: int, rate: float) -> np.ndarray:
-    """Adam over rows of ``WINDOW + 1`` places (below 0: behind the end): whole passes, for ``STEPS`` steps or up to ``MOST_PASSES`` passes."""
+def improve(theta: np.ndarray, ids: np.ndarray, counted: Counted, of_class: np.ndarray, seed: int, rate: float) -> np.ndarray:
+    """Adam over rows of ``WINDOW + 1`` ids (below 0: behind the end): whole passes, for ``STEPS`` steps or up to ``MOST_PASSES`` passes."""
     m = np.zeros_like(theta)
     v = np.zeros_like(theta)
     rng = np.random.default_rng(seed)
+    windows = np.where(ids < 0, -1, counted.place[ids])
     step, passes = 0, min(-(-STEPS * BATCH // max(len(windows), BATCH)), MOST_PASSES)
     for _ in range(passes):
         order = rng.permutation(len(windows))
@@ -286,7 +351,8 @@ def improve(theta: np.ndarray, windows: np.ndarray, counted: Counted, seed: int,
             step += 1
             rows = windows[order[at : at + BATCH]]
             targets = np.where(rows[:, 1:] < 0, -1, rows[:, 1:] % CLASSES)
-            _, g = Attention(theta).gradient(np.maximum(rows[:, :-1], 0), targets, counted)
+            counts = of_class[ids[order[at : at + BATCH], :-1]]  # what is behind the end does not count
+            _, g = Attention(theta).gradient(np.maximum(rows[:, :-1], 0), targets, counted, counts)
             m = 0.9 * m + 0.1 * g
             v = 0.99 * v + 0.01 * g * g
             theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
@@ -296,12 +362,17 @@ def improve(theta: np.ndarray, windows: np.ndarray, counted: Counted, seed: int,
 class Scorer:
     """Natural log chances of whole texts by one model."""
 
-    def __init__(self, theta: np.ndarray, counted: Counted):
-        self.attention, self.counted = Attention(theta), counted
+    def __init__(self, theta: np.ndarray, counted: Counted, loose: Loose | None = None):
+        self.attention, self.counted, self.loose = Attention(theta), counted, loose
 
     def gains(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The log chance of every id of texts of ``sizes`` ids in a row; 0 for the first of each, the sign before it."""
+        return self.parts(ids, sizes)[0]
+
+    def parts(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gains, and the places of those that lack the log of the count and prior of their pair."""
         ends = np.cumsum(sizes)
+        padded = np.append(ids, np.full(WINDOW + 1, END))
         places = np.append(self.counted.place[ids], np.zeros(WINDOW + 1, np.int32))
         # Windows begin every STRIDE ids; inputs are all ids but a text's last.
         inputs = sizes - 1
@@ -315,18 +386,24 @@ class Scorer:
             for at in range(0, which.size, 128):
                 part = which[at : at + 128]
                 here = begin[part][:, None] + np.arange(WINDOW)
-                logits = self.attention.class_log_chances(places[here], self.counted, first)
+                counts = None if self.loose is None else self.loose.of_class[padded[here[:, first:]]]
+                logits = self.attention.class_log_chances(places[here], self.counted, first, counts)
                 here = here[:, first:]
                 real = here < ends[owner[part]][:, None] - 1
-                now, after = places[here][real], here[real] + 1
+                after = here[real] + 1
                 target = places[after]
                 rows = logits[real]
                 picked = rows[np.arange(after.size), target % CLASSES]
                 np.exp(rows, out=rows)
-                gain[after] = picked - np.log(rows.sum(axis=1)) + self.counted.within[now, target]
-        gain += np.where(self.counted.place[ids] == 0, self.counted.others[ids], 0.0)
+                gain[after] = picked - np.log(rows.sum(axis=1))
+        if self.loose is None:
+            place, lacking = self.counted.place[ids], np.zeros(0, np.int64)
+            gain[1:] += self.counted.within[place[:-1], place[1:]] + np.where(place[1:] == 0, self.counted.others[ids[1:]], 0.0)
+        else:
+            within, lacking = self.loose.within(ids, self.counted)
+            gain[1:] += within
         gain[ends - sizes] = 0.0
-        return gain
+        return gain, np.setdiff1d(lacking + 1, ends - sizes, assume_unique=True)
 
 
 # --- counts over the corpus -----------------------------------------------------------
@@ -428,12 +505,14 @@ class Model:
 
     theta: np.ndarray
     counted: Counted
+    loose: Loose
+    pairs: DataFrame  # (pair, n) of those with an id that is not active
     words: DataFrame  # (word, n), the empty word being the end sign
     total: int
     distinct: int
 
 
-def _train(windows: DataFrame, counted: Counted) -> np.ndarray:
+def _train(windows: DataFrame, counted: Counted, of_class: np.ndarray) -> np.ndarray:
     """Parameters after ``ROUNDS`` rounds; in each every trainer works on its own windows and all results are averaged.
 
     A trainer holds its windows only, some 3 MB; there are as many trainers as
@@ -447,8 +526,7 @@ def _train(windows: DataFrame, counted: Counted) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], current=current, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
             def learn(trainer: int, parts: list[np.ndarray]) -> pa.RecordBatch:
                 rows = np.concatenate(parts)
-                rows = np.where(rows < 0, -1, counted.place[rows])
-                new = improve(current, rows, counted, SEED + 1000 * turn + trainer, rate)
+                new = improve(current, rows, counted, of_class, SEED + 1000 * turn + trainer, rate)
                 return pa.RecordBatch.from_arrays(
                     [pa.array(np.array([len(rows)], np.int64)), pa.array([new], pa.list_(pa.float32()))], names=["n", "theta"]
                 )
@@ -481,8 +559,10 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, folds: int = FOLDS) ->
     """Learn from the rows of ``docs`` (doc_id, text) outside fold 0.
 
     All training texts are counted, whole. The driver receives the counts of
-    ids (at most 50,257), those of pairs of active ids (at most 1,025 squared)
-    and the parameters of the network: sizes fixed by the vocabulary.
+    ids (at most 50,257), those of pairs of active ids (at most 1,025 squared),
+    those of classes after an id (at most 50,257 times 64), the parameters of
+    the network, all of sizes fixed by the vocabulary, and the counts of the
+    ``COMMON_PAIRS`` commonest other pairs. All pairs stay a table.
     """
     content = _read(vocabulary)
     rows = docs.where(fold(F.col("doc_id"), folds) != 0).select(F.xxhash64("doc_id", "text").alias("doc"), "text")
@@ -499,24 +579,36 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, folds: int = FOLDS) ->
     place = np.zeros(IDS, np.int32)
     place[active] = np.arange(1, ACTIVE + 1)
     places = F.broadcast(docs.sparkSession.createDataFrame([(int(i), int(p)) for i, p in enumerate(place) if p], "id int, p int"))
-    near = (
+    placed = (
         pairs.join(places.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a", "left")
         .join(places.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b", "left")
-        .groupBy(F.coalesce("pa", F.lit(0)).alias("pa"), F.coalesce("pb", F.lit(0)).alias("pb"))
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
+        .select("a", "b", "n", F.coalesce("pa", F.lit(0)).alias("pa"), F.coalesce("pb", F.lit(0)).alias("pb"))
     )
+    near = placed.groupBy("pa", "pb").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((ACTIVE + 1, ACTIVE + 1))
     table[near.column("pa").to_numpy(), near.column("pb").to_numpy()] = near.column("n").to_numpy()
     counted = Counted.from_pairs(singles, table, active)
+    after = placed.where("pa = 0").groupBy("a", F.when(F.col("pb") == 0, -1).otherwise(F.col("pb") % CLASSES).alias("c")).agg(F.sum("n").alias("n")).toArrow()
+    a, c, n = (after.column(x).to_numpy() for x in ("a", "c", "n"))
+    by_class, lump = np.zeros((IDS, CLASSES)), np.zeros(IDS)
+    lump[a[c < 0]] = n[c < 0]
+    np.add.at(by_class, (a, np.maximum(c, 0)), n)
+    level = F.floor(F.log2("n") * 4).cast("int")
+    pairs = placed.where("pa = 0 or pb = 0").select((F.col("a").cast("bigint") * IDS + F.col("b")).alias("pair"), "n")
+    levels = sorted(map(tuple, pairs.groupBy(level.alias("level")).count().collect()), reverse=True)
+    sums = np.cumsum([size for _, size in levels])
+    chosen = int(np.searchsorted(sums, COMMON_PAIRS, side="right"))  # levels that fit
+    common = pairs.where(level >= levels[chosen - 1][0] if chosen else F.lit(False)).toArrow()
+    keys, n = (common.column(x).to_numpy() for x in ("pair", "n"))
+    loose = Loose.from_counts(counted, table, by_class, lump, keys, n, chosen == len(levels))
 
     every = counts.where("kind = 2").select("doc", "a", "ids")
     trainers = max(1, -(-every.count() // TRAINER_WINDOWS))
     # dealt by text and number, so that the windows of a long text go to many trainers
     dealt = every.select(F.pmod(F.xxhash64("doc", "a"), F.lit(trainers)).cast("int").alias("trainer"), "doc", "a", "ids")
     dealt = dealt.repartition(trainers, "trainer").sortWithinPartitions("trainer", "doc", "a")
-    theta = _train(materialise(dealt.select("trainer", "ids"), "lm-windows"), counted)
-    return Model(theta, counted, words, int(total), int(distinct))
+    theta = _train(materialise(dealt.select("trainer", "ids"), "lm-windows"), counted, loose.of_class)
+    return Model(theta, counted, loose, pairs, words, int(total), int(distinct))
 
 
 def _read(path: str) -> bytes:
@@ -530,8 +622,8 @@ def score(docs: DataFrame, model: Model, vocabulary: str = VOCABULARY) -> DataFr
     ``score`` is the model's log10 chance of the text, ``base_score`` that of
     its words by their smoothed counts. NULL and blank texts are the end sign
     alone. Counts of the commonest words go to the tasks (bounded in number and
-    length); all other words of a text are joined to theirs as rows of their
-    own, by a row number that is written with the scores, so repeated and NULL
+    length), as do those of the commonest pairs; all other words and pairs of a
+    text are joined to theirs as rows of their own, by a row number that is written with the scores, so repeated and NULL
     ids stay apart.
     """
     content = _read(vocabulary)
@@ -543,13 +635,14 @@ def score(docs: DataFrame, model: Model, vocabulary: str = VOCABULARY) -> DataFr
     }
     unknown = float(np.log10(_ALPHA) - bottom)
     end = table.get(b"", unknown)
-    theta, counted = model.theta, model.counted
-    rare = "array<struct<word:binary,n:bigint>>"
+    theta, counted, loose = model.theta, model.counted, model.loose
+    rare, lacking = "array<struct<word:binary,n:bigint>>", "array<struct<pair:bigint,prior:double,n:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_in, scorer = Words(content), Scorer(theta, counted)
+        words_in, scorer = Words(content), Scorer(theta, counted, loose)
         values = np.zeros(0)  # of words by number; NaN where the table has none
         pair = pa.struct([("word", pa.binary()), ("n", pa.int64())])
+        lack = pa.struct([("pair", pa.int64()), ("prior", pa.float64()), ("n", pa.int64())])
         for batch in batches:
             for begin, group in _groups(batch.column("text")):
                 if words_in.full():
@@ -561,7 +654,13 @@ def score(docs: DataFrame, model: Model, vocabulary: str = VOCABULARY) -> DataFr
                 fresh = words_in.words[values.size :]
                 values = np.append(values, [table.get(w, np.nan) for w in fresh])
                 ids, lengths = words_in.ids(numbers, sizes)
-                logs = np.add.reduceat(scorer.gains(ids, lengths), np.cumsum(lengths) - lengths) / np.log(10)
+                gains, open_at = scorer.parts(ids, lengths)
+                logs = np.add.reduceat(gains, np.cumsum(lengths) - lengths) / np.log(10)
+                text = np.searchsorted(np.cumsum(lengths), open_at, side="right")
+                open_pairs, times = np.unique(np.stack([text, ids[open_at - 1] * IDS + ids[open_at]]), axis=1, return_counts=True)
+                open_values = [pa.array(open_pairs[1]), pa.array(loose.prior[open_pairs[1] % IDS]), pa.array(times.astype(np.int64))]
+                open_starts = np.searchsorted(open_pairs[0], np.arange(sizes.size + 1)).astype(np.int32)
+                open_lists = pa.ListArray.from_arrays(pa.array(open_starts), pa.StructArray.from_arrays(open_values, fields=list(lack)))
                 value = values[numbers]
                 rare = np.isnan(value)
                 sums = np.append(0.0, np.cumsum(np.where(rare, 0.0, value)))
@@ -583,13 +682,14 @@ def score(docs: DataFrame, model: Model, vocabulary: str = VOCABULARY) -> DataFr
                         pa.array(sums[ends] - sums[ends - sizes] + end),
                         pa.array(logs),
                         pa.ListArray.from_arrays(pa.array(offsets), others),
+                        open_lists,
                     ],
-                    names=["doc", "doc_id", "n_tokens", "n_known", "base", "score", "rare"],
+                    names=["doc", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "lacking"],
                 )
 
     numbered = docs.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text")
     kind = numbered.schema["doc_id"].dataType.simpleString()
-    schema = f"doc bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double, rare {rare}"
+    schema = f"doc bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double, rare {rare}, lacking {lacking}"
     scored = materialise(numbered.mapInArrow(run, schema), "lm-scores")
     others = scored.select("doc", F.explode("rare").alias("w")).select("doc", "w.word", F.col("w.n").alias("times"))
     joined = others.join(model.words, "word", "left").groupBy("doc").agg(
@@ -597,12 +697,18 @@ def score(docs: DataFrame, model: Model, vocabulary: str = VOCABULARY) -> DataFr
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(_ALPHA)) - F.lit(bottom))).alias("rest"),
     )
     zero = F.lit(0)
+    if not loose.complete:
+        left = scored.select("doc", F.explode("lacking").alias("p")).select("doc", "p.pair", "p.prior", F.col("p.n").alias("times"))
+        left = left.join(model.pairs, "pair", "left").groupBy("doc")
+        joined = joined.join(left.agg(F.sum(F.col("times") * F.log10(F.coalesce("n", zero) + F.col("prior"))).alias("gain")), "doc", "full")
+    else:
+        joined = joined.withColumn("gain", F.lit(0.0))
     return scored.join(joined, "doc", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", zero)).alias("n_known"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 

@@ -165,3 +165,44 @@ def test_training_windows_tile_all_ids():
 
 def test_context_behind_the_first_window():
     assert lm.WINDOW - lm.STRIDE >= 8
+
+
+def test_pairs_of_rare_ids(theta):
+    """After any id the chances of all ids add up to one, and those of rare ids depend on the id before."""
+    rng = np.random.default_rng(5)
+    pairs = Counter({(40_000, 45_000): 5000, (41_000, 45_001): 5000})
+    for a, b in rng.integers(0, 1500, (60_000, 2)).tolist():
+        pairs[a, b] += 1
+    singles, table = np.zeros(lm.IDS), np.zeros((lm.ACTIVE + 1, lm.ACTIVE + 1))
+    active = np.arange(lm.ACTIVE)
+    place = np.append(active + 1, np.zeros(lm.IDS - lm.ACTIVE, int))
+    by_class, lump, loose = np.zeros((lm.IDS, lm.CLASSES)), np.zeros(lm.IDS), []
+    for (a, b), n in pairs.items():
+        singles[b] += n
+        table[place[a], place[b]] += n
+        if place[a] == 0:
+            by_class[a, place[b] % lm.CLASSES] += n
+            lump[a] += n * (place[b] == 0)
+        if place[a] == 0 or place[b] == 0:
+            loose.append((a * lm.IDS + b, n))
+    counted = lm.Counted.from_pairs(singles, table, active)
+    keys, n = np.array(loose).T
+    scorer = lm.Scorer(theta, counted, lm.Loose.from_counts(counted, table, by_class, lump, keys, n, True))
+    chances = {}
+    for a in (3, 1200, 40_000, 41_000):
+        ids = np.stack([np.full(lm.IDS, a), np.arange(lm.IDS)], axis=1).ravel()
+        chances[a] = np.exp(scorer.gains(ids, np.full(lm.IDS, 2))[1::2])
+        assert chances[a].sum() == pytest.approx(1, abs=1e-3)
+    assert chances[40_000][45_000] > 100 * chances[41_000][45_000] and chances[41_000][45_001] > 100 * chances[40_000][45_001]
+
+
+def test_joined_pairs_score_like_those_sent_to_the_tasks(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = spark.createDataFrame([*map(tuple, docs.collect()), (None, None), (None, "zyx 😀 qqqq")], "doc_id bigint, text string")
+    model = lm.train(docs)
+    assert model.loose.complete and model.loose.keys.size > 100
+    want = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score(docs, model).collect())
+    for kept in (0, model.loose.keys.size // 2):
+        model.loose.keys, model.loose.n, model.loose.complete = model.loose.keys[:kept], model.loose.n[:kept], False
+        got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score(docs, model).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-4)
