@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.llm import attention_lm, code_index, mixture, perspectives, pieces, quality_rules, simhash, suffix_dedup, toxicity, wrappers
+from loomset.llm import attention_lm, byte_pairs, code_index, mixture, perspectives, pieces, quality_rules, simhash, suffix_dedup, toxicity, wrappers
 from loomset.llm.words import count_words
 from loomset.storage import materialise
 
@@ -102,3 +102,11 @@ def op3_perspectives(spark, sf):
 def op2_wrappers(spark, sf):
     """The main text of every page."""
     return wrappers.extract(table(spark, sf, "pages"))
+
+
+@query
+def op11_byte_pairs(spark, sf):
+    """How many tokens every document has, and digests of their ids and of what these decode to."""
+    encoded = byte_pairs.encode(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    decoded = byte_pairs.with_digest(byte_pairs.decode(encoded))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
