@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.llm import attention_lm, byte_pairs, code_index, mixture, perspectives, pieces, quality_rules, simhash, suffix_dedup, toxicity, wrappers
+from loomset.llm import attention_lm, byte_pairs, code_index, mixture, periods, perspectives, pieces, quality_rules, simhash, suffix_dedup, toxicity, wrappers
 from loomset.llm.words import count_words
 from loomset.storage import materialise
 
@@ -110,3 +110,20 @@ def op11_byte_pairs(spark, sf):
     encoded = byte_pairs.encode(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
     decoded = byte_pairs.with_digest(byte_pairs.decode(encoded))
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_periods(spark, sf):
+    """Periodic runs of words of every document, the longest of them, and digests of all and of the collapsed text."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    planted = docs.withColumn("text", periods.with_planted_period(F.col("text"), F.col("doc_id")))
+    found = periods.collapse_runs(planted)
+    top = periods.longest_run()
+    return found.select(
+        "doc_id",
+        F.size("run_start").cast("bigint").alias("n_runs"),
+        *[top[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(top["length"] * 1000 / top["period"]).cast("bigint").alias("exponent_milli"),
+        F.sha2(periods.listed(), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
