@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.llm import attention_lm, byte_pairs, code_index, mixture, periods, perspectives, pieces, quality_rules, simhash, suffix_dedup, toxicity, wrappers
+from loomset.llm import attention_lm, byte_pairs, code_index, mixture, periods, perspectives, pieces, quality_rules, simhash, suffix_dedup, toxicity, va_file, wrappers
 from loomset.llm.words import count_words
 from loomset.storage import materialise
 
@@ -127,3 +127,12 @@ def op13_periods(spark, sf):
         F.sha2(periods.listed(), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_va_file(spark, sf):
+    """The cluster of every embedding after three rounds, and what its cluster and centroid are like."""
+    found, centroids = va_file.cluster(table(spark, sf, "embeddings"))
+    return va_file.with_inertia(found, centroids).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )

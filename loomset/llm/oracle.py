@@ -101,3 +101,49 @@ SELECT conv_id, participant, turn, chat_role, name, rendered, start,
   CASE WHEN chat_role = 'assistant' THEN start + length(rendered) - 1 END AS mask_end
 FROM placed
 """
+
+_KEPT = """
+SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Rounds of assigning and averaging, each a few common table expressions."""
+    nearest = """
+SELECT k.vec_id, k.v,
+  arg_min(c.cluster, (list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))), c.cluster)) AS cluster
+FROM kept k, centroids{n} c GROUP BY k.rid, k.vec_id, k.v
+"""
+    parts = [f"kept AS (SELECT row_number() OVER () AS rid, * FROM ({_KEPT}))"]
+    parts.append(
+        "centroids0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v FROM kept "
+        "QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= 16)"
+    )
+    for n in range(rounds):
+        parts.append(f"assigned{n} AS ({nearest.format(n=n)})")
+        parts.append(
+            f"sums{n} AS (SELECT cluster, i, sum(v[i])::HUGEINT AS s, count(*) AS c "
+            f"FROM assigned{n}, range(1, 65) AS t(i) GROUP BY cluster, i)"
+        )
+        exact = "s // c - CASE WHEN s % c < 0 THEN 1 ELSE 0 END"
+        parts.append(f"means{n} AS (SELECT cluster, list(({exact})::BIGINT ORDER BY i) AS v FROM sums{n} GROUP BY cluster)")
+        parts.append(
+            f"centroids{n + 1} AS (SELECT o.cluster, coalesce(m.v, o.v) AS v FROM centroids{n} o LEFT JOIN means{n} m USING (cluster))"
+        )
+    parts.append(f"last AS ({nearest.format(n=rounds)})")
+    return f"""
+WITH {", ".join(parts)}
+, measured AS (
+  SELECT l.vec_id, l.cluster::INT AS cluster, sha256(array_to_string(c.v, ',')) AS centroid_sha256,
+    list_sum(list_transform(range(1, 65), lambda i: (l.v[i] - c.v[i]) * (l.v[i] - c.v[i])))::BIGINT AS distance
+  FROM last l JOIN centroids{rounds} c USING (cluster)
+)
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM measured
+"""
+
+
+SQL["op12_va_file"] = _lloyd(3)
