@@ -34,13 +34,14 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 import public_tokenizers
+from loomset.llm.byte_table import ByteTable
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MAX_STATES = 1 << 17
 MEMO = 400_000
 MAX_PAIRS = 1 << 18
 BATCH_CHARS = 1 << 22
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 16
 
 _ROOT = 0
 _START = ((_ROOT, -1, ()),)
@@ -286,29 +287,19 @@ class Utf8Stream:
 
 
 class Decoder:
-    """Bytes of ids, gathered from one table."""
+    """Text of ids, whose bytes are gathered from one table."""
 
     def __init__(self, ranks: dict[bytes, int]):
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.sizes = np.array([len(t) for t in tokens], np.int32)
-        self.begins = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
-
-    def gather(self, ids: np.ndarray) -> bytes:
-        """The bytes of known ids; others stand for nothing."""
-        ids = ids[(ids >= 0) & (ids < self.sizes.size)]
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        if not ids.size:
-            return b""
-        places = np.repeat(self.begins[ids] - (ends - sizes), sizes) + np.arange(ends[-1])
-        return self.bytes[places].tobytes()
+        self.table = ByteTable(tokens)
 
     def text(self, ids: np.ndarray) -> str:
+        """The text of an array of ids, a block of them at a time; unknown ids stand for nothing."""
+        ids = ids[self.table.known(ids)]
         stream = Utf8Stream()
-        parts = [stream.feed(self.gather(ids[i : i + BLOCK_IDS])) for i in range(0, ids.size, BLOCK_IDS)]
+        parts = [stream.feed(self.table.gather(ids[i : i + BLOCK_IDS])) for i in range(0, ids.size, BLOCK_IDS)]
         return "".join([*parts, stream.close()])
 
 

@@ -26,9 +26,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from loomset.llm.byte_table import ByteTable
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 BATCH_CHARS = 1 << 22
 _WORDS = re.compile(" +[^ ]*")
 _END = ""  # key of a trie node's own piece
@@ -61,7 +63,8 @@ class Pieces:
         if -1 in self.byte_ids:
             raise ValueError("the model has no byte pieces")
         self.unknown = lowest - 10.0  # score of a character written as bytes
-        self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+        byte_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        self.bytes = ByteTable([byte_of.get(i) or (t or "").encode("utf-8") for i, t in enumerate(self.texts)])
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """(word, ids) for every word; fastest if the words come sorted.
@@ -111,39 +114,33 @@ class Pieces:
                 at = start[at]
             yield word, tuple(reversed(ids))
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of a sequence of ids; bytes that are no UTF-8 become U+FFFD, control pieces nothing."""
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            byte = self.byte_of.get(i)
-            if byte is not None:
-                raw.append(byte)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.texts[i] or "")
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).removeprefix(" ")
+    def decode(self, lists: pa.ListArray) -> Iterator[str]:
+        """The text of every list of ids; bytes that are no UTF-8 become U+FFFD, control pieces nothing."""
+        for data in self.bytes.gather_lists(lists):
+            yield data.decode("utf-8", "replace").removeprefix(" ")
 
 
 class Encoder:
-    """Encodes batches of texts; ids of up to ``CACHE_WORDS`` words stay for the next batch."""
+    """Encodes groups of texts; ids of about ``CACHE_WORDS`` words, those used last, stay for the next group."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}  # those of earlier groups; what is used again moves to known
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_WORDS.findall(" " + t) if t else [] for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        found = dict(self.pieces.encode_words(sorted(new)))
-        every = self.known | found
-        if len(every) <= CACHE_WORDS:
-            self.known = every
-        return [np.fromiter(chain.from_iterable(map(every.__getitem__, words)), np.int32) for words in split]
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.before = {}, self.known
+        new = []
+        for word in set().union(*split).difference(self.known):
+            ids = self.before.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.known[word] = ids
+        self.known.update(self.pieces.encode_words(sorted(new)))
+        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32) for words in split]
 
 
 def _model_bytes(model: str) -> bytes:
@@ -168,7 +165,8 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """Add ``ids`` (array of piece ids) and ``n_pieces`` to every row.
 
-    NULL and empty texts have no pieces. The model's path is read on the
+    NULL and empty texts have no pieces; repeated rows get the same ids each,
+    and an empty table gives an empty one. The model's path is read on the
     driver; its content, some hundred kilobytes, goes to the tasks. A task
     holds one group of texts of about 4 million characters and a bounded cache
     of words; a longer text is a group of its own. Other columns are kept, but
@@ -203,7 +201,7 @@ def decode(rows: DataFrame, ids: str = "ids", name: str = "decoded", model: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(content)
         for batch in batches:
-            texts = [pieces.decode(x.as_py() or ()) for x in batch.column(ids)]
+            texts = list(pieces.decode(batch.column(ids)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, name])
 
     return table.mapInArrow(run, schema)

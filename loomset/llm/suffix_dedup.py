@@ -195,7 +195,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     broad = materialise(broad, "wide-buckets")
     tagged = lookup_join(runs, broad, "anchor", "left", table_rows=broad.count())
     run = F.struct("anchor", "seg", "place", F.coalesce("wide", F.lit(False)).alias("wide"))
-    asked = tagged.groupBy("k1", "k2").agg(F.collect_list(run).alias("runs"))
+    asked = materialise(tagged.groupBy("k1", "k2").agg(F.collect_list(run).alias("runs")), "asked")
     cut = materialise(_extract(squeezed(long).dropDuplicates(["k1", "k2"]).join(asked, ["k1", "k2"]), length), "run-bytes")
     blocks = (
         cut.where(~F.col("wide"))
@@ -218,7 +218,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         .union(part_run.select("k1", "k2", (start + F.col("lo")).alias("lo"), (start + F.col("hi") + (length - 1)).alias("hi")))
         .union(copied.select("k1", "k2", F.lit(0).cast("bigint"), F.lit(1 << 62)))
     )
-    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    # Written, so that a join with all copies of a text shuffles both sides itself and may split them.
+    return materialise(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
 def _merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
@@ -280,8 +281,12 @@ def drop_repeats(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` without the repeated bytes, and without the texts of which nothing is left.
 
     Characters of which only some bytes are left go too. Texts that were NULL
-    or empty before stay, as empty texts.
+    or empty before stay, as empty texts. All other columns are kept, whatever
+    their names; rows of equal texts all go, and an empty table stays empty.
     """
-    rows = remove_repeats(docs, text, **how).where("n_bytes = 0 OR n_removed < n_bytes")
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c != text}
+    renamed = docs.select(text, *[F.col(c).alias(n) for c, n in names.items()])
+    rows = remove_repeats(renamed, text, **how).where("n_bytes = 0 OR n_removed < n_bytes")
     left = F.try_validate_utf8(F.col("kept").cast("string"))
-    return rows.withColumn(text, F.coalesce(left, F.make_valid_utf8(F.col("kept").cast("string")))).select(*docs.columns)
+    whole = F.coalesce(left, F.make_valid_utf8(F.col("kept").cast("string")))
+    return rows.select(*[whole.alias(c) if c == text else F.col(names[c]).alias(c) for c in docs.columns])

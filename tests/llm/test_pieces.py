@@ -43,10 +43,10 @@ def test_best_path(model, library):
     rng = random.Random(0)
     words = sorted({*WORDS, *(" " + "".join(rng.choices("thesinoar é", k=rng.randint(0, 12))) for _ in range(400))})
     for word, ids in model.encode_words(words):
-        total = sum(model.unknown if i in model.byte_of else library.get_score(i) for i in ids)
+        total = sum(model.unknown if i in model.byte_ids else library.get_score(i) for i in ids)
         # a character written as several bytes scores once
         extra = sum(len(c.encode()) - 1 for c in word if not library.piece_to_id(c.replace(" ", pieces.MARK)))
-        used = sum(i in model.byte_of for i in ids)
+        used = sum(i in model.byte_ids for i in ids)
         if used:
             total -= model.unknown * extra
         assert total == pytest.approx(best_score(word, library, model.unknown)), word
@@ -69,6 +69,14 @@ def test_round_trip(spark, library, monkeypatch):
     assert pieces.encode(docs.limit(0)).count() == 0
 
 
+def test_decode_any_ids(model):
+    import pyarrow as pa
+
+    b = model.byte_ids
+    rows = [None, [], [b[0xE2], b[0x82]], [b[0xE2], b[0x82], b[0xAC]], [1, 2, -5, 10**6], [b[0xFF], *next(iter(model.encode_words([" a"])))[1]]]
+    assert list(model.decode(pa.array(rows, pa.list_(pa.int32())))) == ["", "", "\ufffd", "€", "", "\ufffd a"]
+
+
 def test_documents(spark):
     rows = catalog.QUERIES["op4_pieces"](spark, SF).collect()
     assert len(rows) == 200 and all(r["exact"] for r in rows)

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -65,23 +66,24 @@ def test_equal_to_plain_stages(spark):
     docs = [r for r, c in zip(docs, plain_classes(prints), strict=True) if r["doc_id"] == c]
     # what is left of a text is checked by its digest below, so cut the texts here
     data = [r["text"].encode() for r in docs]
-    count = {}
+    count, size = {}, corpus_pipeline.PASSAGE_BYTES
     for d in data:
-        for i in range(len(d) - 399):
-            count[d[i : i + 400]] = count.get(d[i : i + 400], 0) + 1
+        for i in range(len(d) - size + 1):
+            count[d[i : i + size]] = count.get(d[i : i + size], 0) + 1
     left = []
     for r, d in zip(docs, data, strict=True):
         gone = bytearray(len(d))
-        for i in range(len(d) - 399):
-            if count[d[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\x01" * 400
+        for i in range(len(d) - size + 1):
+            if count[d[i : i + size]] > 1:
+                gone[i : i + size] = b"\x01" * size
         kept = bytes(b for b, g in zip(d, gone, strict=True) if not g)
         if kept:
             left.append((r["doc_id"], kept.decode("utf-8", "replace"), r["source"]))
-    assert [p[3] for p in plain([r["text"] for r in docs], 400) if p[0] > p[1]]
+    assert [p[3] for p in plain([r["text"] for r in docs], size) if p[0] > p[1]]
     model = pieces.Pieces(pieces._model_bytes(pieces.MODEL))
     want = sorted(mixed(left))
-    got = sorted((r["doc_id"], model.decode(r["ids"])) for r in corpus_pipeline.run(spark, SF).collect())
+    rows = corpus_pipeline.run(spark, SF).collect()
+    got = sorted(zip((r["doc_id"] for r in rows), model.decode(pa.array([r["ids"] for r in rows], pa.list_(pa.int32()))), strict=True))
     assert [g[0] for g in got] == [w[0] for w in want]
     assert got == want
 

@@ -13,7 +13,7 @@ ROOT = pathlib.Path(__file__).resolve().parents[2]
 
 def test_all_operators_are_registered():
     names = set(registry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names and set(oracle.SQL) <= set(catalog.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality rules",

@@ -115,6 +115,17 @@ def test_documents_equal_counting(spark):
     assert sum(w[1] for _, w in want) > 0
 
 
+def test_clashing_columns_are_kept(spark):
+    shared = "a passage that comes twice in the table " * 3
+    rows = [(1, shared + "one", "mine", 77, "x", "y"), (2, shared + "two", None, 78, "x", None), (3, None, "mine", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, kept string, n_bytes int, kept_sha256 string, k1 string")
+    left = suffix_dedup.drop_repeats(docs, length=50, gram=12)
+    assert left.columns == docs.columns
+    got = {r["doc_id"]: r for r in left.collect()}
+    assert [got[1]["kept"], got[1]["n_bytes"], got[1]["k1"], got[1]["text"]] == ["mine", 77, "y", "one"]
+    assert [got[2]["kept"], got[2]["n_bytes"], got[2]["text"], got[3]["text"]] == [None, 78, "two", ""]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert suffix_dedup.remove_repeats(docs).count() == 0 == suffix_dedup.drop_repeats(docs).count()
