@@ -24,9 +24,14 @@ def near_duplicates(spark, docs, sf_dir):
     return simhash.keep_one(docs)
 
 
+# Half of the passages of 50 words and more that documents of the given tables share have under 400 bytes, 3 % under this.
+PASSAGE_BYTES = 200
+PASSAGE_GRAM = 64
+
+
 def repeats(spark, docs, sf_dir):
-    """Documents without the byte strings they share; those of which nothing is left go."""
-    return suffix_dedup.drop_repeats(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    """Documents without the passages they share; those of which nothing is left go. NULL texts become empty."""
+    return suffix_dedup.drop_repeats(docs, length=PASSAGE_BYTES, gram=PASSAGE_GRAM).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def weighted_mix(spark, docs, sf_dir):
