@@ -38,13 +38,13 @@ from loomset.llm.byte_table import ByteTable
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MAX_STATES = 1 << 17
-MEMO = 400_000
-MAX_PAIRS = 1 << 18
+MEMO = 200_000
 BATCH_CHARS = 1 << 22
 BLOCK_IDS = 1 << 16
 
 _ROOT = 0
-_START = ((_ROOT, -1, ()),)
+_FEW = 8
+_NEVER = float("inf")
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -80,7 +80,7 @@ class Merges:
             if self.meet(a, b, rank):
                 yield a, b
 
-    def meet(self, a: int, b: int, limit: float = float("inf")) -> bool:
+    def meet(self, a: int, b: int, limit: float = _NEVER) -> bool:
         """Whether ``a`` and ``b`` side by side stay as they are under all merges of a rank below ``limit``.
 
         Merges are undone from the last to the first on both sides of the
@@ -100,6 +100,24 @@ class Merges:
             else:
                 return True
 
+    def first_merge(self, rank: int) -> float:
+        """The rank of the merge that uses up the first byte of a token."""
+        used = _NEVER
+        while rank in self.parts:
+            used, rank = rank, self.parts[rank][0]
+        return used
+
+    def claimed(self, a: int, byte: int, soonest: float) -> bool:
+        """Whether ``a``, or an end of it, is merged with a byte behind it before any merge from rank ``soonest`` on."""
+        end = _NEVER
+        while True:
+            across = self.ranks.get(self.text[a] + bytes((byte,)))
+            if across is not None and across < end and across <= soonest:
+                return True
+            if a not in self.parts:
+                return False
+            end, a = a, self.parts[a][1]
+
 
 class Transducer:
     """Encodes matches of the pattern; states are made as they are reached."""
@@ -110,78 +128,102 @@ class Transducer:
         self.max_states = max_states
         self.child: dict[int, int] = {}
         self.token = [-1]
-        self.leaf = [False]
+        self.below: list[list[int]] = [[]]  # up to _FEW + 1 tokens that go on behind each node
+        self.soonest = [_NEVER]  # the rank of the first merge that uses up the first byte, in any token behind the node
         for token, rank in ranks.items():
             if rank in self.merges.unmade:
                 continue
-            node = _ROOT
+            node, used = _ROOT, self.merges.first_merge(rank)
             for byte in token:
-                self.leaf[node] = False
+                self.soonest[node] = min(self.soonest[node], used)
+                if len(self.below[node]) <= _FEW:
+                    self.below[node].append(rank)
                 key = node << 8 | byte
                 node = self.child.setdefault(key, len(self.token))
                 if node == len(self.token):
                     self.token.append(-1)
-                    self.leaf.append(True)
+                    self.below.append([])
+                    self.soonest.append(_NEVER)
             self.token[node] = rank
-        self.meeting: dict[int, bool] = {}
         self.age = 0
+        # A path is the number of (last token, place in the trie); steps: path << 8 | byte -> (path or -1, token or -1).
+        self.paths: dict[int, int] = {}
+        self.ends_at: list[tuple[int, int]] = []
+        self.steps: dict[int, tuple[int, int]] = {}
+        # States are tuples of (path, tokens not yet written); moves: state << 8 | byte -> (state, tokens written).
+        self.states: list[tuple] = []
+        self.numbers: dict[tuple, int] = {}
+        self.rest: list[tuple[int, ...]] = []
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.age += 1
-        self.moves.clear()
-        self.states: list[tuple] = []
-        self.numbers: dict[tuple, int] = {}
-        self.rest: list[tuple[int, ...]] = []
-        self._number(_START)
+        for table in (self.paths, self.ends_at, self.steps, self.states, self.numbers, self.rest, self.moves):
+            table.clear()
+        self._number(((self._path(-1, _ROOT), ()),))
 
     def _number(self, state: tuple) -> int:
         number = self.numbers.setdefault(state, len(self.states))
         if number == len(self.states):
             self.states.append(state)
-            self.rest.append(state[-1][2])
+            self.rest.append(state[-1][1])
         return number
 
-    def _meet(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.meeting.get(key)
-        if known is None:
-            if len(self.meeting) >= MAX_PAIRS:
-                self.meeting.clear()
-            known = self.meeting[key] = self.merges.meet(a, b)
-        return known
+    def _path(self, last: int, node: int) -> int:
+        number = self.paths.setdefault((last + 1) << 32 | node, len(self.ends_at))
+        if number == len(self.ends_at):
+            self.ends_at.append((last, node))
+        return number
+
+    def _alive(self, last: int, node: int, first: int) -> bool:
+        """Whether a token behind the node may meet the one before; ``first`` is its first byte, if just read."""
+        below = self.below[node]
+        if last < 0 or not below:
+            return bool(below)
+        if len(below) <= _FEW:
+            return any(self.merges.meet(last, token) for token in below)
+        return first < 0 or not self.merges.claimed(last, first, self.soonest[node])
+
+    def _step(self, path: int, byte: int) -> tuple[int, int]:
+        """The path that goes on behind a byte, and the token that ends there if it meets the one before."""
+        last, node = self.ends_at[path]
+        child = self.child.get(node << 8 | byte)
+        if child is None:
+            step = -1, -1
+        else:
+            token = self.token[child]
+            if token >= 0 and last >= 0 and not self.merges.meet(last, token):
+                token = -1
+            step = self._path(last, child) if self._alive(last, child, byte if node == _ROOT else -1) else -1, token
+        self.steps[path << 8 | byte] = step
+        return step
 
     def _move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state behind a byte and the tokens written; the last path of a state is the one at the root."""
-        paths, ended = [], None
-        for node, last, pending in self.states[number]:
-            child = self.child.get(node << 8 | byte)
-            if child is None:
-                continue
-            if not self.leaf[child]:
-                paths.append((child, last, pending))
-            token = self.token[child]
-            if token >= 0 and (last < 0 or self._meet(last, token)):
-                ended = (_ROOT, token, (*pending, token))
-        if ended is None:
+        if len(self.states) >= self.max_states or len(self.steps) >= 4 * self.max_states:
+            state = [(*self.ends_at[path], pending) for path, pending in self.states[number]]
+            self._forget()
+            number = self._number(tuple((self._path(last, node), pending) for last, node, pending in state))
+        going, written, known = [], None, self.steps
+        for path, pending in self.states[number]:
+            on, token = known.get(path << 8 | byte) or self._step(path, byte)
+            if on >= 0:
+                going.append((on, pending))
+            if token >= 0:
+                written = (*pending, token)
+        if written is None:
             raise ValueError("the ranks are not those of a trained vocabulary")
-        written = ended[2]
-        agreed = len(written)
-        for _, _, pending in paths:
+        ended = self._path(written[-1], _ROOT)
+        agreed = len(written) if not going or going[0][1] else 0
+        for _, pending in going if agreed else ():
             agreed = min(agreed, len(pending))
             if pending[:agreed] != written[:agreed]:
                 agreed = next(i for i in range(agreed) if pending[i] != written[i])
         if agreed:
-            paths = [(node, last, pending[agreed:]) for node, last, pending in paths]
-            ended = (_ROOT, ended[1], written[agreed:])
-        state = (*paths, ended)
-        full = len(self.states) >= self.max_states
-        if full:
-            self._forget()
-        move = self._number(state), written[:agreed]
-        if not full:
-            self.moves[number << 8 | byte] = move
+            going = [(path, pending[agreed:]) for path, pending in going]
+        going.append((ended, written[agreed:]))
+        move = self.moves[number << 8 | byte] = self._number(tuple(going)), written[:agreed]
         return move
 
     def encode(self, matches: Iterable[bytes]) -> Iterator[list[int]]:
@@ -370,34 +412,30 @@ def _each(lists: pa.ListArray) -> Iterator[np.ndarray]:
         yield values[offsets[row] : offsets[row + 1]] if here else values[:0]
 
 
-def decode(rows: DataFrame, ids: str = "ids", name: str = "decoded", ranks: str = RANKS) -> DataFrame:
+def decode(rows: DataFrame, ids: str = "ids", name: str = "decoded", digest: str | None = None, ranks: str = RANKS) -> DataFrame:
     """Add the text of a column of ids; NULL or no ids give the empty text, ids without a token nothing.
 
-    Bytes that are no UTF-8 become U+FFFD. Other columns are kept (``name`` is
+    Bytes that are no UTF-8 become U+FFFD. With ``digest`` a column of that
+    name replaces the ids: the lowercase hex SHA-256 of them as little-endian
+    32-bit integers (NULL: of none). Other columns are kept (``name`` is
     replaced); rows stay one to one.
     """
     content = _content(ranks)
-    kept = [c for c in rows.columns if c != name]
+    kept = [c for c in rows.columns if c not in (name, digest)]
     table = rows.select(*kept)
-    schema = table.select(*kept, F.lit("").alias(name)).schema
+    left = [c for c in kept if digest is None or c != ids]
+    new = [name] if digest is None else [name, digest]
+    schema = table.select(*left, *[F.lit("").alias(c) for c in new]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(read_ranks(content))
         for batch in batches:
-            texts = [decoder.text(x) for x in _each(batch.column(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, name])
+            texts, digests = [], []
+            for x in _each(batch.column(ids)):
+                texts.append(decoder.text(x))
+                if digest is not None:
+                    digests.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
+            columns = [pa.array(c, pa.string()) for c in (texts, digests)[: len(new)]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in left], *columns], names=[*left, *new])
 
     return table.mapInArrow(run, schema)
-
-
-def with_digest(rows: DataFrame, ids: str = "ids", name: str = "ids_sha256") -> DataFrame:
-    """Replace a column of ids by the lowercase hex SHA-256 of the ids as little-endian 32-bit integers (NULL: of none)."""
-    kept = [c for c in rows.columns if c not in (ids, name)]
-    schema = rows.select(*kept, F.lit("").alias(name)).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in _each(batch.column(ids))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(digests)], names=[*kept, name])
-
-    return rows.mapInArrow(run, schema)

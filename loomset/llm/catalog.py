@@ -108,7 +108,7 @@ def op2_wrappers(spark, sf):
 def op11_byte_pairs(spark, sf):
     """How many tokens every document has, and digests of their ids and of what these decode to."""
     encoded = byte_pairs.encode(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
-    decoded = byte_pairs.with_digest(byte_pairs.decode(encoded))
+    decoded = byte_pairs.decode(encoded, digest="ids_sha256")
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

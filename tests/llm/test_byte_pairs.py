@@ -66,7 +66,7 @@ def test_few_states_give_the_same(ranks, library):
     texts = ["internationalisation of the thonhand, 1234!! " * 3, "x" * 500, "Grüße aus München"]
     for _ in range(3):
         assert [x.tolist() for x in small.encode(texts)] == [library.encode_ordinary(t) for t in texts]
-    assert len(small.transducer.states) <= 21
+    assert len(small.transducer.states) <= 22
 
 
 def test_writes_before_the_end(ranks):
@@ -121,7 +121,7 @@ def test_round_trip(spark, library, monkeypatch):
     for r in got:
         assert r["ids"] == library.encode_ordinary(r["text"] or "") and r["n_tokens"] == len(r["ids"])
         assert r["decoded"] == (r["text"] or "")
-    empty = byte_pairs.with_digest(byte_pairs.decode(byte_pairs.encode(docs.limit(0))))
+    empty = byte_pairs.decode(byte_pairs.encode(docs.limit(0)), digest="x")
     assert empty.count() == 0
 
 
@@ -129,7 +129,7 @@ def test_null_and_unknown_ids(spark):
     rows = spark.createDataFrame([(1, None), (2, []), (3, [64, -1, 70000, 65])], "n int, ids array<int>")
     got = {r["n"]: r["decoded"] for r in byte_pairs.decode(rows).collect()}
     assert got[1] == got[2] == "" and len(got[3]) == 2
-    digests = {r["n"]: r["ids_sha256"] for r in byte_pairs.with_digest(rows.where("n < 3")).collect()}
+    digests = {r["n"]: r["ids_sha256"] for r in byte_pairs.decode(rows.where("n < 3"), digest="ids_sha256").collect()}
     assert set(digests.values()) == {hashlib.sha256(b"").hexdigest()}
 
 
