@@ -271,12 +271,14 @@ def with_planted_period(text: Column, doc_id: Column) -> Column:
     h = F.crc32(doc_id.cast("string"))
     g = F.floor(h / 10).cast("bigint")
     all_words = words(text)
-    n = F.size(all_words).cast("bigint")
 
     def planted(ws: Column) -> Column:
+        n = F.size(ws).cast("bigint")
         a = F.pmod(g, n)
         p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8)))).cast("bigint")
         place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p))
         return F.array_join(F.transform(ws, lambda w, i: F.get(ws, place(i.cast("bigint")).cast("int"))), " ")
 
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), planted(all_words)).otherwise(text)
+    # A text is cut once: the words are a lambda's variable, and the lambda runs over one array of them.
+    tail = F.get(F.transform(F.array(all_words), planted), F.lit(0))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (F.size(all_words) > 0), tail).otherwise(text)
