@@ -24,6 +24,7 @@ bytes of every block holds back a character whose bytes are not all there yet.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -395,7 +396,9 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS) -> DataFrame
         encoder = _encoder(content)
         for batch in batches:
             for begin, group in _groups(batch.column(text)):
+                gc.disable()  # the tables have millions of parts, none in a cycle
                 ids = encoder.encode(group)
+                gc.enable()
                 sizes = np.array([x.size for x in ids], np.int64)
                 offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
