@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomset.functions.once import with_once
 from loomset.functions.text import py_strip
 from loomset.operators.joins import lookup_join
+from loomset.sources.delimited import read_delimited
 
 # File name endings that are read.
 SUFFIXES = ("json", "jsonl", "txt", "csv", "tsv")
@@ -176,48 +177,22 @@ def _paragraphs(spark: SparkSession, files: list[str]) -> DataFrame:
 def read_csv(
     spark: SparkSession, path: str | list[str], suffix: str = "csv", sep: str = ","
 ) -> DataFrame:
-    """One record per row below the header line; every cell is a string, empty cells are ''.
+    """One record per row below the header; every cell is a string, missing cells are ''.
 
-    Spark gives the columns of several files the names of one file's header,
-    so files are read together only if their header lines are equal.
+    Cells have their own file's names by position: of a name that comes twice
+    the last cell counts, and surplus cells are dropped. A file is read by as
+    many tasks as it has splits, also where quoted cells hold line breaks (see
+    ``delimited``); line breaks of any kind read as one line feed.
     """
     text = _text(spark, path, suffix)
-    found = [unquote(f) for f in text.inputFiles()]
-    if not found:
+    if not text.inputFiles():
         raise ValueError(f"no .{suffix} file below {path}")
-    groups = [found]
-    if len(found) > 1:
-        lines = text.select(*_place(), F.monotonically_increasing_id().alias("rid"), "value")
-        headers = (
-            lines.where(F.col("block_start") == 0)
-            .groupBy("path")
-            .agg(F.min_by("value", "rid").alias("header"))
-            .groupBy("header")
-            .agg(F.collect_list("path").alias("paths"))
-        )
-        groups = [sorted(map(unquote, row["paths"])) for row in headers.collect()]
-    return reduce(DataFrame.unionByName, [_read_csv_group(spark, g, sep) for g in groups])
-
-
-def _read_csv_group(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
-    rows = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(paths)
-    )
-    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in rows.columns]
-    record = F.struct(*[cell.alias(c) for cell, c in zip(cells, rows.columns)])
-    return _records(
-        rows.select(
-            *_place(), F.to_json(record).alias("json"), _variant(record, *cells).alias("_raw")
-        ),
-        F.col("_raw"),
-    )
+    lines = text.select(*_place(), F.col("_metadata.file_size").alias("size"), "value")
+    rows = read_delimited(spark, lines, sep)
+    record = F.map_from_arrays("names", "cells")
+    size = F.aggregate("cells", F.lit(0).cast("bigint"), lambda n, c: n + F.octet_length(c))
+    raw = F.when(size < _VARIANT_BYTES, F.to_variant_object(record))
+    return rows.select("path", "block_start", "rid", F.to_json(record).alias("json"), raw.alias("raw"))
 
 
 def read_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
