@@ -204,6 +204,11 @@ SELECT request_id, start_ts, input_tokens / 40 AS system_memory_used,
 FROM ({_REQUESTS})
 """
 
+_BUCKETED = """
+    SELECT doc_id, n_real, greatest((n_real + 63) // 64, 1) * 64 AS width
+    FROM (SELECT doc_id, least(octet_length(encode(text)), 2048) AS n_real FROM documents)
+"""
+
 _SPEED_NAMES = (
     "total_inference_time", "first_token_latency", "pure_generation_time", "total_inference_speed",
     "overall_processing_speed", "pure_generation_speed", "response_speed", "real_time_avg_speed",
@@ -593,6 +598,13 @@ _ORACLE = {
         SELECT doc_id, batch, max(n_real) OVER (PARTITION BY batch) AS width, n_real
         FROM (SELECT doc_id, (row_number() OVER (ORDER BY {_key('doc_id')}) - 1) // 8 AS batch,
                      least(octet_length(encode(text)), 2048) AS n_real FROM documents)""",
+    "bucketed_batches": f"""
+        SELECT doc_id, width, width AS n_places, n_real FROM ({_BUCKETED})""",
+    "padding_by_width": f"""
+        SELECT width, count(*) AS n_rows, sum(n_real)::BIGINT AS n_real,
+               (count(*) * width - sum(n_real))::BIGINT AS n_padding,
+               round(1 - sum(n_real) / (count(*) * width), 6) AS share
+        FROM ({_BUCKETED}) GROUP BY width""",
     "speeds": f"""
         SELECT request_id, {_round(8, _SPEED_NAMES)}, input_tokens, output_tokens, total_tokens,
                {_rating('pure_generation_speed')} AS rating

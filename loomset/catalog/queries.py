@@ -633,6 +633,26 @@ def padded_batches(spark, sf):
     )
 
 
+def _bucketed(spark, sf) -> DataFrame:
+    rows = inputs.documents(spark, sf).select("doc_id", "text")
+    return token_ops.bucket_batches(token_ops.token_columns(rows), 8, 0)
+
+
+@query
+def bucketed_batches(spark, sf):
+    """Documents padded to the width of their length bucket; none moves."""
+    real = F.aggregate("attention_mask", F.lit(0), lambda acc, x: acc + x)
+    return _bucketed(spark, sf).select(
+        "doc_id", "width", F.size("labels").cast("bigint").alias("n_places"), real.cast("bigint").alias("n_real")
+    )
+
+
+@query
+def padding_by_width(spark, sf):
+    """How much padding length buckets need."""
+    return token_ops.padding_report(_bucketed(spark, sf))
+
+
 # --- telemetry -------------------------------------------------------------------
 
 _SPEEDS = (

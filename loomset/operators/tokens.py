@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from loomset.functions.text import utf8_ids
@@ -14,6 +17,9 @@ from loomset.storage import materialise
 # Fixed value: the label of a position that carries no loss.
 IGNORED = -100
 
+# Batches a task fills at a time.
+_HELD = 256
+
 
 def model_tokenizer(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[Column], Column]:
     """Wrap a batch encoder (texts → id lists) as an Arrow-batched column function."""
@@ -95,3 +101,78 @@ def pad_batches(df: DataFrame, size: int, pad_id: int, key: str = "order_key") -
             F.array_repeat(F.lit(1), F.size("input_ids")), F.array_repeat(F.lit(0), missing)
         ).alias("attention_mask"),
     )
+
+
+def bucket_of(length: Column, step: int) -> Column:
+    """The width a row is padded to: the smallest multiple of ``step`` that holds it, at least one."""
+    return F.greatest(F.ceil(length / F.lit(step)), F.lit(1)).cast("bigint") * step
+
+
+def bucket_batches(df: DataFrame, size: int, pad_id: int, step: int = 64) -> DataFrame:
+    """Batches of up to ``size`` rows of one length bucket, padded to its width; no row moves.
+
+    A row goes into the tightest bucket (``bucket_of``), whatever its order, so
+    the padding of a row is under ``step`` however lengths are mixed. A task
+    fills the buckets of its own partition and hands a batch on when it is full:
+    it holds at most ``_HELD`` batches of rows, of which it hands on the fullest
+    if texts come in more widths than that. Adds ``batch`` (unique, rows of one
+    stand together), ``width`` and ``attention_mask``, and pads ``input_ids``
+    with ``pad_id`` and ``labels`` with ``IGNORED``. NULL arrays count as empty;
+    rows stay one to one, and an empty table gives an empty one.
+    """
+    others = [c for c in df.columns if c not in ("input_ids", "labels", "batch", "width", "attention_mask")]
+    ints = F.array().cast("array<int>")
+    schema = df.select(
+        *others,
+        *[ints.alias(c) for c in ("input_ids", "labels", "attention_mask")],
+        *[F.lit(0).cast("bigint").alias(c) for c in ("batch", "width")],
+    ).schema
+
+    def padded(lists: list[np.ndarray], width: int, filler: int) -> pa.ListArray:
+        rows = np.full((len(lists), width), filler, np.int32)
+        for row, values in zip(rows, lists, strict=True):
+            row[: values.size] = values
+        return pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * width, pa.array(rows.ravel()))
+
+    def arrays_of(lists: pa.ListArray) -> Iterator[np.ndarray]:
+        values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        for k, here in enumerate(lists.is_valid().to_pylist()):
+            yield values[ends[k] : ends[k + 1]] if here else values[:0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]] = {}
+        first = TaskContext.get().partitionId() << 33
+        made = 0
+
+        def hand_on(width: int) -> pa.RecordBatch:
+            nonlocal made
+            rows = held.pop(width)
+            kept = pa.concat_batches([r for r, _, _ in rows]).select(others)
+            masks = [np.ones(ids.size, np.int32) for _, ids, _ in rows]
+            arrays = [padded([r[1] for r in rows], width, pad_id), padded([r[2] for r in rows], width, IGNORED), padded(masks, width, 0)]
+            numbers = [pa.array(np.full(len(rows), n, np.int64)) for n in (first + made, width)]
+            made += 1
+            return pa.RecordBatch.from_arrays([*kept.columns, *arrays, *numbers], names=schema.names)
+
+        for batch in batches:
+            own = batch.select(others or ["input_ids"])
+            for k, (ids, labels) in enumerate(zip(arrays_of(batch.column("input_ids")), arrays_of(batch.column("labels")), strict=True)):
+                width = max(-(-max(ids.size, labels.size) // step), 1) * step
+                held.setdefault(width, []).append((own.slice(k, 1), ids, labels))
+                if len(held[width]) == size:
+                    yield hand_on(width)
+                elif len(held) > _HELD:
+                    yield hand_on(max(held, key=lambda w: len(held[w])))
+        for width in sorted(held):
+            yield hand_on(width)
+
+    return df.select(*others, "input_ids", "labels").mapInArrow(run, schema)
+
+
+def padding_report(df: DataFrame) -> DataFrame:
+    """Per width of padded rows (``input_ids``, ``attention_mask``): rows, real and padded places, share of padding."""
+    real = F.aggregate("attention_mask", F.lit(0), lambda acc, x: acc + x).cast("bigint")
+    rows = df.select(F.size("input_ids").cast("bigint").alias("width"), real.alias("n_real"))
+    sums = rows.groupBy("width").agg(F.count("*").alias("n_rows"), F.sum("n_real").alias("n_real"))
+    places = F.col("n_rows") * F.col("width")
+    return sums.select("width", "n_rows", "n_real", (places - F.col("n_real")).alias("n_padding"), F.round(1 - F.col("n_real") / places, 6).alias("share"))

@@ -9,7 +9,7 @@ from loomset.functions.lcs import lcs_length
 from loomset.operators import bertscore as matching, joins
 from loomset.operators.bertscore import bertscore
 from loomset.operators.textscore import corpus_mean, eval_loss, pair_up, rouge, scoreable
-from loomset.operators.tokens import model_tokenizer, pad_batches, token_columns
+from loomset.operators.tokens import bucket_batches, model_tokenizer, pad_batches, padding_report, token_columns
 from loomset.plans.evaluate import evaluate
 
 
@@ -145,6 +145,33 @@ def test_pad_batches(spark):
         assert list(r.attention_mask) == [1] * len(text) + [0] * pad
 
 
+def test_bucket_batches(spark, monkeypatch):
+    rows = [(i, "x" * (i * 7 % 60), "mine") for i in range(200)] + [(None, None, None), (5, "", None), (5, "", None)]
+    df = token_columns(spark.createDataFrame(rows, "doc_id int, text string, width string").repartition(3))
+    for most in (256, 2):
+        monkeypatch.setattr("loomset.operators.tokens._HELD", most)
+        batched = bucket_batches(df, 8, 0, step=10)
+        got = batched.collect()
+        assert sorted((r.doc_id or -1, sum(r.attention_mask)) for r in got) == sorted((i or -1, len(t or "")) for i, t, _ in rows)
+        batches = {}
+        for r in got:
+            n = sum(r.attention_mask)
+            assert r.width == max(-(-n // 10), 1) * 10 == len(r.input_ids) == len(r.labels) == len(r.attention_mask)
+            assert list(r.input_ids) == [120] * n + [0] * (r.width - n) and list(r.labels) == [120] * n + [-100] * (r.width - n)
+            batches.setdefault(r.batch, []).append(r.width)
+        assert all(len(w) <= 8 and len(set(w)) == 1 for w in batches.values())
+        if most == 256:
+            assert sum(len(w) < 8 for w in batches.values()) <= 3 * 6  # one of each width and partition at most
+    report = {r["width"]: r for r in padding_report(bucket_batches(df, 8, 0, step=10)).collect()}
+    assert sum(r["n_rows"] for r in report.values()) == len(rows)
+    padding = sum(r["n_padding"] for r in report.values())
+    named = df.where("doc_id IS NOT NULL")
+    by_hash = pad_batches(named.withColumn("order_key", F.md5(F.col("doc_id").cast("string"))), 8, 0)
+    assert padding < sum(r["n_padding"] for r in padding_report(by_hash).collect()) / 3
+    assert bucket_batches(df.limit(0), 8, 0).count() == 0
+    assert bucket_batches(df.select("input_ids", "labels"), 8, 0).count() == len(rows)
+
+
 def test_missing_texts_and_keys_are_taken_record_by_record(spark):
     rows = [(1, None, "do", "a b", None, None), (2, "say", None, None, "c d", "c d"), (3, None, None, "x", "x", "x")]
     pairs = spark.createDataFrame(
