@@ -73,16 +73,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-SQL["op3_perspectives"] = """
+SQL["op3_perspectives"] = r"""
 WITH turns AS (
-  SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS who,
+  SELECT conv_id, turn, coalesce(nullif(name, ''), 'unknown') AS who, system,
     replace(coalesce(text, ''), '<|', '< |') AS body
-  FROM conversations
+  FROM (SELECT *, coalesce(trim(role) = 'system', false) AS system,
+    trim(regexp_replace(replace(coalesce(role, ''), '<|', '< |'), '[\x0A-\x0D\x{85}\x{2028}\x{2029}]+', ' ', 'g')) AS name
+    FROM conversations)
 ), people AS (
-  SELECT DISTINCT conv_id, who AS participant FROM turns WHERE who <> 'system'
+  SELECT DISTINCT conv_id, who AS participant FROM turns WHERE NOT system
 ), views AS (
   SELECT t.*, participant,
-    CASE WHEN who = 'system' THEN 'system' WHEN who = participant THEN 'assistant' ELSE 'user' END AS chat_role
+    CASE WHEN system THEN 'system' WHEN who = participant THEN 'assistant' ELSE 'user' END AS chat_role
   FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), heads AS (
   SELECT *, CASE WHEN chat_role = 'user' THEN who END AS name,

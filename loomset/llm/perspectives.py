@@ -16,12 +16,13 @@ from loomset.operators.running import running_before
 SYSTEM_ROLES = ("system",)
 UNNAMED = "unknown"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+LINE_BREAKS = r"[\x0A-\x0D\x{85}\x{2028}\x{2029}]+"
 BLOCK_TURNS = 1024
 
 
 def speaker(role: Column) -> Column:
-    """The name a turn's role speaks under; NULL and blank roles are 'unknown'."""
-    name = F.trim(F.coalesce(role, F.lit("")))
+    """The name a turn's role speaks under, on one line and without markers; NULL and blank roles are 'unknown'."""
+    name = F.trim(F.regexp_replace(safe(role), LINE_BREAKS, " "))
     return F.when(name == "", F.lit(UNNAMED)).otherwise(name)
 
 
@@ -47,7 +48,8 @@ def rotate(
     in order of ``start`` the rows are the rendering.
 
     Participants are the speakers of a dialogue's turns but for system roles;
-    a dialogue without any gives no rows. Turns go by number (NULL first), then
+    a dialogue without any gives no rows. Neither texts nor names can hold a
+    marker, and a name no line break, so nothing said forges a turn. Turns go by number (NULL first), then
     speaker, then text; equal rows are equal parts of the rendering, as often
     as they come. A NULL ``conv_id`` is a dialogue of its own. An empty table
     gives an empty one.
@@ -63,7 +65,7 @@ def rotate(
         F.col(turn).cast("bigint").alias("turn"),
         who.alias("_who"),
         safe(F.col(text)).alias("_text"),
-        who.isin(*system_roles).alias("_system"),
+        F.coalesce(F.trim(F.col(role)).isin(*system_roles), F.lit(False)).alias("_system"),
     )
     # Equal rows are numbered by their count, so that every row has a place of its own.
     same = ["_key", "conv_id", "turn", "_who", "_text", "_system"]
