@@ -30,8 +30,8 @@ from loomset.llm.byte_table import ByteTable
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE_WORDS = 400_000
-BATCH_CHARS = 1 << 22
+CACHE_WORDS = 200_000
+BATCH_CHARS = 1 << 21
 _WORDS = re.compile(" +[^ ]*")
 _END = ""  # key of a trie node's own piece
 
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
     NULL and empty texts have no pieces; repeated rows get the same ids each,
     and an empty table gives an empty one. The model's path is read on the
     driver; its content, some hundred kilobytes, goes to the tasks. A task
-    holds one group of texts of about 4 million characters and a bounded cache
+    holds one group of texts of about 2 million characters and a bounded cache
     of words; a longer text is a group of its own. Other columns are kept, but
     for those with one of the new names.
     """
