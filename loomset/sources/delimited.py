@@ -68,7 +68,7 @@ def header_names(cells: list[str]) -> tuple[list[str], list[int]]:
 
 
 def _size(setting: str) -> int:
-    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", setting.strip().lower()).groups()
+    number, unit = re.match(r"(\d+)\s*([a-z]*)$", setting.strip().lower()).groups()
     return int(number) * _UNITS[unit]
 
 
