@@ -20,8 +20,12 @@ import hashlib
 import html as references
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
+from math import isqrt
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -63,6 +67,7 @@ SAME_ON = 20  # a text is the host's own if this many different pages have it, a
 _SHORT = 64  # longer texts are kept by a hash of the whole
 SALTS = 32
 _BROADCAST_CHARS = 4_000_000
+_LONGEST_PATH = 1000  # characters; a longer path begins with a hash of what stands above
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -73,6 +78,28 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
+Steps = Generator["Steps", Any, Any]
+
+
+def deep(steps: Steps) -> Any:
+    """The result of steps that yield the steps they need the result of: pages may be nested deeper than calls can be."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def below(path: str, sign: str) -> str:
+    """The path of an element of that sign inside the element at ``path``."""
+    if len(path) > _LONGEST_PATH:
+        path = "#" + hashlib.blake2b(path.encode("utf-8", "replace"), digest_size=16).hexdigest()
+    return f"{path}/{sign}"
+
 
 class Element:
     __slots__ = ("tag", "sign", "never", "inside", "items")
@@ -116,9 +143,14 @@ def parse(page: str | None) -> Element:
     """The elements of a page; tags left open end with their parent, end tags without a start are skipped."""
     root = Element("#page", "#page", False)
     stack = [root]
+    opened: Counter[str] = Counter()  # tags on the stack
     page = page or ""
     at = 0
 
+    def close(k: int) -> None:
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+
     def text(value: str) -> None:
         if value and not value.isspace():
             stack[-1].items.append(value)
@@ -136,17 +168,15 @@ def parse(page: str | None) -> Element:
         if not tag:
             continue
         if found["close"] or found["close2"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         while len(stack) > 1 and tag in ENDED_BY.get(stack[-1].tag, ()):
-            stack.pop()
-        if tag in BLOCKS:  # a block ends an open paragraph, whatever is still open inside it
+            close(len(stack) - 1)
+        if tag in BLOCKS and opened["p"] > 0:  # a block ends an open paragraph, whatever is still open inside it
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCKS:
                     break
@@ -159,6 +189,7 @@ def parse(page: str | None) -> Element:
             at = end.end() if end else len(page)
             continue
         stack.append(element)
+        opened[tag] += 1
     return root
 
 
@@ -176,12 +207,12 @@ def _maybe(item: dict) -> dict:
     return item | {"q": "*" if item["q"] in "+*" else "?"}
 
 
-def _fold(items: list[dict]) -> list[dict]:
+def _fold(items: list[dict]) -> Steps:
     """Neighbours of one kind become one repeated item; texts between them stay apart from elements."""
     out: list[dict] = []
     for item in items:
         if out and out[-1]["t"] == item["t"]:
-            both = merge(out[-1], item)
+            both = yield _merge(out[-1], item)
             out[-1] = both | {"q": _often(both["q"], "1", repeated=True)} if item["t"] != "#" else both | {"q": "1"}
         else:
             out.append(item)
@@ -195,6 +226,10 @@ def _kept(value: str) -> str:
 
 def of_page(element: Element, digest: int = 0) -> dict:
     """The wrapper of one page: the page itself, its repeated neighbours folded."""
+    return deep(_of_page(element, digest))
+
+
+def _of_page(element: Element, digest: int) -> Steps:
     items = []
     for item in element.items:
         if isinstance(item, str):
@@ -202,46 +237,80 @@ def of_page(element: Element, digest: int = 0) -> dict:
                 value = " ".join(references.unescape(item).split())
                 items.append({"t": "#", "q": "1", "x": _kept(value), "m": len(value), "d": [digest & 0xFFFFFFFF]})
         elif not item.never:
-            items.append(of_page(item, digest))
-    return {"t": element.sign, "q": "1", "c": _fold(items)}
+            items.append((yield _of_page(item, digest)))
+    return {"t": element.sign, "q": "1", "c": (yield _fold(items))}
 
 
 def merge(a: dict, b: dict) -> dict:
     """Two items of one kind as one."""
+    return deep(_merge(a, b))
+
+
+def _merge(a: dict, b: dict) -> Steps:
     if a["t"] == "#":
         same = {"t": "#", "q": _often(a["q"], b["q"]), "x": None, "m": a["m"] + b["m"], "d": []}
         if a["x"] is not None and a["x"] == b["x"]:
             same["x"] = a["x"]
             same["d"] = a["d"] if len(a["d"]) >= SAME_ON else sorted({*a["d"], *b["d"]})[:SAME_ON]
         return same
-    return {"t": a["t"], "q": _often(a["q"], b["q"]), "c": align(a["c"], b["c"])}
+    return {"t": a["t"], "q": _often(a["q"], b["q"]), "c": (yield _align(a["c"], b["c"]))}
 
 
-def align(a: list[dict], b: list[dict]) -> list[dict]:
-    """The two sequences as one: the longest common run of kinds is merged, all else becomes optional."""
-    if [x["t"] for x in a] == [x["t"] for x in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i]["t"] == b[j]["t"] else max(best[i + 1][j], best[i][j + 1])
-    out: list[dict] = []
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i]["t"] == b[j]["t"]:
-            out.append(merge(a[i], b[j]))
+def _common(a: np.ndarray, b: np.ndarray, under: np.ndarray) -> np.ndarray:
+    """Row i, place j: the longest common run of ``a[i:]`` and ``b[j:]``, given the row under the last."""
+    rows = np.empty((a.size + 1, b.size + 1), np.int32)
+    rows[-1] = under
+    for i in range(a.size - 1, -1, -1):
+        rows[i] = rows[i + 1]
+        np.maximum(rows[i, :-1], np.where(b == a[i], rows[i + 1, 1:] + 1, 0), out=rows[i, :-1])
+        rows[i] = np.maximum.accumulate(rows[i, ::-1])[::-1]
+    return rows
+
+
+def _pairs(a: list[str], b: list[str]) -> Iterator[tuple[int | None, int | None]]:
+    """Places of the two sequences of kinds in common order, those of the longest common run as pairs.
+
+    One row in ``step`` is kept, and the rows between are made again when the
+    way reaches them: memory grows with the root of one length times the other.
+    """
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(t, len(number)) for t in kinds], np.int32) for kinds in (a, b))
+    step = isqrt(x.size) + 1
+    under = {}
+    row = np.zeros(y.size + 1, np.int32)
+    for at in range((x.size - 1) // step * step, -1, -step):
+        under[at] = row
+        row = _common(x[at : at + step], y, row)[0].copy()
+    i = j = at = 0
+    best = None
+    while i < x.size or j < y.size:
+        if i < x.size and (best is None or i >= at + step):
+            at = i // step * step
+            best = _common(x[at : at + step], y, under[at])
+        if i < x.size and j < y.size and x[i] == y[j]:
+            yield i, j
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(_maybe(a[i]))
+        elif j == y.size or (i < x.size and best[i + 1 - at, j] >= best[i - at, j + 1]):
+            yield i, None
             i += 1
         else:
-            out.append(_maybe(b[j]))
+            yield None, j
             j += 1
+
+
+def _align(a: list[dict], b: list[dict]) -> Steps:
+    """The two sequences as one: the longest common run of kinds is merged, all else becomes optional."""
+    kinds = [x["t"] for x in a], [x["t"] for x in b]
+    same = kinds[0] == kinds[1]
+    out: list[dict] = []
+    for i, j in ((i, i) for i in range(len(a))) if same else _pairs(*kinds):
+        out.append(_maybe(b[j]) if i is None else _maybe(a[i]) if j is None else (yield _merge(a[i], b[j])))
+    if same:
+        return out
     folded: list[dict] = []
     for item in out:  # optional neighbours of one kind are one repeated group
         if folded and folded[-1]["t"] == item["t"] and item["t"] != "#":
-            both = merge(folded[-1], item)
+            both = yield _merge(folded[-1], item)
             folded[-1] = both | {"q": "*" if both["q"] in "?*" else "+"}
         else:
             folded.append(item)
@@ -264,62 +333,89 @@ class Wrapper:
         self.seen = set(sorted(self.seen | seen)[:SAME_ON])
 
     def dump(self) -> str:
-        return json.dumps({"tree": self.tree, "seen": sorted(self.seen)}, ensure_ascii=False, separators=(",", ":"))
+        """The nodes in order, an element with the number of its children: JSON of any depth would not be read again."""
+        nodes: list[list] = []
+        stack = [] if self.tree is None else [self.tree]
+        while stack:
+            item = stack.pop()
+            if item["t"] == "#":
+                nodes.append(["#", item["q"], item["x"], item["m"], item["d"]])
+            else:
+                nodes.append([item["t"], item["q"], len(item["c"])])
+                stack.extend(reversed(item["c"]))
+        return json.dumps({"nodes": nodes, "seen": sorted(self.seen)}, ensure_ascii=False, separators=(",", ":"))
 
     @classmethod
     def load(cls, dumped: str) -> Wrapper:
         given = json.loads(dumped)
-        return cls(given["tree"], given["seen"])
+        top: dict = {"c": []}
+        stack = [(top, 1)]  # elements that miss children, and how many
+        for kind, often, *rest in given["nodes"]:
+            holder, missing = stack.pop()
+            if missing > 1:
+                stack.append((holder, missing - 1))
+            if kind == "#":
+                holder["c"].append({"t": "#", "q": often, "x": rest[0], "m": rest[1], "d": rest[2]})
+            else:
+                holder["c"].append({"t": kind, "q": often, "c": []})
+                if rest[0]:
+                    stack.append((holder["c"][-1], rest[0]))
+        return cls(top["c"][0] if top["c"] else None, given["seen"])
 
     def own_texts(self) -> set[tuple[str, str]]:
         """(path, text) of blocks that are one and the same text in each of many different pages that have them."""
         out: set[tuple[str, str]] = set()
-        if self.tree is None:
-            return out
-
-        def walk(item: dict, path: str) -> None:
+        stack = [] if self.tree is None else [(self.tree, "")]
+        while stack:
+            item, path = stack.pop()
             for child in item["c"]:
                 if child["t"] == "#":
                     alone = len(item["c"]) == 1 and item["q"] in "1?" and item["t"].split(".")[0] in BLOCKS
                     if alone and _own(child):
                         out.add((path, child["x"]))
                 else:
-                    walk(child, f"{path}/{child['t']}")
-
-        walk(self.tree, "")
+                    stack.append((child, below(path, child["t"])))
         return out
 
-    def region(self) -> str:
-        """The path of the element that holds the main text: article, main, or the smallest block that holds all varying text."""
+    def _masses(self) -> dict[int, float]:
+        """By id of the item: characters of varying text, those in links, lists and tables at a fifth."""
+        found: dict[int, float] = {}
 
-        def mass(item: dict) -> float:
+        def mass(item: dict) -> Steps:
             if item["t"] == "#":
-                return 0.0 if _own(item) else item["m"]
-            weight = 0.2 if item["t"].split(".")[0] in ("a", "ul", "ol", "table") else 1.0
-            return weight * sum(map(mass, item["c"]))
-
-        named: list[tuple[float, str]] = []
-        best = ""
+                weight = 0.0 if _own(item) else item["m"]
+            else:
+                weight = 0.0
+                for child in item["c"]:
+                    weight += yield mass(child)
+                weight *= 0.2 if item["t"].split(".")[0] in ("a", "ul", "ol", "table") else 1.0
+            found[id(item)] = weight
+            return weight
 
-        def walk(item: dict, path: str) -> None:
-            if item["t"].split(".")[0] in ("article", "main"):
-                named.append((mass(item), path))
-                return
-            for child in item["c"]:
-                if child["t"] != "#":
-                    walk(child, f"{path}/{child['t']}")
+        deep(mass(self.tree))
+        return found
 
+    def region(self) -> str:
+        """The path of the element that holds the main text: article, main, or the smallest block that holds all varying text."""
         if self.tree is None:
-            return best
-        walk(self.tree, "")
+            return ""
+        masses = self._masses()
+        named: list[tuple[float, str]] = []
+        stack = [(self.tree, "")]
+        while stack:
+            item, path = stack.pop()
+            if item["t"].split(".")[0] in ("article", "main"):
+                named.append((masses[id(item)], path))
+            else:
+                stack.extend((child, below(path, child["t"])) for child in item["c"] if child["t"] != "#")
         if named:
             return max(named)[1]
         item, path = self.tree, ""
         while True:
-            holders = [c for c in item["c"] if mass(c) > 0]
+            holders = [c for c in item["c"] if masses[id(c)] > 0]
             if len(holders) != 1 or holders[0]["t"].split(".")[0] not in BLOCKS or holders[0]["q"] not in "1?":
                 return path
-            item, path = holders[0], f"{path}/{holders[0]['t']}"
+            item, path = holders[0], below(path, holders[0]["t"])
 
 
 def blocks(page: Element, region: str, own: set[tuple[str, str]]) -> list[str]:
@@ -332,21 +428,18 @@ def blocks(page: Element, region: str, own: set[tuple[str, str]]) -> list[str]:
     """
     named: list[tuple[Element, str]] = []
     exact: list[tuple[Element, str]] = []
-
-    def find(element: Element, path: str) -> None:
+    stack = [(page, "")]
+    while stack:
+        element, path = stack.pop()
         if element.never:
-            return
+            continue
         if path == region and region:
             exact.append((element, path))
-            return
-        if element.tag in ("article", "main"):
+        elif element.tag in ("article", "main"):
             named.append((element, path))
-            return
-        for item in element.items:
-            if isinstance(item, Element):
-                find(item, f"{path}/{item.sign}")
+        else:
+            stack.extend((item, below(path, item.sign)) for item in reversed(element.items) if isinstance(item, Element))
 
-    find(page, "")
     out: list[str] = []
     now: list[str] = []
 
@@ -356,7 +449,7 @@ def blocks(page: Element, region: str, own: set[tuple[str, str]]) -> list[str]:
             out.append(value)
         now.clear()
 
-    def read(element: Element, path: str, whole: bool) -> None:
+    def read(element: Element, path: str, whole: bool) -> Steps:
         if element.never:
             return
         whole = whole or element.tag in ("article", "main")
@@ -372,12 +465,12 @@ def blocks(page: Element, region: str, own: set[tuple[str, str]]) -> list[str]:
                 if keep or (path, _kept(" ".join(references.unescape(item).split()))) not in own:
                     now.append(item)
             else:
-                read(item, f"{path}/{item.sign}", whole)
+                yield read(item, below(path, item.sign), whole)
         if block:
             end()
 
     for element, path in exact or named or [(page, "")]:
-        read(element, path, False)
+        deep(read(element, path, False))
         end()
     return out
 

@@ -1,6 +1,7 @@
 """Wrapper inference, and main texts against a plain reading of the given pages."""
 
 import html
+import random
 import re
 
 import pytest
@@ -130,3 +131,37 @@ def test_ids_of_sections_without_an_article():
     never = lambda page: wrappers.parse(page).items[0].never
     assert not never("<section id=related-work>") and not never("<h2 id=related>")
     assert never("<section id=comments>") and never("<div id=cookie-consent>") and never("<div class=site-header>")
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 5000 + "<p>inmost {i}</p>" + "</div>" * 5000
+    wide = "".join(f"<h2>h{k} {{i}}</h2><p>t{k} {{i}}</p>" for k in range(10000))
+    odd = wide.replace("<h2>h5000 {i}</h2>", "<h2>h5000 {i}</h2><ul><li>x {i}</ul>")
+    rows = [(i, "http://deep.example/", deep.replace("{i}", str(i))) for i in range(3)]
+    rows += [(10 + i, "http://wide.example/", t.replace("{i}", str(i))) for i, t in enumerate((wide, odd))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    got = {r["page_id"]: r["text"].split("\n\n") for r in wrappers.extract(df).collect()}
+    assert all(got[i] == [f"inmost {i}"] for i in range(3))
+    assert len(got[10]) == 20000 and len(got[11]) == 20001 and got[11][10001] == "x 1"
+
+
+def test_alignment_equals_a_full_table():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
+        n, m = len(a), len(b)
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        got = list(wrappers._pairs(a, b))
+        assert [i for i, _ in got if i is not None] == list(range(n)) and [j for _, j in got if j is not None] == list(range(m))
+        both = [(i, j) for i, j in got if i is not None and j is not None]
+        assert all(a[i] == b[j] for i, j in both) and len(both) == best[0][0]
+
+
+def test_a_wrapper_is_read_as_it_was_written():
+    tree = wrappers.of_page(wrappers.parse("<div>" * 3000 + "<p>a<p>b <i>c</i>" + "<br>" * 3), 7)
+    again = wrappers.Wrapper.load(wrappers.Wrapper(tree, [7]).dump())
+    assert again.dump() == wrappers.Wrapper(tree, [7]).dump() and again.seen == {7}
+    assert wrappers.Wrapper.load(wrappers.Wrapper().dump()).tree is None
