@@ -8,6 +8,7 @@ features, and every text is scored by one pass over its bytes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from loomset.storage import materialise
 
 BITS = 18
 ORDERS = (3, 6)
-# The regression is fitted on at most this many labelled rows of each class, those of smallest hash.
+# The regression is fitted on at most this many labelled ids of each class, those of smallest hash, one row of each.
 SAMPLE_TOXIC = 1500
 SAMPLE_OTHER = 3000
 FOLDS = 5
@@ -127,7 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
     and an id labelled twice counts as toxic if any of its labels says so.
     Counts cover all training rows, however many. They are summed in arrays of
     2**BITS numbers per task before the shuffle; the same number of rows comes
-    to the driver, besides the features of the bounded sample.
+    to the driver, besides the features of the bounded sample: of an id that
+    comes repeatedly, the row whose features have the smallest digest. Rows of
+    ``docs`` with a NULL id are not labelled; tables without rows, or with rows
+    of one class only, give a model that scores the share of that class.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -141,14 +145,15 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
         known.where("toxic <> 1").orderBy(*order).limit(SAMPLE_OTHER)
     )
     marked = known.join(F.broadcast(picked.select("doc_id", F.lit(True).alias("picked"))), "doc_id", "left")
-    texts = squeezed(docs.select("doc_id", "text"))
+    texts = squeezed(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)))
     rows = texts.join(marked, "doc_id").select(
-        "z", (F.col("toxic") == 1).alias("toxic"), F.coalesce("picked", F.lit(False)).alias("picked")
+        "z", (F.col("toxic") == 1).alias("toxic"), F.when(F.col("picked"), F.col("doc_id").cast("string")).alias("picked")
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "toxic", "other", "features"]
+        names = ["bucket", "toxic", "other", "picked", "digest", "features"]
         features = Features()
+        least: dict[str, bytes] = {}  # of the picked ids, whose number is bounded
         counts = np.zeros((2, 1 << BITS), np.int64)
         texts = [0, 0]
         for batch in batches:
@@ -156,17 +161,21 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
                 found, label = features.of(unsqueezed(z.as_py()).decode()), int(toxic.as_py())
                 counts[label, found] += 1
                 texts[label] += 1
-                if kept.as_py():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([None], pa.int64()), pa.array([label], pa.int64()), pa.array([1 - label], pa.int64()), pa.array([found.tobytes()], pa.binary())],
-                        names=names,
-                    )
+                if (doc := kept.as_py()) is not None:
+                    raw = found.tobytes()
+                    digest = hashlib.blake2b(raw, digest_size=16).digest()
+                    if doc not in least or digest < least[doc]:
+                        least[doc] = digest
+                        values = (None, label, 1 - label, doc, digest, raw)
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
         used = np.flatnonzero(counts.any(axis=0))
         used = np.append(used, -1)  # the last row counts texts
         columns = [used, np.append(counts[1, used[:-1]], texts[1]), np.append(counts[0, used[:-1]], texts[0])]
-        yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.nulls(used.size, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], *[pa.nulls(used.size, t) for t in types[3:]]], names=names)
 
-    found = materialise(rows.mapInArrow(read, "bucket bigint, toxic bigint, other bigint, features binary"), "ngrams")
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
+    schema = "bucket bigint, toxic bigint, other bigint, picked string, digest binary, features binary"
+    found = materialise(rows.mapInArrow(read, schema), "ngrams")
     sums = found.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow()
     bucket, toxic, other = (sums.column(c).to_numpy() for c in ("bucket", "toxic", "other"))
     totals = np.zeros((2, 1 << BITS))
@@ -174,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
     totals[0, bucket[real]], totals[1, bucket[real]] = toxic[real], other[real]
     texts = np.array([max(toxic[~real].sum(), 0), max(other[~real].sum(), 0)], np.float64)
     shares = {1: texts[0] / max(texts.sum(), 1), 0: texts[1] / max(texts.sum(), 1)}
-    sample = sorted((r["toxic"], bytes(r["features"])) for r in found.where("bucket IS NULL").select("toxic", "features").collect())
+    one = found.where("bucket IS NULL").groupBy("picked").agg(F.min(F.struct("digest", "toxic", "features")).alias("one"))
+    sample = sorted((r["toxic"], bytes(r["features"])) for r in one.select("one.*").collect())
     return fit(
         log_ratios(*totals), [np.frombuffer(b, np.int32) for _, b in sample], np.array([t for t, _ in sample]), shares
     )
