@@ -44,8 +44,9 @@ class Codes:
     rotation is that of iterative quantisation on the leading principal axes.
     """
 
-    def __init__(self, sample: np.ndarray, longest: float):
-        self.longest = longest
+    def __init__(self, sample: np.ndarray, longest: float, largest: float = 1.0):
+        # the greatest length, in units of the component of greatest size: squares of doubles may be beyond any double
+        self.longest, self.largest = longest, largest
         rows = self.lifted(sample)
         self.mean = rows.mean(axis=0)
         self.bits = min(BITS, rows.shape[1])
@@ -61,8 +62,11 @@ class Codes:
         self.parts = [p for p in np.array_split(np.arange(self.bits), SUBSTRINGS) if p.size]
 
     def lifted(self, rows: np.ndarray, queries: bool = False) -> np.ndarray:
+        rows = rows / self.largest
         if queries:
-            return np.column_stack([rows / np.linalg.norm(rows, axis=1, keepdims=True), np.zeros(len(rows))])
+            own = np.abs(rows).max(axis=1, keepdims=True, initial=0)
+            rows = rows / np.where(own > 0, own, 1)
+            return np.column_stack([rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300), np.zeros(len(rows))])
         rows = rows / self.longest
         return np.column_stack([rows, np.sqrt(np.maximum(1 - (rows**2).sum(axis=1), 0))])
 
@@ -76,8 +80,9 @@ class Codes:
 
 
 def scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision; equal rows have equal scores."""
-    return (rows.astype(np.float64) * query.astype(np.float64)).sum(axis=1)
+    """Inner products in double precision, beyond it infinite; equal rows have equal scores."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return (rows.astype(np.float64) * query.astype(np.float64)).sum(axis=1)
 
 
 def pick_radius(codes: Codes, sample: np.ndarray, total: int, k: int) -> int:
@@ -85,12 +90,13 @@ def pick_radius(codes: Codes, sample: np.ndarray, total: int, k: int) -> int:
 
     In a sample of one row in x the nearest k / x rows stand for the nearest k of all.
     """
+    sample = sample / codes.largest
     queries = sample[:: max(1, len(sample) // SAMPLE_QUERIES)]
     near = max(1, min(round(k * len(sample) / max(total, 1)), len(sample) - 1))
     product = queries @ sample.T
     product[np.arange(len(queries)), np.arange(len(queries)) * max(1, len(sample) // SAMPLE_QUERIES)] = -np.inf
     best = np.argpartition(-product, near - 1, axis=1)[:, :near]
-    own, theirs = codes.of(queries, True), codes.of(sample)
+    own, theirs = codes.of(queries * codes.largest, True), codes.of(sample * codes.largest)
     apart = np.bitwise_count(own[:, None] ^ theirs[best])
     return int(np.quantile(apart, COVERED, method="higher"))
 
@@ -127,9 +133,10 @@ class Block:
                 break
             radius = min(radius + self.codes.bits // 8 + 1, self.codes.bits)
         if found.size > k:  # a fast product leaves those that can be among the best, whose scores are then exact
-            rough = self.exact[found] @ query.astype(np.float64)
-            bar = np.partition(rough, -k)[-k]
-            found = found[rough >= bar - 1e-6 * (1 + abs(bar))]
+            with np.errstate(over="ignore", invalid="ignore"):
+                rough = self.exact[found] @ query.astype(np.float64)
+                bar = np.partition(rough, -k)[-k]
+                found = found[~(rough < bar - 1e-6 * (1 + abs(bar)))]
         value = scores(self.exact[found], query)
         best = np.argsort(-value, kind="stable")[:k]
         return found[best], value[best]
@@ -181,13 +188,14 @@ def nearest(
 
     ``queries`` is a condition on ``vectors``; a query's own row is no
     candidate, other rows with its id are. Ranks start at 1; equal scores go by
-    the smaller id, NULL ids last. Vectors that are not ``usable``, or whose
+    the smaller id, NULL ids last; products beyond the range of doubles are
+    infinite, and those that are none (infinite both ways) come last. Vectors that are not ``usable``, or whose
     length is not that of most of the sample, take no part. With fewer than
     ``k`` candidates all are returned; an empty table gives an empty one.
     """
     names = {vec_id: "vec_id", vector: "vector"}
     rows = vectors.withColumn("_asks", F.coalesce(queries, F.lit(False)).cast("bigint")).where(usable(F.col(vector)))
-    rows = rows.select(*[F.col(c).cast("bigint" if n == "vec_id" else "array<float>").alias(n) for c, n in names.items()], F.col("_asks").alias("asks"))
+    rows = rows.select(*[F.col(c).cast("bigint" if n == "vec_id" else "array<double>").alias(n) for c, n in names.items()], F.col("_asks").alias("asks"))
     table = materialise(rows.withColumn("number", F.monotonically_increasing_id()), "vectors")
     sample = table.orderBy(F.xxhash64("number"), "number").limit(SAMPLE).select("vector").toArrow().column("vector").to_pylist()
     schema = "number bigint, query_id bigint, vec_id bigint, score double"
@@ -198,9 +206,9 @@ def nearest(
         width = int(np.bincount(sizes).argmax())
         table = table.where(F.size("vector") == width)
         known = np.array([v for v in sample if len(v) == width], np.float64)
-        squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-        n, longest = table.agg(F.count("*"), F.sqrt(F.max(squares))).first()
-        codes = Codes(known, longest)
+        n, largest = table.agg(F.count("*"), F.max(F.array_max(F.transform("vector", F.abs)))).first()
+        squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / F.lit(largest)) * (x / F.lit(largest)))
+        codes = Codes(known, table.agg(F.sqrt(F.max(squares))).first()[0], largest)
         radius = pick_radius(codes, known, n, k)
         blocks = max(1, -(-n // block_rows))
         members = table.select(F.pmod(F.xxhash64("number"), F.lit(blocks)).alias("block"), F.lit(0).cast("bigint").alias("asks"), "number", "vec_id", "vector")
@@ -212,6 +220,6 @@ def nearest(
             .sortWithinPartitions("block", "asks")
             .mapInArrow(lambda b: _ask(b, codes, radius, k), schema)
         )
-    order = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    order = Window.partitionBy("number").orderBy(F.desc_nulls_last(F.when(~F.isnan("score"), F.col("score"))), F.asc_nulls_last("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

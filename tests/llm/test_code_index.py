@@ -70,3 +70,17 @@ def test_edges(spark):
     few = df.where("vec_id < 15")
     assert code_index.nearest(few, F.col("vec_id") == 0).count() == 14
     assert code_index.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_doubles_are_not_rounded_and_may_be_huge(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=6) * 3.7).tolist()) for i in range(80)]
+    exact = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    vectors = {i: np.array(v) for i, v in rows}
+    for r in code_index.nearest(exact, F.col("vec_id") == 0).collect():
+        assert r["score"] == (vectors[r["vec_id"]] * vectors[0]).sum()
+    huge = exact.union(spark.createDataFrame([(100, [1e300] * 6), (101, [-1e300] * 6)], exact.schema))
+    got = {}
+    for r in code_index.nearest(huge, F.col("vec_id").isin(0, 100)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert [rank for rank, _, _ in sorted(got[0])] == [rank for rank, _, _ in sorted(got[100])] == list(range(1, 21))
