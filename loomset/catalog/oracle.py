@@ -313,6 +313,20 @@ FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS
 GROUP BY user_id, session
 """
 
+_RUNS = f"""
+SELECT request_id, start_us, end_us, n_samples, round(cpu_avg, 6) AS cpu_avg, cpu_max, system_memory_peak,
+       round(CASE WHEN n_times > 1 THEN (n_times - 1) / ((end_us - start_us) / 1e6) END, 6) AS sample_speed
+FROM (SELECT user_id AS request_id, run, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) AS end_us, count(*) AS n_samples,
+             avg(value) AS cpu_avg, max(value) AS cpu_max, greatest(max({_K} / 10), 0) AS system_memory_peak,
+             count(DISTINCT ts) AS n_times
+      FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id, part ORDER BY ts, event_id) || '/' || part AS run
+            FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, part ORDER BY ts, event_id) <= {_GAP_US}
+                                 THEN 0 ELSE 1 END AS opens
+                  FROM (SELECT e.*, (SELECT count(*) FROM events r WHERE r.user_id = e.user_id AND r.event_type = 'signup' AND r.ts <= e.ts) AS part
+                        FROM events e WHERE event_type <> 'signup')))
+      GROUP BY user_id, run)
+"""
+
 # The watermark after the only batch: latest time in milliseconds less the delay of 10 seconds.
 
 _PAIRS = f"""
@@ -663,6 +677,13 @@ _ORACLE = {
                {_rating('pure_generation_speed')} AS rating
         FROM ({_speeds(f"SELECT request_id, start_ts, last_ts AS end_ts, first_ts, last_ts, n_times, n_samples AS output_tokens, input_tokens FROM ({_SESSIONS})")})""",
     "stream_examples": f"SELECT doc_id, text FROM ({_STRIPPED}) WHERE ({_reason('text')}) IS NULL",
+    "reset_runs": _RUNS,
+    "stream_reset_runs": _RUNS,
+    "stream_dedup_first": f"""
+        SELECT event_id, order_key, text FROM (
+          SELECT event_id, {_key('event_id')} AS order_key, event_type || ' ' || props AS text,
+                 row_number() OVER (PARTITION BY left(event_type || ' ' || props, 200) ORDER BY {_key('event_id')}) AS place FROM events)
+        WHERE place = 1""",
     "stream_dedup": "SELECT DISTINCT event_type || ' ' || props AS text FROM events",
 }
 

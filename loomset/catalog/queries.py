@@ -30,6 +30,7 @@ from loomset.sources.metrics import read_metrics
 from loomset.storage import scratch_path
 from loomset.streaming import examples as example_streams, telemetry as telemetry_streams
 from loomset.streaming.run import drain, drain_all
+from loomset.streaming.runs import state_on_disk, stream_runs as runs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -811,3 +812,53 @@ def stream_dedup(spark, sf):
         "ts", F.concat_ws(" ", "event_type", "props").alias("text")
     )
     return drain(example_streams.stream_dedup(texts, delay="365 days"), "dedup").select("text")
+
+
+def _reset_input(df: DataFrame) -> DataFrame:
+    """Events as samples, of which signups are resets."""
+    return df.select(
+        F.col("user_id").alias("request_id"),
+        "ts",
+        (F.col("event_type") == "signup").alias("reset"),
+        F.col("value").alias("cpu"),
+        (inputs._k() / 10).alias("system_memory"),
+    )
+
+
+def _run_columns(rows: DataFrame) -> DataFrame:
+    return _rounded(rows, 6, "cpu_avg", "sample_speed").select(
+        "request_id",
+        F.unix_micros("run_start").alias("start_us"),
+        F.unix_micros("run_end").alias("end_us"),
+        "n_samples",
+        "cpu_avg",
+        "cpu_max",
+        "system_memory_peak",
+        "sample_speed",
+    )
+
+
+@query
+def reset_runs(spark, sf):
+    return _run_columns(telemetry.run_summary(_reset_input(inputs.events(spark, sf)), _GAP))
+
+
+@query
+def stream_reset_runs(spark, sf):
+    def build(samples: DataFrame) -> DataFrame:
+        return runs_of(samples, _GAP, "10 seconds")
+
+    with state_on_disk(spark):
+        return _run_columns(drain_all(_reset_input(inputs.event_stream(spark, sf)), build, "runs"))
+
+
+@query
+def stream_dedup_first(spark, sf):
+    texts = inputs.event_stream(spark, sf).select(
+        "event_id", "ts", F.concat_ws(" ", "event_type", "props").alias("text"), ordering.order_key(F.col("event_id")).alias("order_key")
+    )
+
+    def build(rows: DataFrame) -> DataFrame:
+        return example_streams.stream_dedup_first(rows, "order_key", delay="365 days")
+
+    return drain_all(texts, build, "dedup-first").select("event_id", "order_key", "text")

@@ -306,6 +306,53 @@ def session_summary(samples: DataFrame, gap_seconds: int) -> DataFrame:
     return sessions.drop("session")
 
 
+def run_summary(samples: DataFrame, idle_seconds: int) -> DataFrame:
+    """One row per run of samples (request_id, ts, reset, cpu, system_memory), the batch twin of ``stream_runs``.
+
+    A row with ``reset`` true is no sample and ends the run before it, as do
+    ``idle_seconds`` without a sample; a reset at the time of a sample comes
+    before it. Rows without time or request take no part. Samples are reduced
+    to one row per instant first, and these are numbered in blocks of time, so
+    a request that holds a large part of the table is spread over many tasks.
+    """
+    idle = idle_seconds * 1_000_000
+    reset = F.coalesce("reset", F.lit(False))
+    instants = (
+        samples.where("request_id IS NOT NULL AND ts IS NOT NULL")
+        .groupBy("request_id", F.unix_micros("ts").alias("us"))
+        .agg(
+            F.max(reset).alias("reset"),
+            F.count_if(~reset).alias("n"),
+            F.sum(F.when(~reset, F.col("cpu"))).alias("cpu_sum"),
+            F.count(F.when(~reset, F.col("cpu"))).alias("cpu_n"),
+            F.max(F.when(~reset, F.col("cpu"))).alias("cpu_max"),
+            F.max(F.when(~reset, F.col("system_memory"))).alias("memory_max"),
+        )
+    )
+    block = F.floor(F.col("us") / (idle * SLOT_BLOCK))
+    seen = running_before(
+        instants, ["request_id"], block, "us", last_us=("max", F.when(F.col("n") > 0, F.col("us")))
+    )
+    paused = (F.col("n") > 0) & (F.col("us") - F.col("last_us") > idle)
+    opened = seen.withColumn("opens", (F.col("reset") | F.coalesce(paused, F.lit(False))).cast("bigint"))
+    numbered = running_before(opened, ["request_id"], block, "us", before=("sum", F.col("opens")))
+    runs = (
+        numbered.where("n > 0")
+        .groupBy("request_id", (F.col("before") + F.col("opens")).alias("run"))
+        .agg(
+            F.timestamp_micros(F.min("us")).alias("run_start"),
+            F.timestamp_micros(F.max("us")).alias("run_end"),
+            F.sum("n").alias("n_samples"),
+            F.try_divide(F.sum("cpu_sum"), F.sum("cpu_n")).alias("cpu_avg"),
+            F.max("cpu_max").alias("cpu_max"),
+            peak("memory_max").alias("system_memory_peak"),
+            F.count("*").alias("n_times"),
+        )
+    )
+    speed = real_time_speed(F.col("n_times"), F.col("run_start"), F.col("run_end"))
+    return runs.withColumn("sample_speed", speed).drop("run", "n_times")
+
+
 def _partials() -> list[Column]:
     """What a slot keeps of its samples so that ``_combined`` can finish the summary."""
     kept = [

@@ -42,3 +42,23 @@ def stream_dedup(
         .dropDuplicatesWithinWatermark(["_dedup_key"])
         .drop("_dedup_key")
     )
+
+
+def stream_dedup_first(
+    examples: DataFrame, order: str, ts: str = "ts", delay: str = "1 hour", key: Column | None = None, key_len: int = 200
+) -> DataFrame:
+    """Of the rows that share a text prefix, the one that is first by ``order``, in whatever order they arrive.
+
+    The state holds one row per prefix; it is emitted once the watermark is
+    ``delay`` past the prefix's last row, so rows of a prefix are one group
+    while less than ``delay`` lies between neighbours. Equal to ``dedup_prefix``
+    on the same rows. ``order`` must not be NULL and is unique among the rows
+    of a prefix; rows without time never leave the stream.
+    """
+    key = F.substring("text", 1, key_len) if key is None else key
+    return (
+        examples.withWatermark(ts, delay)
+        .groupBy(key.alias("_dedup_key"), F.session_window(ts, delay).alias("_open"))
+        .agg(F.min_by(F.struct(*examples.columns), order).alias("_first"))
+        .select("_first.*")
+    )

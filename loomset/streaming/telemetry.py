@@ -2,7 +2,7 @@
 
 Rows later than the watermark (``delay``) are dropped; a window or session is
 emitted once, when the watermark passes its end. State leaves with it, so a
-new request needs no reset.
+new request needs no reset; ``streaming.runs`` is for requests whose running values are reset by rows of their own.
 """
 
 from __future__ import annotations
