@@ -398,6 +398,7 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS) -> DataFrame
             for begin, group in _groups(batch.column(text)):
                 gc.disable()  # the tables have millions of parts, none in a cycle
                 ids = encoder.encode(group)
+                gc.freeze()  # nor are they to be looked through after the group
                 gc.enable()
                 sizes = np.array([x.size for x in ids], np.int64)
                 offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
