@@ -24,15 +24,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of files.
+
+    A plain path of a stream has to be a folder; a pattern, here one of a
+    single match, may stand for either.
+    """
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}.parquet}}")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = table_stream(spark, sf_dir, "events")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = documents(spark, sf_dir).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    return table_stream(spark, sf_dir, "documents")
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
