@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -22,6 +24,9 @@ _CJK = r"([\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff])"
 
 TOKENIZERS = ("whitespace", "cjk_char")
 
+# Characters of which a task holds the ids at a time.
+GROUP_CHARS = 1 << 18
+
 
 def py_strip(text: Column) -> Column:
     """Trim Unicode whitespace on both ends (Spark's own trim knows only U+0020)."""
@@ -50,18 +55,31 @@ def words(text: Column, tokenizer: str = "whitespace") -> Column:
     return F.filter(F.split(text, _BLANKS), lambda w: w != "")
 
 
+def text_groups(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of groups of about ``limit`` in size; a larger row is in one group with those before it."""
+    begin, ends = 0, np.cumsum(sizes, dtype=np.int64)
+    while begin < ends.size:
+        before = ends[begin - 1] if begin else 0
+        stop = min(int(np.searchsorted(ends, before + limit)) + 1, ends.size)
+        yield begin, stop - begin
+        begin = stop
+
+
 @F.arrow_udf(ArrayType(IntegerType()))
-def _byte_ids(values: pa.Array) -> pa.Array:
-    """The bytes of binary values as integers: the Arrow buffers are only relabelled."""
-    values = values.cast(pa.large_binary())
-    _, offsets, data = values.buffers()
-    ends = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1]
-    used = np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]]
-    return pa.ListArray.from_arrays(
-        pa.array((ends - ends[0]).astype(np.int32)),
-        pa.array(used.astype(np.int32)),
-        mask=values.is_null() if values.null_count else None,
-    )
+def _byte_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The bytes of binary values as integers, a group at a time: the Arrow buffers are only relabelled."""
+    for batch in batches:
+        values = batch.cast(pa.large_binary())
+        _, offsets, data = values.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+        used = np.frombuffer(data or b"", dtype=np.uint8)
+        for begin, rows in text_groups(np.diff(ends), GROUP_CHARS):
+            part = ends[begin : begin + rows + 1]
+            yield pa.ListArray.from_arrays(
+                pa.array((part - part[0]).astype(np.int32)),
+                pa.array(used[part[0] : part[-1]].astype(np.int32)),
+                mask=values.slice(begin, rows).is_null() if values.null_count else None,
+            )
 
 
 def utf8_ids(text: Column, limit: int) -> Column:

@@ -20,6 +20,10 @@ IGNORED = -100
 # Batches a task fills at a time.
 _HELD = 256
 
+# A row that waits for its batch: other columns, ids, labels, and whether these are its own copies.
+Row = tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool]
+_FIRST = pa.array([0])
+
 
 def model_tokenizer(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[Column], Column]:
     """Wrap a batch encoder (texts → id lists) as an Arrow-batched column function."""
@@ -115,7 +119,9 @@ def bucket_batches(df: DataFrame, size: int, pad_id: int, step: int = 64) -> Dat
     the padding of a row is under ``step`` however lengths are mixed. A task
     fills the buckets of its own partition and hands a batch on when it is full:
     it holds at most ``_HELD`` batches of rows, of which it hands on the fullest
-    if texts come in more widths than that. Adds ``batch`` (unique, rows of one
+    if texts come in more widths than that. Rows that wait for others are copied
+    out of the table they came in, and labels equal to their ids are not sent to
+    the task. Adds ``batch`` (unique, rows of one
     stand together), ``width`` and ``attention_mask``, and pads ``input_ids``
     with ``pad_id`` and ``labels`` with ``IGNORED``. NULL arrays count as empty;
     rows stay one to one, and an empty table gives an empty one.
@@ -140,33 +146,46 @@ def bucket_batches(df: DataFrame, size: int, pad_id: int, step: int = 64) -> Dat
             yield values[ends[k] : ends[k + 1]] if here else values[:0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[Row]] = {}
         first = TaskContext.get().partitionId() << 33
         made = 0
 
         def hand_on(width: int) -> pa.RecordBatch:
             nonlocal made
             rows = held.pop(width)
-            kept = pa.concat_batches([r for r, _, _ in rows]).select(others)
-            masks = [np.ones(ids.size, np.int32) for _, ids, _ in rows]
+            kept = pa.concat_batches([r[0] for r in rows]).select(others)
+            masks = [np.ones(r[1].size, np.int32) for r in rows]
             arrays = [padded([r[1] for r in rows], width, pad_id), padded([r[2] for r in rows], width, IGNORED), padded(masks, width, 0)]
             numbers = [pa.array(np.full(len(rows), n, np.int64)) for n in (first + made, width)]
             made += 1
             return pa.RecordBatch.from_arrays([*kept.columns, *arrays, *numbers], names=schema.names)
 
+        def copied(row: Row) -> Row:
+            own, ids, labels, fresh = row
+            if fresh:
+                return row
+            ids_copy = ids.copy()
+            return own.take(_FIRST), ids_copy, ids_copy if labels is ids else labels.copy(), True
+
         for batch in batches:
-            own = batch.select(others or ["input_ids"])
+            own = batch.select(others) if others else pa.RecordBatch.from_arrays([batch.column("_same")], names=["_same"])
+            same = batch.column("_same").to_pylist()
             for k, (ids, labels) in enumerate(zip(arrays_of(batch.column("input_ids")), arrays_of(batch.column("labels")), strict=True)):
+                labels = ids if same[k] else labels
                 width = max(-(-max(ids.size, labels.size) // step), 1) * step
-                held.setdefault(width, []).append((own.slice(k, 1), ids, labels))
+                held.setdefault(width, []).append((own.slice(k, 1), ids, labels, False))
                 if len(held[width]) == size:
                     yield hand_on(width)
                 elif len(held) > _HELD:
                     yield hand_on(max(held, key=lambda w: len(held[w])))
+            for rows in held.values():  # else a row keeps all those it came with
+                rows[:] = [copied(row) for row in rows]
         for width in sorted(held):
             yield hand_on(width)
 
-    return df.select(*others, "input_ids", "labels").mapInArrow(run, schema)
+    same = F.col("labels").eqNullSafe(F.col("input_ids"))
+    sent = df.select(*others, "input_ids", F.when(~same, F.col("labels")).alias("labels"), same.alias("_same"))
+    return sent.mapInArrow(run, schema)
 
 
 def padding_report(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,24 @@ def test_bucket_batches(spark, monkeypatch):
     assert bucket_batches(df.select("input_ids", "labels"), 8, 0).count() == len(rows)
 
 
+def test_rows_that_wait_keep_no_table(spark, monkeypatch):
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    run = []
+    frame = token_columns(spark.createDataFrame([(1, "x")], "doc_id int, text string"))
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: run.append((self.schema.names, f)))
+    bucket_batches(frame, 8, 0, step=10)
+    names, fill = run[0]
+    ids = pa.array([[1] * 5000] * 15 + [[2] * 3], pa.list_(pa.int32()))
+    columns = {"doc_id": pa.array(range(16)), "n_tokens": pa.array([0] * 16), "truncated": pa.array([False] * 16), "input_ids": ids}
+    columns |= {"labels": pa.nulls(16, ids.type), "_same": pa.array([True] * 16)}
+    table = pa.RecordBatch.from_pydict({n: columns[n] for n in names})
+    copies = (pa.RecordBatch.from_arrays([pa.concat_arrays([c, c.slice(0, 0)]) for c in table.columns], names=names) for _ in range(20))
+    before, out = pa.total_allocated_bytes(), fill(copies)
+    held = [pa.total_allocated_bytes() - before for _ in zip(range(30), out)]
+    assert max(held) < 3 * 16 * 5000 * 4
+    assert sum(b.num_rows for b in out) == 20 * 16 - 30 * 8
+
+
 def test_missing_texts_and_keys_are_taken_record_by_record(spark):
     rows = [(1, None, "do", "a b", None, None), (2, "say", None, None, "c d", "c d"), (3, None, None, "x", "x", "x")]
     pairs = spark.createDataFrame(
