@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from loomset.functions.text import utf8_ids
+from loomset.functions.text import GROUP_CHARS, text_groups, utf8_ids
 from loomset.operators.ordering import ranked
 from loomset.storage import materialise
 
@@ -26,11 +26,19 @@ _FIRST = pa.array([0])
 
 
 def model_tokenizer(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[Column], Column]:
-    """Wrap a batch encoder (texts → id lists) as an Arrow-batched column function."""
+    """Wrap a batch encoder (texts → id lists) as an Arrow-batched column function.
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(encode(texts.fillna("").tolist()))
+    It gets groups of texts of about ``GROUP_CHARS`` bytes in all (a longer text
+    ends its group), whose ids leave the task before the next group is read.
+    """
+
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            for begin, rows in text_groups(sizes, GROUP_CHARS):
+                group = pc.fill_null(texts.slice(begin, rows), "").to_pylist()
+                yield pa.array(encode(group), pa.list_(pa.int32()))
 
     return ids
 

@@ -191,6 +191,20 @@ def test_rows_that_wait_keep_no_table(spark, monkeypatch):
     assert sum(b.num_rows for b in out) == 20 * 16 - 30 * 8
 
 
+def test_encoders_get_groups_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr("loomset.operators.tokens.GROUP_CHARS", 100, raising=False)
+
+    def encode(texts):
+        assert len(texts) == 1 or sum(map(len, texts[:-1])) < 100
+        return [[len(texts), *map(ord, t)] for t in texts]
+
+    rows = [(i, None if i == 3 else "ab" * (i % 9)) for i in range(400)] + [(400, "z" * 900)]
+    df = spark.createDataFrame(rows, "i int, text string").coalesce(1)
+    got = {r.i: list(r.input_ids) for r in token_columns(df, 2000, model_tokenizer(encode)).collect()}
+    assert {i: ids[1:] for i, ids in got.items()} == {i: [ord(c) for c in t or ""] for i, t in rows}
+    assert max(ids[0] for ids in got.values()) < 60
+
+
 def test_missing_texts_and_keys_are_taken_record_by_record(spark):
     rows = [(1, None, "do", "a b", None, None), (2, "say", None, None, "c d", "c d"), (3, None, None, "x", "x", "x")]
     pairs = spark.createDataFrame(
