@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 16
 
 
 class ByteTable:

@@ -162,31 +162,39 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield begin, group
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, exact: str | None = None) -> DataFrame:
     """Add ``ids`` (array of piece ids) and ``n_pieces`` to every row.
 
     NULL and empty texts have no pieces; repeated rows get the same ids each,
-    and an empty table gives an empty one. The model's path is read on the
-    driver; its content, some hundred kilobytes, goes to the tasks. A task
-    holds one group of texts of about 2 million characters and a bounded cache
-    of words; a longer text is a group of its own. Other columns are kept, but
-    for those with one of the new names.
+    and an empty table gives an empty one. With ``exact`` a column of that name
+    replaces the text: whether the ids, decoded in the same pass, give it back
+    (NULL: the empty text). The model's path is read on the driver; its content,
+    some hundred kilobytes, goes to the tasks. A task holds one group of texts
+    of about 2 million characters and a bounded cache of words; a longer text is
+    a group of its own. Other columns are kept, but for those with one of the
+    new names.
     """
     content = _model_bytes(model)
-    kept = [c for c in docs.columns if c not in ("ids", "n_pieces")]
+    kept = [c for c in docs.columns if c == text or c not in ("ids", "n_pieces", exact)]
     rows = docs.select(*kept)
-    schema = rows.select(*kept, F.array().cast("array<int>").alias("ids"), F.lit(0).cast("bigint").alias("n_pieces")).schema
+    left = [c for c in kept if exact is None or c != text]
+    new = {"ids": F.array().cast("array<int>"), "n_pieces": F.lit(0).cast("bigint")} | ({exact: F.lit(True)} if exact else {})
+    schema = rows.select(*left, *[value.alias(name) for name, value in new.items()]).schema
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Pieces(content))
         for batch in batches:
+            others = batch.select(left)
             for begin, group in _groups(batch.column(text)):
                 ids = encoder.encode(group)
                 sizes = np.array([x.size for x in ids], np.int64)
                 offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                part = batch.slice(begin, len(group))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(sizes)], names=[*kept, "ids", "n_pieces"])
+                columns = [*others.slice(begin, len(group)).columns, lists, pa.array(sizes)]
+                if exact:
+                    columns.append(pa.array([d == t for d, t in zip(encoder.pieces.decode(lists), group, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, schema)
 

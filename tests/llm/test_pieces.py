@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -69,6 +70,25 @@ def test_round_trip(spark, library, monkeypatch):
     assert pieces.encode(docs.limit(0)).count() == 0
 
 
+def test_decoded_in_the_same_pass(spark, monkeypatch):
+    assert plan_of(catalog.QUERIES["op4_pieces"](spark, SF)).count("MapInArrow") == 1  # one Python worker a task
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id int, text string, ok string")
+    plain = {r["doc_id"]: r["ids"] for r in pieces.encode(docs).collect()}
+    got = pieces.encode(docs, exact="ok")
+    assert got.columns == ["doc_id", "ids", "n_pieces", "ok"]
+    assert all(r["ok"] is True and r["ids"] == plain[r["doc_id"]] for r in got.collect())
+    monkeypatch.setattr(pieces.Pieces, "decode", lambda self, lists: ["a"] * len(lists))
+    table = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a", "b"]})
+    run = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f))
+    pieces.encode(docs.drop("ok"), exact="ok")
+    assert [b.column("ok").to_pylist() for b in run[0](iter([table]))] == [[True, False]]
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_decode_any_ids(model):
     import pyarrow as pa
 
