@@ -40,7 +40,7 @@ from loomset.llm.byte_table import ByteTable
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MAX_STATES = 1 << 17
 MEMO = 200_000
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 BLOCK_IDS = 1 << 16
 
 _ROOT = 0
@@ -377,38 +377,59 @@ def _encoder(content: bytes) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS) -> DataFrame:
+def encode(
+    docs: DataFrame, text: str = "text", ranks: str = RANKS, decoded: str | None = None, digest: str | None = None
+) -> DataFrame:
     """Add ``ids`` (array of token ids) and ``n_tokens`` to every row, without special tokens.
 
     NULL and empty texts have no tokens; equal texts have equal ids, and rows
-    stay one to one. An empty table gives an empty one. The rank file is read
-    on the driver; its content, under a megabyte, goes to the tasks. A task
-    holds a group of texts of about 4 million characters (a longer text is a
-    group of its own) and tables of bounded size. Other columns are kept, but
-    for those with one of the new names.
+    stay one to one. An empty table gives an empty one. With ``decoded`` a
+    column of that name replaces the text: what the ids, decoded in the same
+    pass, stand for. With ``digest`` a column of that name replaces the ids,
+    as in ``decode``. The rank file is read on the driver; its content, under a
+    megabyte, goes to the tasks. A task holds a group of texts of about 2
+    million characters (a longer text is a group of its own) and tables of
+    bounded size. Other columns are kept, but for those with one of the new
+    names.
     """
     content = _content(ranks)
-    kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
+    kept = [c for c in docs.columns if c == text or c not in ("ids", "n_tokens", digest, decoded)]
     rows = docs.select(*kept)
-    schema = rows.select(*kept, F.array().cast("array<int>").alias("ids"), F.lit(0).cast("bigint").alias("n_tokens")).schema
+    left = [c for c in kept if decoded is None or c != text]
+    new = {digest: F.lit("")} if digest else {"ids": F.array().cast("array<int>")}
+    new |= {"n_tokens": F.lit(0).cast("bigint")} | ({decoded: F.lit("")} if decoded else {})
+    schema = rows.select(*left, *[value.alias(name) for name, value in new.items()]).schema
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content)
+        decoder = Decoder(encoder.transducer.ranks) if decoded else None
         for batch in batches:
+            others = batch.select(left)
             for begin, group in _groups(batch.column(text)):
                 gc.disable()  # the tables have millions of parts, none in a cycle
                 ids = encoder.encode(group)
                 gc.freeze()  # nor are they to be looked through after the group
                 gc.enable()
                 sizes = np.array([x.size for x in ids], np.int64)
-                offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                part = batch.slice(begin, len(group))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(sizes)], names=[*kept, "ids", "n_tokens"])
+                if digest:
+                    written = pa.array([id_digest(x) for x in ids], pa.string())
+                else:
+                    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                    written = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                columns = [*others.slice(begin, len(group)).columns, written, pa.array(sizes)]
+                if decoder:
+                    columns.append(pa.array([decoder.text(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, schema)
 
 
+def id_digest(ids: np.ndarray) -> str:
+    """The lowercase hex SHA-256 of ids as little-endian 32-bit integers."""
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
+
+
 def _each(lists: pa.ListArray) -> Iterator[np.ndarray]:
     """The arrays of a column of lists (NULL: empty)."""
     values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
@@ -438,7 +459,7 @@ def decode(rows: DataFrame, ids: str = "ids", name: str = "decoded", digest: str
             for x in _each(batch.column(ids)):
                 texts.append(decoder.text(x))
                 if digest is not None:
-                    digests.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
+                    digests.append(id_digest(x))
             columns = [pa.array(c, pa.string()) for c in (texts, digests)[: len(new)]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in left], *columns], names=[*left, *new])
 

@@ -142,3 +142,14 @@ def test_documents(spark, library):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_decoded_in_the_same_pass(spark):
+    plan = catalog.QUERIES["op11_byte_pairs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one Python worker a task
+    texts = [None, "", " a\u3000b  ", "\U0001f600 x" * 50, "it's\r\n123456"]
+    docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id int, text string, other string")
+    two = byte_pairs.decode(byte_pairs.encode(docs), digest="hex").select("doc_id", "other", "hex", "n_tokens", "decoded")
+    one = byte_pairs.encode(docs, decoded="decoded", digest="hex")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert {r["doc_id"]: r["decoded"] for r in byte_pairs.encode(docs, decoded="text").withColumnRenamed("text", "decoded").collect()} == {i: t or "" for i, t in enumerate(texts)}
