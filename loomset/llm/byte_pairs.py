@@ -402,25 +402,29 @@ def encode(
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()  # tables of an earlier task
         encoder = _encoder(content)
         decoder = Decoder(encoder.transducer.ranks) if decoded else None
-        for batch in batches:
-            others = batch.select(left)
-            for begin, group in _groups(batch.column(text)):
-                gc.disable()  # the tables have millions of parts, none in a cycle
-                ids = encoder.encode(group)
-                gc.freeze()  # nor are they to be looked through after the group
-                gc.enable()
-                sizes = np.array([x.size for x in ids], np.int64)
-                if digest:
-                    written = pa.array([id_digest(x) for x in ids], pa.string())
-                else:
-                    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-                    written = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                columns = [*others.slice(begin, len(group)).columns, written, pa.array(sizes)]
-                if decoder:
-                    columns.append(pa.array([decoder.text(x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        try:
+            for batch in batches:
+                others = batch.select(left)
+                for begin, group in _groups(batch.column(text)):
+                    gc.disable()  # the tables have millions of parts, none in a cycle
+                    ids = encoder.encode(group)
+                    gc.freeze()  # nor are they to be looked through after the group
+                    gc.enable()
+                    sizes = np.array([x.size for x in ids], np.int64)
+                    if digest:
+                        written = pa.array([id_digest(x) for x in ids], pa.string())
+                    else:
+                        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                        written = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                    columns = [*others.slice(begin, len(group)).columns, written, pa.array(sizes)]
+                    if decoder:
+                        columns.append(pa.array([decoder.text(x) for x in ids], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            gc.unfreeze()  # else a worker keeps the tables of every task it has run
 
     return rows.mapInArrow(run, schema)
 

@@ -1,9 +1,11 @@
 """The transducer against the library's merges, and streaming decoding."""
 
+import gc
 import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -153,3 +155,14 @@ def test_decoded_in_the_same_pass(spark):
     one = byte_pairs.encode(docs, decoded="decoded", digest="hex")
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     assert {r["doc_id"]: r["decoded"] for r in byte_pairs.encode(docs, decoded="text").withColumnRenamed("text", "decoded").collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_nothing_of_a_task_stays_frozen(spark, monkeypatch):
+    docs, run = spark.createDataFrame([(1, "a")], "doc_id int, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f))
+    byte_pairs.encode(docs)
+    gc.unfreeze()
+    before = gc.get_freeze_count()
+    table = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b", None]})
+    assert [b.num_rows for b in run[0](iter([table]))] == [2]
+    assert gc.get_freeze_count() == before
