@@ -21,7 +21,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,14 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
 # --- words and ids -----------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Numbers of words; one not seen before gets the next."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Words:
     """Words of texts by number, and their ids. Number 0 is the empty word, the end sign."""
 
@@ -83,7 +92,7 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {b"": 0}
+        self.number = _Numbers({b"": 0})
         self.words: list[bytes] = [b""]
         self.parts = [np.array([END], np.int64)]
         self.flat = self.parts[0]
@@ -100,11 +109,9 @@ class Words:
     def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
         """The numbers of all words of all texts in a row; words not seen before get the next ones."""
         flat = list(chain.from_iterable(texts))
-        out = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(out < 0).tolist()
-        if missing:
-            new = list(dict.fromkeys(flat[i] for i in missing))
-            self.number.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        out = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        if len(self.number) > len(self.words):
+            new = [*islice(reversed(self.number), len(self.number) - len(self.words))][::-1]
             self.words += new
             # One call for all new words: a line feed is an id of its own and in no word.
             lines = "".join(f" {w.decode('utf-8', 'replace')}\n" for w in new)
@@ -113,7 +120,6 @@ class Words:
             closes = np.flatnonzero(breaks) - np.arange(len(new))
             self.ends = np.append(self.ends, self.flat.size + closes)
             self.flat = np.append(self.flat, ids[~breaks])
-            out[missing] = [self.number[flat[i]] for i in missing]
         return out
 
     def ids(self, numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +246,25 @@ class Loose:
 
 
 _ROOT = np.sqrt(WIDTH // HEADS)
-_LARGEST = np.float32(60)  # attention scores stop here, so that their exponentials stay finite
+_LARGEST = np.float32(60)  # attention scores stop here on both sides, so that their exponentials stay finite and above zero
+_SAFE = 20  # moves of class log chances up to this need no largest one subtracted before their exponentials
+
+
+class Room(dict):
+    """Arrays by name that are used again step after step, as fresh ones of this size cost more than what is done in them."""
+
+    def of(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self or self[name].size < size:
+            self[name] = np.empty(size, np.float32)
+        return self[name][:size].reshape(shape)
+
+
+_OWN = WIDTH // HEADS
+_WIDE = WIDTH + HEADS  # values and heads have a column more each, in which the values hold ones
+_ONES = np.arange(1, HEADS + 1) * (_OWN + 1) - 1  # these columns
+_VALUES = np.setdiff1d(np.arange(_WIDE), _ONES)
+_OF_HEAD = np.repeat(np.eye(HEADS, dtype=np.float32), _OWN + 1, axis=0)  # which columns are of a head
 
 
 def _heads(x: np.ndarray) -> np.ndarray:
@@ -248,8 +272,13 @@ def _heads(x: np.ndarray) -> np.ndarray:
     return x.reshape(*x.shape[:2], HEADS, -1).transpose(0, 2, 1, 3)
 
 
-def _joined(x: np.ndarray) -> np.ndarray:
-    return x.transpose(0, 2, 1, 3).reshape(x.shape[0], x.shape[2], -1)
+def _flat(x: np.ndarray) -> np.ndarray:
+    return x.reshape(-1, x.shape[-1])
+
+
+def _parts(joint: np.ndarray) -> list[np.ndarray]:
+    """Queries, keys and values by head."""
+    return [_heads(x) for x in np.split(joint, [WIDTH, 2 * WIDTH], axis=2)]
 
 
 class Attention:
@@ -264,6 +293,7 @@ class Attention:
         "out": (WIDTH, CLASSES),
     }
     size = sum(int(np.prod(s)) for s in shapes.values())
+    seen = np.tri(WINDOW, dtype=np.float32)
 
     def __init__(self, theta: np.ndarray | None = None):
         if theta is None:
@@ -274,9 +304,13 @@ class Attention:
         self.theta = np.asarray(theta, np.float32)
         for name, part in self.split(self.theta).items():
             setattr(self, name, part)
-        self.seen = np.tri(WINDOW, dtype=np.float32)
-        # what an id brings to a query, a key and a value, and what a place in the window adds
-        self.tables = [(self.embed @ w, self.at @ w) for w in (self.query / np.float32(_ROOT), self.key, self.value)]
+        # Queries, keys and values side by side; what the columns of ones get here is nothing.
+        self.joint = np.zeros((WIDTH, 2 * WIDTH + _WIDE), np.float32)
+        self.joint[:, :WIDTH] = self.query / np.float32(_ROOT)
+        self.joint[:, WIDTH : 2 * WIDTH] = self.key
+        self.joint[:, 2 * WIDTH + _VALUES] = self.value
+        self.wide_out = np.zeros((_WIDE, CLASSES), np.float32)
+        self.wide_out[_VALUES] = self.out
 
     @classmethod
     def split(cls, theta: np.ndarray) -> dict[str, np.ndarray]:
@@ -287,76 +321,127 @@ class Attention:
             at += n
         return out
 
-    def class_log_chances(self, windows: np.ndarray, counted: Counted, first: int, rows: np.ndarray | None = None) -> np.ndarray:
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What an id brings to a query, a key and a value, and what a place in the window adds."""
+        return self.embed @ self.joint, self.at @ self.joint
+
+    def _attend(self, joint: np.ndarray, first: int, room: Room) -> tuple[np.ndarray, ...]:
+        """Of queries, keys and values side by side, for the places ``first`` and later: the exponentials of the
+        scores, one over their sums for each column of a head, and the heads, a column of ones behind each."""
+        n = len(joint)
+        joint[:, :, 2 * WIDTH + _ONES] = 1
+        q, k, v = _parts(joint)
+        weight = np.matmul(q[:, :, first:], k.transpose(0, 1, 3, 2), out=room.of("weight", n, HEADS, WINDOW - first, WINDOW))
+        np.clip(weight, -_LARGEST, _LARGEST, out=weight)
+        np.exp(weight, out=weight)
+        weight *= self.seen[first:]
+        head = room.of("head", n, WINDOW - first, _WIDE)
+        np.matmul(weight, v, out=_heads(head))
+        scale = np.matmul(1 / head[:, :, _ONES], _OF_HEAD.T, out=room.of("scale", *head.shape))
+        head *= scale
+        return weight, scale, head
+
+    def class_log_chances(
+        self, windows: np.ndarray, counted: Counted, first: int, rows: np.ndarray | None = None, room: Room | None = None
+    ) -> np.ndarray:
         """Log chances of the next class behind the places ``first`` and later of each window, up to one number per place.
 
         That number is the log of the sum of their exponentials. ``rows`` are
         the counted log chances behind these places, those of the active ids if
-        not given.
+        not given. What is returned lies in ``room`` until the next call.
         """
-        q, k, v = (_heads(by_id[windows] + by_place) for by_id, by_place in self.tables)
-        weight = q[:, :, first:] @ k.transpose(0, 1, 3, 2)
-        np.minimum(weight, _LARGEST, out=weight)
-        np.exp(weight, out=weight)
-        weight *= self.seen[first:]
-        head = (weight @ v) / weight.sum(axis=3, keepdims=True)
-        logits = _joined(head) @ self.out
+        room = Room() if room is None else room
+        by_id, by_place = self.tables
+        joint = room.of("joint", *windows.shape, by_id.shape[1])
+        np.take(by_id, windows, axis=0, out=joint, mode="clip")
+        joint += by_place
+        head = self._attend(joint, first, room)[-1]
+        logits = room.of("logits", *head.shape[:2], CLASSES)
+        np.matmul(_flat(head), self.wide_out, out=_flat(logits))
         logits += counted.of_class[windows[:, first:]] if rows is None else rows
         return logits
 
-    def gradient(self, windows: np.ndarray, targets: np.ndarray, counted: Counted, counts: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    def gradient(
+        self, windows: np.ndarray, targets: np.ndarray, counted: Counted, counts: np.ndarray | None = None, room: Room | None = None
+    ) -> tuple[float, np.ndarray]:
         """Mean loss of the next classes over whole windows, and its gradient; targets below 0 do not count."""
-        scale = np.float32(1 / _ROOT)
-        x = self.embed[windows] + self.at
-        q, k, v = (_heads(x @ w) for w in (self.query, self.key, self.value))
-        weight = np.exp(np.minimum(scale * (q @ k.transpose(0, 1, 3, 2)), _LARGEST)) * self.seen
-        weight /= weight.sum(axis=3, keepdims=True)
-        head = _joined(weight @ v)
-        logits = head @ self.out + (counted.of_class[windows] if counts is None else counts)
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        real = targets >= 0
-        n = max(int(real.sum()), 1)
-        rows, cols = np.nonzero(real)
-        chosen = p[rows, cols, targets[rows, cols]]
-        loss = float(-np.log(np.maximum(chosen, 1e-30)).sum() / n)
-        p[rows, cols, targets[rows, cols]] -= 1
-        p *= (real / np.float32(n))[:, :, None]
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        grad = {"out": flat(head).T @ flat(p)}
-        d_head = _heads(p @ self.out.T)
-        d_weight = d_head @ v.transpose(0, 1, 3, 2)
-        d_v = _joined(weight.transpose(0, 1, 3, 2) @ d_head)
-        d_score = weight * (d_weight - (d_weight * weight).sum(axis=3, keepdims=True)) * scale
-        d_q, d_k = _joined(d_score @ k), _joined(d_score.transpose(0, 1, 3, 2) @ q)
-        d_x = d_q @ self.query.T + d_k @ self.key.T + d_v @ self.value.T
-        for name, d in (("query", d_q), ("key", d_k), ("value", d_v)):
-            grad[name] = flat(x).T @ flat(d)
-        grad["at"] = d_x.sum(axis=0)
-        grad["embed"] = np.zeros_like(self.embed)
-        np.add.at(grad["embed"], windows.ravel(), flat(d_x))
-        return loss, np.concatenate([grad[name].ravel() for name in self.shapes]).astype(np.float32)
+        room = Room() if room is None else room
+        n = len(windows)
+        x = np.take(self.embed, windows, axis=0, out=room.of("x", n, WINDOW, WIDTH), mode="clip")
+        x += self.at
+        joint = room.of("joint", n, WINDOW, self.joint.shape[1])
+        np.matmul(_flat(x), self.joint, out=_flat(joint))
+        weight, scale, head = self._attend(joint, 0, room)
+        p = np.matmul(_flat(head), self.wide_out, out=room.of("logits", n * WINDOW, CLASSES))
+        near = max(-p.min(), p.max()) <= _SAFE
+        p += _flat(counted.of_class[windows] if counts is None else counts)
+        if not near:
+            p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        sums = p @ np.ones(CLASSES, np.float32)
+        goal = targets.ravel()
+        real = np.flatnonzero(goal >= 0)
+        share = np.float32(1 / max(real.size, 1))
+        chosen = real * CLASSES + goal[real]
+        loss = float(-np.log(np.maximum(p.ravel()[chosen] / sums[real], 1e-30)).sum() * share)
+        part = np.zeros(goal.size, np.float32)
+        part[real] = share / sums[real]
+        p *= part[:, None]
+        p.ravel()[chosen] -= share
+        grad = {"out": (_flat(head).T @ p)[_VALUES]}
+        d_head = room.of("d_head", n, WINDOW, _WIDE)
+        np.matmul(p, self.wide_out.T, out=_flat(d_head))
+        # The columns of ones take off what all scores of a place share.
+        shared = np.multiply(d_head, head, out=head) @ _OF_HEAD
+        d_head[:, :, _ONES] = -shared
+        d_head *= scale
+        d_head = _heads(d_head)
+        d_joint = room.of("d_joint", *joint.shape)
+        (q, k, v), (d_q, d_k, d_v) = _parts(joint), _parts(d_joint)
+        d_score = np.matmul(d_head, v.transpose(0, 1, 3, 2), out=room.of("d_score", *weight.shape))
+        d_score *= weight
+        np.matmul(weight.transpose(0, 1, 3, 2), d_head, out=d_v)
+        np.matmul(d_score, k, out=d_q)
+        np.matmul(d_score.transpose(0, 1, 3, 2), q, out=d_k)
+        d_all = _flat(x).T @ _flat(d_joint)
+        grad["query"], grad["key"] = d_all[:, :WIDTH] / np.float32(_ROOT), d_all[:, WIDTH : 2 * WIDTH]
+        grad["value"] = d_all[:, 2 * WIDTH + _VALUES]
+        d_x = np.matmul(_flat(d_joint), self.joint.T, out=room.of("d_x", n * WINDOW, WIDTH))
+        grad["at"] = d_x.reshape(n, -1).sum(axis=0)
+        cells = (windows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        grad["embed"] = np.bincount(cells, d_x.ravel(), self.embed.size)
+        return loss, np.concatenate([grad[name].ravel() for name in self.shapes], dtype=np.float32, casting="same_kind")
 
 
 def improve(theta: np.ndarray, ids: np.ndarray, counted: Counted, of_class: np.ndarray, seed: int, rate: float) -> np.ndarray:
     """Adam over rows of ``WINDOW + 1`` ids (below 0: behind the end): whole passes, for ``STEPS`` steps or up to ``MOST_PASSES`` passes."""
-    m = np.zeros_like(theta)
-    v = np.zeros_like(theta)
+    theta = np.array(theta, np.float32)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
     rng = np.random.default_rng(seed)
-    windows = np.where(ids < 0, -1, counted.place[ids])
+    # What is behind the end does not count: any id will do there.
+    inputs = np.maximum(ids[:, :-1], 0)
+    windows = counted.place[inputs]
+    targets = np.where(ids[:, 1:] < 0, -1, counted.place[ids[:, 1:]] % CLASSES)
+    room = Room()
     step, passes = 0, min(-(-STEPS * BATCH // max(len(windows), BATCH)), MOST_PASSES)
     for _ in range(passes):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             step += 1
-            rows = windows[order[at : at + BATCH]]
-            targets = np.where(rows[:, 1:] < 0, -1, rows[:, 1:] % CLASSES)
-            counts = of_class[ids[order[at : at + BATCH], :-1]]  # what is behind the end does not count
-            _, g = Attention(theta).gradient(np.maximum(rows[:, :-1], 0), targets, counted, counts)
-            m = 0.9 * m + 0.1 * g
-            v = 0.99 * v + 0.01 * g * g
-            theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    return theta.astype(np.float32)
+            rows = order[at : at + BATCH]
+            counts = room.of("counts", len(rows), WINDOW, CLASSES)
+            np.take(of_class, inputs[rows], axis=0, out=counts, mode="clip")
+            _, g = Attention(theta).gradient(windows[rows], targets[rows], counted, counts, room)
+            m *= 0.9
+            m += 0.1 * g
+            np.square(g, out=g)
+            v *= 0.99
+            v += 0.01 * g
+            np.sqrt(v / (1 - 0.99**step), out=g)
+            g += 1e-6
+            theta -= np.divide(m, g, out=g) * (rate / (1 - 0.9**step))
+    return theta
 
 
 class Scorer:
@@ -381,21 +466,23 @@ class Scorer:
         owner = np.repeat(np.arange(sizes.size), counts)
         begin = (ends - sizes)[owner] + number * STRIDE
         gain = np.zeros(ids.size, np.float64)
+        room = Room()
         for first, chosen in ((0, number == 0), (WINDOW - STRIDE, number > 0)):
             which = np.flatnonzero(chosen)
             for at in range(0, which.size, 128):
                 part = which[at : at + 128]
                 here = begin[part][:, None] + np.arange(WINDOW)
-                counts = None if self.loose is None else self.loose.of_class[padded[here[:, first:]]]
-                logits = self.attention.class_log_chances(places[here], self.counted, first, counts)
-                here = here[:, first:]
-                real = here < ends[owner[part]][:, None] - 1
-                after = here[real] + 1
-                target = places[after]
-                rows = logits[real]
-                picked = rows[np.arange(after.size), target % CLASSES]
+                behind = here[:, first:]
+                counts = None
+                if self.loose is not None:
+                    counts = room.of("counts", *behind.shape, CLASSES)
+                    np.take(self.loose.of_class, padded[behind], axis=0, out=counts, mode="clip")
+                rows = _flat(self.attention.class_log_chances(places[here], self.counted, first, counts, room))
+                real = np.flatnonzero(behind < ends[owner[part]][:, None] - 1)
+                after = behind.ravel()[real] + 1
+                picked = rows.ravel()[real * CLASSES + places[after] % CLASSES]
                 np.exp(rows, out=rows)
-                gain[after] = picked - np.log(rows.sum(axis=1))
+                gain[after] = picked - np.log((rows @ np.ones(CLASSES, np.float32))[real])
         if self.loose is None:
             place, lacking = self.counted.place[ids], np.zeros(0, np.int64)
             gain[1:] += self.counted.within[place[:-1], place[1:]] + np.where(place[1:] == 0, self.counted.others[ids[1:]], 0.0)

@@ -1,6 +1,7 @@
 """The language model: gradients, normalised chances, windows, and counts against plain ones."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,6 +44,35 @@ def test_gradient(counted, theta):
         assert (up - down) / 0.02 == pytest.approx(gradient[at], rel=0.05, abs=1e-5)
 
 
+def test_scores_of_any_size(counted, theta):
+    """Attention scores far below zero leave chances and gradients finite."""
+    rng = np.random.default_rng(8)
+    windows = rng.integers(0, lm.ACTIVE, (5, lm.WINDOW))
+    targets = rng.integers(0, lm.CLASSES, (5, lm.WINDOW))
+    large = lm.Attention(theta * 12)
+    assert np.isfinite(large.class_log_chances(windows, counted, 0)).all()
+    loss, gradient = large.gradient(windows, targets, counted)
+    assert np.isfinite(loss) and np.isfinite(gradient).all()
+
+
+def test_steps_use_their_arrays_again(counted, theta):
+    """A step in a room used before, also for more windows, gives the same and takes little memory of its own."""
+    rng = np.random.default_rng(9)
+    room, peaks = lm.Room(), []
+    for size in (lm.BATCH, 7, lm.BATCH):
+        windows = rng.integers(0, lm.ACTIVE, (size, lm.WINDOW))
+        targets = rng.integers(-1, lm.CLASSES, (size, lm.WINDOW))
+        alone = lm.Attention(theta).gradient(windows, targets, counted, counted.of_class[windows])
+        counts = counted.of_class[windows]
+        attention = lm.Attention(theta)
+        tracemalloc.start()
+        shared = attention.gradient(windows, targets, counted, counts, room)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert shared[0] == alone[0] and np.array_equal(shared[1], alone[1])
+    assert peaks[2] < min(peaks[0] / 2, 2e6)
+
+
 def test_chances_sum_to_one(counted, theta):
     """Of every id behind a context."""
     windows = np.random.default_rng(3).integers(0, lm.ACTIVE, (1, lm.WINDOW))
