@@ -62,6 +62,7 @@ COMMON_PAIRS = 1_000_000
 _MOST_WORDS = 300_000  # words a task numbers before it starts anew
 _MOST_PAIRS = 600_000
 _GROUP_BYTES = 1 << 21
+CODEC = "zstd"  # of scratch tables: packed ids take a quarter less than by Spark's usual one
 _ALPHA = 0.1
 _PRIOR = 20.0  # pairs of an id count that much less than the ids alone
 
@@ -253,10 +254,10 @@ _SAFE = 20  # moves of class log chances up to this need no largest one subtract
 class Room(dict):
     """Arrays by name that are used again step after step, as fresh ones of this size cost more than what is done in them."""
 
-    def of(self, name: str, *shape: int) -> np.ndarray:
+    def of(self, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
         size = int(np.prod(shape))
         if name not in self or self[name].size < size:
-            self[name] = np.empty(size, np.float32)
+            self[name] = np.empty(size, kind)
         return self[name][:size].reshape(shape)
 
 
@@ -409,8 +410,10 @@ class Attention:
         grad["value"] = d_all[:, 2 * WIDTH + _VALUES]
         d_x = np.matmul(_flat(d_joint), self.joint.T, out=room.of("d_x", n * WINDOW, WIDTH))
         grad["at"] = d_x.reshape(n, -1).sum(axis=0)
-        cells = (windows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-        grad["embed"] = np.bincount(cells, d_x.ravel(), self.embed.size)
+        cells = np.add(windows.reshape(-1, 1) * WIDTH, np.arange(WIDTH), out=room.of("cells", n * WINDOW, WIDTH, kind=np.intp))
+        weights = room.of("weights", n * WINDOW, WIDTH, kind=np.float64)
+        weights[:] = d_x
+        grad["embed"] = np.bincount(cells.ravel(), weights.ravel(), self.embed.size)
         return loss, np.concatenate([grad[name].ravel() for name in self.shapes], dtype=np.float32, casting="same_kind")
 
 
@@ -653,12 +656,12 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, folds: int = FOLDS) ->
     """
     content = _read(vocabulary)
     rows = docs.where(fold(F.col("doc_id"), folds) != 0).select(F.xxhash64("doc_id", "text").alias("doc"), "text")
-    counts = materialise(rows.mapInArrow(lambda b: _count(b, content), _COUNTS), "lm-counts")
+    counts = materialise(rows.mapInArrow(lambda b: _count(b, content), _COUNTS), "lm-counts", CODEC)
     words = counts.where("kind = 0").groupBy("word").agg(F.sum("n").alias("n"))
-    words = materialise(words, "lm-words")
+    words = materialise(words, "lm-words", CODEC)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
 
-    pairs = materialise(counts.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n")), "lm-pairs")
+    pairs = materialise(counts.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n")), "lm-pairs", CODEC)
     each = pairs.groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     singles = np.zeros(IDS)
     singles[each.column("b").to_numpy()] = each.column("n").to_numpy()
@@ -694,7 +697,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, folds: int = FOLDS) ->
     # dealt by text and number, so that the windows of a long text go to many trainers
     dealt = every.select(F.pmod(F.xxhash64("doc", "a"), F.lit(trainers)).cast("int").alias("trainer"), "doc", "a", "ids")
     dealt = dealt.repartition(trainers, "trainer").sortWithinPartitions("trainer", "doc", "a")
-    theta = _train(materialise(dealt.select("trainer", "ids"), "lm-windows"), counted, loose.of_class)
+    theta = _train(materialise(dealt.select("trainer", "ids"), "lm-windows", CODEC), counted, loose.of_class)
     return Model(theta, counted, loose, pairs, words, int(total), int(distinct))
 
 
@@ -744,9 +747,10 @@ def score(docs: DataFrame, model: Model, vocabulary: str = VOCABULARY) -> DataFr
                 gains, open_at = scorer.parts(ids, lengths)
                 logs = np.add.reduceat(gains, np.cumsum(lengths) - lengths) / np.log(10)
                 text = np.searchsorted(np.cumsum(lengths), open_at, side="right")
-                open_pairs, times = np.unique(np.stack([text, ids[open_at - 1] * IDS + ids[open_at]]), axis=1, return_counts=True)
-                open_values = [pa.array(open_pairs[1]), pa.array(loose.prior[open_pairs[1] % IDS]), pa.array(times.astype(np.int64))]
-                open_starts = np.searchsorted(open_pairs[0], np.arange(sizes.size + 1)).astype(np.int32)
+                open_pairs, times = np.unique((text * IDS + ids[open_at - 1]) * IDS + ids[open_at], return_counts=True)
+                open_texts, open_pairs = np.divmod(open_pairs, IDS * IDS)
+                open_values = [pa.array(open_pairs), pa.array(loose.prior[open_pairs % IDS]), pa.array(times.astype(np.int64))]
+                open_starts = np.searchsorted(open_texts, np.arange(sizes.size + 1)).astype(np.int32)
                 open_lists = pa.ListArray.from_arrays(pa.array(open_starts), pa.StructArray.from_arrays(open_values, fields=list(lack)))
                 value = values[numbers]
                 rare = np.isnan(value)
@@ -777,7 +781,7 @@ def score(docs: DataFrame, model: Model, vocabulary: str = VOCABULARY) -> DataFr
     numbered = docs.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text")
     kind = numbered.schema["doc_id"].dataType.simpleString()
     schema = f"doc bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double, rare {rare}, lacking {lacking}"
-    scored = materialise(numbered.mapInArrow(run, schema), "lm-scores")
+    scored = materialise(numbered.mapInArrow(run, schema), "lm-scores", CODEC)
     others = scored.select("doc", F.explode("rare").alias("w")).select("doc", "w.word", F.col("w.n").alias("times"))
     joined = others.join(model.words, "word", "left").groupBy("doc").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
